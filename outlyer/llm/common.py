@@ -70,13 +70,12 @@ class WordHash(dict):
         return h
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Documents with a label that models may learn from: ``doc_id, text, y, fold``.
+def labelled_ids(labels: DataFrame, label: str, most: int) -> DataFrame:
+    """Ids with a label that models may learn from: ``doc_id, y``.
 
-    At most ``most`` rows, taken in the order of a hash of doc_id, so that the sample is the
-    same whatever the partitioning. The chosen ids are that few rows at any size of the
-    corpus, and so are broadcast: no text is shuffled. Null labels and ids are left out; of
-    several labels for one id the largest counts. ``fold`` is crc32(doc_id) mod 5, 1 to 4.
+    At most ``most`` rows, taken in the order of a hash of doc_id, so that the sample is the same
+    whatever the partitioning. Null labels and ids are left out; of several labels for one id the
+    largest counts.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
@@ -85,9 +84,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    chosen = scratch(chosen, "labelled")
+    return scratch(chosen, "labelled")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """Documents of :func:`labelled_ids`: ``doc_id, text, y, fold``.
+
+    The chosen ids are ``most`` rows at any size of the corpus, and so are broadcast: no text is
+    shuffled. ``fold`` is crc32(doc_id) mod 5, 1 to 4.
+    """
+    chosen = labelled_ids(labels, label, most)
     return (
         docs.select("doc_id", text_of().alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .withColumn("fold", F.pmod(crc_of_id(), F.lit(5)).cast("int"))
     )
+
+
+#: Up to so many ids are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows whose key is among ``ids`` (a scratch table of distinct keys), by a join fit for its size."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
