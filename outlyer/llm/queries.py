@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlyer.llm import exact_dedup, lm_scoring, mixing, quality, resharding, toxicity, url_filter
+from outlyer.llm import exact_dedup, lm_scoring, mixing, near_dedup, quality, resharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ SELECT doc_id, source, lang, topic, tokens, weight, prob,
 FROM docs JOIN probs USING (source, lang, topic)"""
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: The corpus lies in 32 shards dealt by hash and is to lie in 40 of equal bytes.
 OLD_SHARDS, NEW_SHARDS = 32, 40
 
@@ -121,6 +125,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_near_dedup": op3_near_dedup,
     "op4_resharding": op4_resharding,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
