@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlyer.llm import exact_dedup, lm_scoring, mixing, near_dedup, quality, resharding, toxicity, url_filter
+from outlyer.llm import decontamination, exact_dedup, lm_scoring, mixing, near_dedup, quality, resharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     models = lm_scoring.fit(docs, table(spark, sf_dir, "labels"))
@@ -129,6 +133,7 @@ QUERIES = {
     "op4_resharding": op4_resharding,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
+    "op7_decontamination": op7_decontamination,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
