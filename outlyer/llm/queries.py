@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlyer.llm import decontamination, exact_dedup, lm_scoring, mixing, near_dedup, quality, resharding, toxicity, url_filter
+from outlyer.llm import decontamination, exact_dedup, lm_scoring, mixing, near_dedup, quality, resharding, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: Raking: sources are flattened, languages a little; the topic's shares stay.
 MIX_POWERS = {"source": 0.7, "lang": 0.9, "topic": 1.0}
 
@@ -128,6 +132,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
     "op3_near_dedup": op3_near_dedup,
     "op4_resharding": op4_resharding,
