@@ -8,17 +8,19 @@
    order of time, and a shingle stops once it is later than all of its document's registers, so
    a document costs about its number of shingles and not that times the number of registers.
 2. Classes of equal word sequences are told by a 128-bit hash; only the smallest id of each goes on.
-3. Bands of ``ROWS`` registers are hashed into buckets. No large bucket is spread into all its
-   pairs: in the first round it compares one hub, the member that shares most buckets, with all
-   others. Members linked to a hub are settled; the rest stay open and give the next hubs, one of
-   each of ``HUBS`` parts of them, which again meet all members. Once at most ``FEW`` are open,
-   each of them meets all members, and the bucket is done.
+3. Bands of ``ROWS`` registers are hashed into buckets. A bucket of up to ``FEW`` members compares
+   them with each other; a larger one compares only its hub, the member that shares most buckets,
+   with all others. Members that turn out not to be linked to the hub may still be linked to each
+   other or to members that are; such a pair shares shingles that the hub lacks. So members of
+   large buckets are dealt again by (hub, shingle that the hub lacks), and these far smaller
+   buckets, where a member is not linked to its hub, are treated the same way until none is large.
 4. Pairs are verified on the texts: multiset overlap of shingles, ``SIMILARITY`` or more.
 5. Connected components of the verified links are the groups; the smallest id stays.
 
-At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 6) ** 28 = 0.9998. A member
-that is settled becomes no hub in that bucket; a pair of members settled with different hubs is
-then linked through them or in another band.
+At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 6) ** 28 = 0.9998. Work
+is linear in the size of a hot group: each member meets one hub a bucket. In a bucket of more than
+``FEW``, a link between a member that is not linked to the hub and a shorter one whose shingles all
+are the hub's is found only through another band or member.
 
 Defined cases: null texts count as empty; texts without words are copies of each other; texts of
 less than five words are one shingle; null ids are each a group of their own unless an equal text
@@ -41,7 +43,9 @@ from outlyer.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 28
 REGISTERS = ROWS * BANDS
-FEW, HUBS = 8, 8
+FEW = 8
+#: Up to so many pairs are broadcast.
+BROADCAST_PAIRS = 300_000
 #: Shingles that a task works on at a time.
 AT_ONCE = 400_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -162,12 +166,14 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             flush(large, 1)
             yield pd.DataFrame({"doc": b.doc, "same": same, "bands": keys})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text")).mapInPandas(work, f"doc {kind}, same binary, bands array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).mapInPandas(work, "doc long, same binary, bands array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, similarity`` of pairs, from ``doc, text`` rows with unique ids."""
+    """``a, b, hub, similarity, extra`` of pairs ``a, b, hub`` (a scratch table), from ``doc, text`` rows with unique ids.
+
+    Where hub is a or b, extra lists the other's shingles that the hub lacks; else it is null.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, known = WordHash(), {}
@@ -180,55 +186,71 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             return known[doc]
 
         for p in batches:
-            yield pd.DataFrame({"a": p.a, "b": p.b, "similarity": [overlap(bag_of(*x), bag_of(*y)) for x, y in zip(zip(p.a, p.ta), zip(p.b, p.tb))]})
+            like, extra = [], []
+            for a, b, hub, ta, tb in zip(p.a, p.b, p.hub, p.ta, p.tb, strict=True):
+                x, y = bag_of(a, ta), bag_of(b, tb)
+                like.append(overlap(x, y))
+                member, centre = (y, x) if hub == a else (x, y)
+                extra.append(None if pd.isna(hub) else np.setdiff1d(member[0], centre[0], assume_unique=True).view(np.int64))
+            yield pd.DataFrame({"a": p.a, "b": p.b, "hub": p.hub, "similarity": like, "extra": extra})
+
+    few = pairs.count() <= BROADCAST_PAIRS
+    both = texts.toDF("a", "ta").join(F.broadcast(pairs) if few else pairs, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "hub", "ta", "tb")
+    return both.mapInPandas(work, "a long, b long, hub long, similarity double, extra array<long>")
+
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return both.mapInPandas(work, f"a {kind}, b {kind}, similarity double")
+def candidate_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a, b, hub`` to compare, and ``doc, hub`` of the large buckets, from ``key, doc, shared, open, n``."""
+    small, large = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
+    x, y = small.select("key", F.col("doc").alias("a"), F.col("open").alias("oa")), small.select("key", F.col("doc").alias("b"), F.col("open").alias("ob"))
+    close = x.join(y, "key").where("a < b and (oa or ob)").select("a", "b")
+    hubs = large.groupBy("key").agg(F.max(F.struct("shared", "doc")).alias("hub")).select("key", F.col("hub.doc").alias("hub"))
+    met = scratch(large.join(hubs, "key").where("doc <> hub").select("doc", "hub").distinct(), "met")
+    star = met.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"), "hub")
+    return close.withColumn("hub", F.lit(None).cast("long")).unionAll(star).groupBy("a", "b").agg(F.max("hub").alias("hub")), met
+
+
+def sized(members: DataFrame) -> DataFrame:
+    """``members`` with n, the size of their bucket, where it is over 1 and holds an open member."""
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("key", "n")
+    return members.join(sizes, "key")
 
 
 def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``a, b, similarity`` between the signed documents."""
-    rows = signed.where("bands is not null").select(F.explode("bands").alias("key"), "doc")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = scratch(rows.join(sizes, "key"), "members")
-    texts = scratch(only(docs, scratch(members.select("doc").distinct(), "wanted"), "doc"), "texts", "zstd")
-    shared = members.groupBy("doc").agg(F.sum("n").alias("shared"))
-    # state 0 is open, 1 settled, 2 was a hub
-    state = scratch(members.select("key", "doc").join(shared, "doc").select("key", "doc", "shared", F.lit(0).alias("state")), "state")
-    known, part = None, F.lit(0)
+    """Verified links ``a, b, similarity`` between the signed documents (ids are longs)."""
+    rows = signed.where("bands is not null").select(F.explode("bands").alias("key"), "doc", F.lit(True).alias("open"))
+    members = scratch(sized(rows), "members")
+    shared = scratch(members.groupBy("doc").agg(F.sum("n").alias("shared")), "shared")
+    texts = scratch(only(docs, shared.select("doc"), "doc").dropDuplicates(["doc"]), "texts", "zstd")
+    members, found = members.join(shared, "doc"), None
     while True:
-        open_ = F.col("state") == 0
-        left = state.groupBy("key").agg(F.count_if(open_).alias("open"), F.count_if(F.col("state") < 2).alias("left")).where("open > 0 and left > 1")
-        state = scratch(state.join(left.select("key", (F.col("open") <= FEW).alias("few")), "key"), "state")
-        best = state.where(open_ & ~F.col("few")).groupBy("key", part.alias("part")).agg(F.max(F.struct("shared", "doc")).alias("hub")).select("key", F.col("hub.doc").alias("hub"))
-        hubs = scratch(state.where(open_ & F.col("few")).select("key", F.col("doc").alias("hub")).unionAll(best), "hubs")
-        if hubs.isEmpty():
+        pairs, met = candidate_pairs(members)
+        pairs = scratch(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        verified = scratch(verify(pairs, texts), "verified", "zstd")
+        good = verified.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
+        found = good if found is None else found.unionAll(good)
+        again = verified.where("hub is not null").select(
+            F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"), "hub", (F.col("similarity") < similarity).alias("open"), F.explode("extra").alias("shingle")
+        )
+        again = again.select(F.xxhash64("hub", "shingle").alias("key"), "doc", "open")
+        members = scratch(sized(again), "members")
+        if members.isEmpty():
             break
-        met = scratch(state.where("state < 2").join(hubs, "key").where("doc <> hub").select("key", "doc", F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")), "met")
-        pairs = met.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        new = scratch(verify(scratch(pairs, "pairs"), texts), "verified")
-        known = new if known is None else scratch(known.unionAll(new), "known")
-        good = known.where(F.col("similarity") >= similarity).select("a", "b")
-        settled = met.join(good, ["a", "b"], "left_semi").select("key", "doc", F.lit(1).alias("now"))
-        now = settled.unionAll(hubs.select("key", F.col("hub").alias("doc"), F.lit(2).alias("now"))).groupBy("key", "doc").agg(F.max("now").alias("now"))
-        state = state.where("not few").drop("few").join(now, ["key", "doc"], "left").select("key", "doc", "shared", F.greatest("state", F.coalesce("now", F.lit(0))).alias("state"))
-        part = F.pmod(F.xxhash64("doc"), F.lit(HUBS))
-    if known is None:
-        return docs.sparkSession.createDataFrame([], f"a {signed.schema['doc'].dataType.simpleString()}, b {signed.schema['doc'].dataType.simpleString()}, similarity double")
-    return known.where(F.col("similarity") >= similarity)
+        members = members.join(shared, "doc")
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
+    return found.distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its group) and kept."""
+    """One row per document: id (an integer), class_id (the smallest id of its group) and kept."""
     signed = scratch(sign(docs, id_col, text_col), "signed")
     heads = scratch(signed.groupBy("same").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
     ids = heads.where("head is not null").select(F.col("head").alias("doc"))
-    several = signed.join(ids, "doc", "left_semi")
-    text = docs.select(F.col(id_col).alias("doc"), text_of(text_col).alias("text"))
-    labels = components(scratch(links(several, text, similarity), "links"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
+    labels = components(scratch(links(signed.join(ids, "doc", "left_semi"), text, similarity), "links"))
     classes = scratch(heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("same", "n", F.coalesce("label", "head").alias("class_id")), "groups")
     return signed.select("doc", "same").join(classes, "same").select(
         F.col("doc").alias(id_col), "class_id", (F.col("doc").isNull() & F.col("class_id").isNull() | F.coalesce(F.col("doc") == F.col("class_id"), F.lit(False))).alias("kept")
