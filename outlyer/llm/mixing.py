@@ -78,9 +78,9 @@ def calibrated(docs: DataFrame, dims: dict[str, Column], powers: dict[str, float
     ``dims`` maps result columns to expressions; ``powers`` gives the tempering of each (1 keeps
     its shares as they are, 0 makes its levels equal).
     """
-    keep = [c for c in docs.columns if c not in {*dims, "tokens", "weight", "prob", "sampled"} - {"source", "lang"}]
+    keep = [c for c in docs.columns if c not in {*dims, "tokens", "weight", "prob", "sampled"}]
     level = {d: F.coalesce(e.cast("string"), F.lit("unknown")) for d, e in dims.items()}
-    leveled = docs.select(*keep, token_count().alias("__tokens"), *(e.alias(f"__{d}") for d, e in level.items()))
+    leveled = docs.select(*(F.col(f"`{c}`") for c in keep), token_count().alias("__tokens"), *(e.alias(f"__{d}") for d, e in level.items()))
     cells = scratch(
         leveled.groupBy(*(F.col(f"__{d}").alias(d) for d in dims)).agg(F.sum("__tokens").alias("mass"), F.count(F.lit(1)).alias("rows")), "cells"
     )
@@ -93,6 +93,6 @@ def calibrated(docs: DataFrame, dims: dict[str, Column], powers: dict[str, float
     draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"-{seed}"))), 1, 8), 16, 10).cast("double") / 2**32
     dealt = leveled.join(fitted, [f"__{d}" for d in dims])
     return dealt.select(
-        *(c for c in keep if c not in dims), *(F.col(f"__{d}").alias(d) for d in dims), F.col("__tokens").alias("tokens"),
+        *(F.col(f"`{c}`") for c in keep), *(F.col(f"__{d}").alias(d) for d in dims), F.col("__tokens").alias("tokens"),
         F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), (draw < F.round("prob", 6)).alias("sampled"),
     )

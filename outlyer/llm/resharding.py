@@ -152,10 +152,11 @@ def hash_layout(shards: int) -> Column:
 def assign(docs: DataFrame, old_shard: Column, **options) -> DataFrame:
     """``docs``, all columns kept, with shard and slot (columns of those names are replaced).
 
-    Ids must be unique and not null.
+    Rows that share an id share one of their places; rows without an id count as sharing one.
     """
-    places = reshard(docs, old_shard, **options).select("doc_id", "shard", "slot")
-    return docs.drop("shard", "slot").join(places, "doc_id")
+    places = reshard(docs, old_shard, **options).groupBy("doc_id").agg(F.min(F.struct("shard", "slot")).alias("p")).select("doc_id", "p.shard", "p.slot")
+    docs, places = docs.drop("shard", "slot"), places.withColumnRenamed("doc_id", "__id")
+    return docs.join(places, docs["doc_id"].eqNullSafe(places["__id"])).drop("__id")
 
 
 def rewrite_affected(docs: DataFrame, places: DataFrame, source: str, target: str) -> DataFrame:
