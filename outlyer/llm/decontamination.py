@@ -60,16 +60,18 @@ def window_starts(tokens: str, stride: int = 1) -> Column:
     return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
-def window_hash(tokens: str):
-    return lambda i: F.xxhash64(F.slice(F.col(tokens), i, WIDTH))
+def windows(rows: DataFrame, key: str) -> DataFrame:
+    """Every window of rows with ``key, template, raw``: key, pos, h and values (raw words at slots, else null).
 
+    Windows are made inside the row, so that no exploded row carries the document.
+    """
 
-def windows(rows: DataFrame, key: str) -> DataFrame:
-    """Every window of rows with ``key, template, raw``: key, pos, h and values (raw words at slots)."""
-    w = rows.select(key, "template", "raw", F.explode(window_starts("template")).alias("pos"))
-    part = lambda c: F.slice(F.col(c), F.col("pos"), WIDTH)
-    values = F.zip_with(part("template"), part("raw"), lambda t, r: F.when(t.isin(*SLOTS), F.lower(r)))
-    return w.select(key, "pos", F.xxhash64(part("template")).alias("h"), F.when(F.exists(values, lambda v: v.isNotNull()), values).alias("values"))
+    def window(i: Column) -> Column:
+        part = F.slice(F.col("template"), i, WIDTH)
+        values = F.zip_with(part, F.slice(F.col("raw"), i, WIDTH), lambda t, r: F.when(t.isin(*SLOTS), F.lower(r)))
+        return F.struct(i.alias("pos"), F.xxhash64(part).alias("h"), F.when(F.exists(part, lambda t: t.isin(*SLOTS)), values).alias("values"))
+
+    return rows.select(key, F.explode(F.transform(window_starts("template"), window)).alias("w")).select(key, "w.*")
 
 
 def shortest_run(items: DataFrame) -> Column:
@@ -89,7 +91,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_co
 
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_of().alias("text"))
     template = text.select("doc", template_tokens(F.col("text")).alias("template"))
-    seeds = template.select("doc", F.explode(F.transform(window_starts("template", stride), window_hash("template"))).alias("h"))
+    seeds = template.select("doc", F.explode(F.transform(window_starts("template", stride), lambda i: F.xxhash64(F.slice(F.col("template"), i, WIDTH)))).alias("h"))
     found = scratch(seeds.join(sized(items.select("h").distinct()), "h", "left_semi").select("doc").distinct(), "seeded")
 
     again = only(text, found, "doc").select("doc", template_tokens(F.col("text")).alias("template"), raw_tokens(F.col("text")).alias("raw"))
