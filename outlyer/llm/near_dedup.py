@@ -12,8 +12,10 @@
    them with each other; a larger one compares only its hub, the member that shares most buckets,
    with all others. Members that turn out not to be linked to the hub may still be linked to each
    other or to members that are; such a pair shares shingles that the hub lacks. So members of
-   large buckets are dealt again by (hub, shingle that the hub lacks), and these far smaller
-   buckets, where a member is not linked to its hub, are treated the same way until none is large.
+   large buckets are dealt again by (hub, shingle that the hub lacks), of each ``RUN`` such
+   shingles in a row the one of smallest hash (a word that both changed alike shows in five).
+   These far smaller buckets are treated the same way, up to ``FEW_DEALT`` members, until none is large; pairs of
+   members that both are linked to their hub are passed over.
 4. Pairs are verified on the texts: multiset overlap of shingles, ``SIMILARITY`` or more.
 5. Connected components of the verified links are the groups; the smallest id stays.
 
@@ -43,7 +45,9 @@ from outlyer.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 28
 REGISTERS = ROWS * BANDS
-FEW = 8
+FEW, FEW_DEALT = 8, 32
+#: Of so many shingles in a row that a hub lacks, one deals members again.
+RUN = 4
 #: Up to so many pairs are broadcast.
 BROADCAST_PAIRS = 300_000
 #: Shingles that a task works on at a time.
@@ -169,10 +173,21 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).mapInPandas(work, "doc long, same binary, bands array<long>")
 
 
+def winnowed(seq: np.ndarray, lacks: np.ndarray, width: int = RUN) -> np.ndarray:
+    """Of each ``width`` shingles in a row that the hub lacks the smallest; of a shorter run its smallest."""
+    at = np.flatnonzero(lacks)
+    picked = set()
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+        if len(run):
+            v = seq[run]
+            picked.update(np.lib.stride_tricks.sliding_window_view(v, min(width, len(v))).min(1).tolist())
+    return np.array(sorted(picked), np.uint64)
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b, hub, similarity, extra`` of pairs ``a, b, hub`` (a scratch table), from ``doc, text`` rows with unique ids.
 
-    Where hub is a or b, extra lists the other's shingles that the hub lacks; else it is null.
+    Where hub is a or b, extra samples the other's shingles that the hub lacks; else it is null.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,16 +197,17 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if doc not in known:
                 if len(known) >= 256:
                     known.pop(next(iter(known)))
-                known[doc] = bag(word_hashes(text, hashes))
+                seq = shingles(word_hashes(text, hashes))
+                known[doc] = seq, np.unique(seq, return_counts=True)
             return known[doc]
 
         for p in batches:
             like, extra = [], []
             for a, b, hub, ta, tb in zip(p.a, p.b, p.hub, p.ta, p.tb, strict=True):
                 x, y = bag_of(a, ta), bag_of(b, tb)
-                like.append(overlap(x, y))
+                like.append(overlap(x[1], y[1]))
                 member, centre = (y, x) if hub == a else (x, y)
-                extra.append(None if pd.isna(hub) else np.setdiff1d(member[0], centre[0], assume_unique=True).view(np.int64))
+                extra.append(None if pd.isna(hub) else winnowed(member[0], ~np.isin(member[0], centre[1][0])).view(np.int64))
             yield pd.DataFrame({"a": p.a, "b": p.b, "hub": p.hub, "similarity": like, "extra": extra})
 
     few = pairs.count() <= BROADCAST_PAIRS
@@ -199,15 +215,14 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInPandas(work, "a long, b long, hub long, similarity double, extra array<long>")
 
 
-def candidate_pairs(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a, b, hub`` to compare, and ``doc, hub`` of the large buckets, from ``key, doc, shared, open, n``."""
-    small, large = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
+def candidate_pairs(members: DataFrame, few: int) -> DataFrame:
+    """Pairs ``a, b, hub`` to compare, from ``key, doc, shared, open, n``; hub is null for pairs of small buckets."""
+    small, large = members.where(F.col("n") <= few), members.where(F.col("n") > few)
     x, y = small.select("key", F.col("doc").alias("a"), F.col("open").alias("oa")), small.select("key", F.col("doc").alias("b"), F.col("open").alias("ob"))
     close = x.join(y, "key").where("a < b and (oa or ob)").select("a", "b")
     hubs = large.groupBy("key").agg(F.max(F.struct("shared", "doc")).alias("hub")).select("key", F.col("hub.doc").alias("hub"))
-    met = scratch(large.join(hubs, "key").where("doc <> hub").select("doc", "hub").distinct(), "met")
-    star = met.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"), "hub")
-    return close.withColumn("hub", F.lit(None).cast("long")).unionAll(star).groupBy("a", "b").agg(F.max("hub").alias("hub")), met
+    star = large.join(hubs, "key").where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"), "hub")
+    return close.withColumn("hub", F.lit(None).cast("long")).unionAll(star).groupBy("a", "b").agg(F.max("hub").alias("hub"))
 
 
 def sized(members: DataFrame) -> DataFrame:
@@ -222,15 +237,19 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     members = scratch(sized(rows), "members")
     shared = scratch(members.groupBy("doc").agg(F.sum("n").alias("shared")), "shared")
     texts = scratch(only(docs, shared.select("doc"), "doc").dropDuplicates(["doc"]), "texts", "zstd")
-    members, found = members.join(shared, "doc"), None
+    members, found, done = members.join(shared, "doc"), None, None
     while True:
-        pairs, met = candidate_pairs(members)
+        pairs = candidate_pairs(members, FEW if done is None else FEW_DEALT)
+        if done is not None:  # a pair is compared once; of two hubs that it is compared for, one is enough
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch(pairs, "pairs")
         if pairs.isEmpty():
             break
         verified = scratch(verify(pairs, texts), "verified", "zstd")
         good = verified.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
         found = good if found is None else found.unionAll(good)
+        seen = verified.select("a", "b")
+        done = seen if done is None else done.unionAll(seen)
         again = verified.where("hub is not null").select(
             F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"), "hub", (F.col("similarity") < similarity).alias("open"), F.explode("extra").alias("shingle")
         )
