@@ -49,7 +49,7 @@ def to_sql(rule: str, columns: list[str]) -> str:
             parts.append(f"coalesce(`{left[1]}` {op} {value}, false)")
             k += 3
         elif value == "[":
-            if k + 2 >= len(tokens) or tokens[k + 2][1] != "]":
+            if k + 2 >= len(tokens) or tokens[k + 2][1] != "]" or tokens[k + 1][0] != "number":
                 raise ValueError("invalid weight")
             k += 3
         elif kind == "op" and value not in _COMPARE and value != "]":

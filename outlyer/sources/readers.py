@@ -40,7 +40,7 @@ def with_line_numbers(lines: DataFrame, out: str = "line") -> DataFrame:
 
 def labelled_matrix(rows: DataFrame, label: str, features: list[str], anomaly: str = "anomaly") -> DataFrame:
     """``rows`` with ``y`` (1 for the anomaly label) and ``x``, an array of doubles."""
-    return rows.withColumn("y", (F.col(label) == anomaly).cast("int")).withColumn("x", F.array(*(F.col(f).cast("double") for f in features)))
+    return rows.withColumns({"y": (F.col(label) == anomaly).cast("int"), "x": F.array(*(F.col(f).cast("double") for f in features))})
 
 
 def read_dataset(spark: SparkSession, root: str, name: str, fid: int = 1) -> DataFrame:
