@@ -49,10 +49,11 @@ def form_topic(col: str = "text") -> Column:
 
 
 def tempered_targets(cells: DataFrame, dim: str, power: float) -> DataFrame:
-    """Targets of a dimension: its token shares to the given power, summing to 1."""
+    """Targets of a dimension: its token shares to the given power, summing to 1 (0 without tokens)."""
     levels = cells.groupBy(dim).agg(F.sum("mass").alias("m"))
     raised = F.when(F.col("m") > 0, F.pow(F.col("m").cast("double"), F.lit(power))).otherwise(0.0)
-    return levels.select(F.col(dim), raised.alias("t")).withColumn("t", F.col("t") / F.sum("t").over(Window.partitionBy()))
+    total = F.sum("t").over(Window.partitionBy())
+    return levels.select(F.col(dim), raised.alias("t")).withColumn("t", F.when(total > 0, F.col("t") / total).otherwise(0.0))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
