@@ -221,3 +221,40 @@ def weighted_summary(members: DataFrame, weights: DataFrame) -> DataFrame:
     """``id, score, variance`` of w x over members that are not 0."""
     v = F.col("value") * F.col("w")
     return members.where("value <> 0").join(F.broadcast(weights), "member").groupBy("id").agg(F.sum(v).alias("score"), F.var_pop(v).alias("variance"))
+
+
+def least_overlap(memberships: DataFrame, order: DataFrame, n: int) -> list[int]:
+    """``n`` of a few candidates: the best first, then always the row that shares fewest regions with those picked.
+
+    ``memberships`` has ``id, region`` of the candidates, ``order`` their ``id, score``.
+    """
+    regions: dict[int, set] = {r.id: set(r.regions) for r in memberships.groupBy("id").agg(F.collect_set("region").alias("regions")).collect()}
+    left = [r.id for r in order.orderBy(F.col("score").desc(), "id").collect()]
+    picked, seen = [], set()
+    while left and len(picked) < n:
+        k = min(left, key=lambda i: (len(regions.get(i, set()) & seen), left.index(i)))
+        left.remove(k)
+        picked.append(k)
+        seen |= regions.get(k, set())
+    return picked
+
+
+def estimated_quantile(members: DataFrame, names: list[str], tau: float, tries: int = 50, seed: int = 42) -> DataFrame:
+    """``q, low, high`` of scores pooled over random unit weights for members ``names``."""
+    rng = np.random.default_rng(seed)
+    w = rng.normal(size=(tries, len(names)))
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    table = members.sparkSession.createDataFrame([(t, m, float(w[t, k])) for t in range(tries) for k, m in enumerate(names)], "try int, member string, w double")
+    scores = members.join(F.broadcast(table), "member").groupBy("try", "id").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
+    return scores.agg(F.percentile("s", F.lit(1 - tau)).alias("q"), F.min("s").alias("low"), F.max("s").alias("high"))
+
+
+def from_scores(rows: DataFrame, scores: str, id_col: str = "id") -> DataFrame:
+    """``id, member, value`` of an ensemble whose scores are already there as an array."""
+    return rows.select(F.col(id_col).alias("id"), F.posexplode(scores).alias("member", "value"))
+
+
+def confident(summary: DataFrame, tau: float, width: float = 3.0) -> DataFrame:
+    """``summary`` (id, score, variance) with ``sure``: the score less some deviations still tops the tau quantile."""
+    q = summary.agg(F.percentile("score", F.lit(1 - tau)).alias("__q"))
+    return summary.crossJoin(F.broadcast(q)).withColumn("sure", F.col("score") - width * F.sqrt("variance") >= F.col("__q")).drop("__q")

@@ -236,3 +236,41 @@ def region_score(kind: str, samples: int) -> Column:
         "half_space_log": -F.log((n + 1) / (samples + 1) * F.pow(F.lit(2.0), length - 1)),
         "rs_log": -(F.log(F.greatest(n, F.lit(1.0)) / samples) - F.col("log_vol")),
     }[kind]
+
+
+def path_nodes(routed: DataFrame, forest: DataFrame, trees: Column, id_col: str = "id") -> DataFrame:
+    """``id, tree, node`` of every node on the way to the leaves: a join with the leaves' ancestors."""
+
+    def climb(g: pd.DataFrame) -> pd.DataFrame:
+        parent = {c: r.node for r in g.itertuples() if r.left >= 0 for c in (r.left, r.right)}
+        out = []
+        for leaf in g.node[g.left < 0]:
+            k = leaf
+            while k is not None:
+                out.append((int(g.tree.iloc[0]), int(leaf), int(k)))
+                k = parent.get(k)
+        return pd.DataFrame(out, columns=["tree", "leaf", "node"])
+
+    way = forest.groupBy("tree").applyInPandas(climb, "tree int, leaf int, node int")
+    return leaf_features(routed, trees, id_col).withColumnRenamed("node", "leaf").join(F.broadcast(way), ["tree", "leaf"]).select(id_col, "tree", "node")
+
+
+def from_decision_tree(model, features: list[str], tree: int = 0) -> list[tuple]:
+    """Nodes of an MLlib decision tree, its leaves' share of label 1 in place of log_vol."""
+    out = []
+
+    def walk(node, depth):
+        me = len(out)
+        out.append(None)
+        stats = list(node.impurityStats().stats())
+        share = stats[1] / max(1e-12, sum(stats))
+        if node.numDescendants() == 0:
+            out[me] = (tree, me, -1, -1, -1, 0.0, int(sum(stats)), depth, float(share))
+        else:
+            split = node.split()
+            left, right = walk(node.leftChild(), depth + 1), walk(node.rightChild(), depth + 1)
+            out[me] = (tree, me, left, right, int(split.featureIndex()), float(split.threshold()), int(sum(stats)), depth, float(share))
+        return me
+
+    walk(model._java_obj.rootNode(), 0)
+    return out

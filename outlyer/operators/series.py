@@ -145,3 +145,18 @@ def simulate_activities(spark, n_series: int, length: int, seed: int = 42) -> Da
                 yield pd.DataFrame({"series_id": i, "t": range(length), "value": values[:length], "activity": names[:length]})
 
     return spark.range(n_series).mapInPandas(work, "series_id long, t int, value double, activity int")
+
+
+def shingle_rows(rows: DataFrame, by: list[str], order: list[str], value: str, size: int, skip: int | None = None) -> DataFrame:
+    """Shingles as instances: ``id`` over all series and a column a place, for any detector."""
+    s = shingles(rows, by, order, value, size, skip)
+    flat = s.select(*by, "start", *(F.col("shingle")[k].alias(f"x{k}") for k in range(size)))
+    from outlyer.functions.ranking import row_numbers
+
+    return row_numbers(flat, [*by, "start"], "id")
+
+
+def label_centroids(rows: DataFrame, label: str, x: str) -> DataFrame:
+    """``label, centre``: the mean vector of each label."""
+    flat = rows.select(label, F.posexplode(x).alias("k", "v")).groupBy(label, "k").agg(F.avg("v").alias("v"))
+    return flat.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("a")).select(label, F.transform("a", lambda s: s["v"]).alias("centre"))

@@ -358,3 +358,120 @@ def cl1(spark, sf):
 @query("cl6_normal_samples")
 def cl6(spark, sf):
     return learn.normal_samples(spark, [(200, [0.0, 0.0], [[1.0, 0.5], [0.5, 1.0]]), (20, [4.0, 4.0], [[0.2, 0.0], [0.0, 0.2]])])
+
+
+@query("ag11_path_counts", f"WITH {MODEL}, up(tree, leaf, node) AS (VALUES (0,2,2),(0,2,0),(0,3,3),(0,3,1),(0,3,0),(0,4,4),(0,4,1),(0,4,0),(1,1,1),(1,1,0),(1,3,3),(1,3,2),(1,3,0),(1,4,4),(1,4,2),(1,4,0),(2,3,3),(2,3,1),(2,3,0),(2,4,4),(2,4,1),(2,4,0),(2,5,5),(2,5,2),(2,5,0),(2,6,6),(2,6,2),(2,6,0)) SELECT r.tree, u.node, count(*) AS n FROM routed r JOIN up u ON u.tree = r.tree AND u.leaf = r.node GROUP BY ALL")
+def ag11(spark, sf):
+    model = forest.Model.of(small_forest(spark), FEATURES)
+    trees = F.array(*(F.lit(int(t)) for t in model.trees))
+    on_way = forest.path_nodes(forest.route(instances(spark, sf), model), small_forest(spark), trees)
+    return on_way.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ag14_estimated_quantile")
+def ag14(spark, sf):
+    names = [r.region for r in regions(spark).select("region").orderBy("region").collect()]
+    return active.estimated_quantile(members(spark, sf).where("id < 500"), names, 0.03, 10)
+
+
+@query("ag5_found_in_budget", f"WITH {_MEMBERS}, s AS (SELECT id, y, round(sum(value * w), 6) AS s FROM member GROUP BY id, y) SELECT id, sum(y) OVER (ORDER BY s DESC, id) AS found FROM s ORDER BY s DESC, id LIMIT 60")
+def ag5(spark, sf):
+    s = members(spark, sf).join(F.broadcast(weights(spark)), "member").groupBy("id", "y").agg(F.round(F.sum(F.col("value") * F.col("w")), 6).alias("s"))
+    best = s.orderBy(F.col("s").desc(), "id").limit(60)
+    return best.select("id", F.sum("y").over(Window.partitionBy().orderBy(F.col("s").desc(), "id")).alias("found"))  # 60 rows
+
+
+_SUMS = f"{_MEMBERS}, s AS (SELECT id, round(sum(value * w), 6) AS s FROM member GROUP BY id)"
+
+
+def _scores(spark, sf):
+    return members(spark, sf).join(F.broadcast(weights(spark)), "member").groupBy("id").agg(F.round(F.sum(F.col("value") * F.col("w")), 6).alias("score"))
+
+
+@query("al11_query_top", f"WITH {_SUMS} SELECT id FROM s WHERE id % 7 <> 0 ORDER BY s DESC, id LIMIT 5")
+def al11(spark, sf):
+    s = _scores(spark, sf)
+    return s.join(s.where("id % 7 = 0").select("id"), "id", "left_anti").orderBy(F.col("score").desc(), "id").limit(5).select("id")
+
+
+@query("al12_query_top_random", f"WITH {_SUMS}, t AS (SELECT id FROM s ORDER BY s DESC, id LIMIT 40) SELECT id FROM t ORDER BY (id * 2654435761 + 42) % 2147483647, id LIMIT 5")
+def al12(spark, sf):
+    from outlyer.operators.select import sample
+
+    return sample(_scores(spark, sf).orderBy(F.col("score").desc(), "id").limit(40), 5).select("id")
+
+
+@query("al14_query_quantile", f"WITH {_SUMS}, q AS (SELECT quantile_cont(s, 0.97) AS q FROM s) SELECT id FROM s, q ORDER BY round(abs(s - q), 7), id LIMIT 5")
+def al14(spark, sf):
+    s = _scores(spark, sf)
+    q = s.agg(F.percentile("score", F.lit(0.97)).alias("q"))
+    return s.crossJoin(F.broadcast(q)).orderBy(F.round(F.abs(F.col("score") - F.col("q")), 7), "id").limit(5).select("id")
+
+
+@query("wn18_least_overlap")
+def wn18(spark, sf):
+    order = _scores(spark, sf).orderBy(F.col("score").desc(), "id").limit(12)
+    own = members(spark, sf).join(F.broadcast(order.select("id")), "id", "left_semi").select("id", F.col("member").alias("region"))
+    return spark.createDataFrame([(k, i) for k, i in enumerate(active.least_overlap(own, order, 4))], "pick int, id long")
+
+
+@query("sm11_confident", f"WITH {_MEMBERS}, s AS (SELECT id, round(sum(value * w), 8) AS s, round(var_pop(value * w), 10) AS v FROM member GROUP BY id), q AS (SELECT quantile_cont(s, 0.97) AS q FROM s) SELECT count(*) FILTER (s - 0.01 * sqrt(v) >= q) AS n FROM s, q")
+def sm11(spark, sf):
+    summary = active.weighted_summary(members(spark, sf), weights(spark)).select("id", F.round("score", 8).alias("score"), F.round("variance", 10).alias("variance"))
+    return active.confident(summary, 0.03, 0.01).agg(F.count_if("sure").alias("n"))
+
+
+@query("al8_existing_scores", f"WITH {INST} SELECT id, unnest([0, 1, 2]) AS member, unnest([x0, x1, x2]) AS value FROM inst")
+def al8(spark, sf):
+    return active.from_scores(instances(spark, sf).withColumn("s", F.array(*FEATURES)), "s")
+
+
+@query("al9_decision_tree_regions")
+def al9(spark, sf):
+    rows = instances(spark, sf).withColumn("y", (F.col("x0") > 60).cast("int"))
+    nodes = forest.from_decision_tree(learn.fit(rows, FEATURES, "tree"), FEATURES)
+    return forest.regions(spark.createDataFrame(nodes, forest.NODES), FEATURES).select("region", "n", F.col("log_vol").alias("share"))
+
+
+@query("sm13_drift_windows")
+def sm13(spark, sf):
+    """Divergence of each day's leaf shares from the first day's, tree by tree."""
+    day = instances(spark, sf).select("id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    leaves = routed(spark, sf).join(day, "id")
+    n = leaves.groupBy("day", "tree", "node").agg(F.count(F.lit(1)).alias("c"))
+    p = n.withColumn("p", F.col("c") / F.sum("c").over(Window.partitionBy("day", "tree")))
+    first = p.join(F.broadcast(p.agg(F.min("day").alias("day"))), "day").select("tree", "node", F.col("p").alias("q"))
+    return p.join(F.broadcast(first), ["tree", "node"]).groupBy("day", "tree").agg(F.sum(F.col("p") * (F.log("p") - F.log("q"))).alias("kl"))
+
+
+@query("sc10_bin_lookup", f"WITH {INST} SELECT id, CAST(greatest(0, least(9, floor((x0 - 5) / 20))) AS INTEGER) AS bin FROM inst")
+def sc10(spark, sf):
+    place = F.greatest(F.lit(0), F.least(F.lit(9), F.floor((F.col("x0") - 5) / 20))).cast("int")
+    return instances(spark, sf).select("id", place.alias("bin"))
+
+
+@query("ds3_bayesian_ruleset")
+def ds3(spark, sf):
+    import numpy as np
+
+    from outlyer.functions import rules
+
+    rows = instances(spark, sf).where("id < 400").withColumn("y", (F.col("x0") > 80).cast("int"))
+    candidates = ["x0 > 90", "x0 > 60", "x1 > 12", "x0 > 75 & x2 > 20", "x2 < 30"]
+    cells = rules.satisfaction(rows, candidates).toPandas()  # 400 labelled rows
+    covered = cells.pivot(index="id", columns="rule_id", values="covered").to_numpy()
+    y = np.array([r.y for r in rows.select("id", "y").orderBy("id").collect()])
+    chosen = describe.bayesian_ruleset(covered, y, [len(rules.ConjunctiveRule.parse(c)) for c in candidates])
+    return spark.createDataFrame([(k, candidates[k]) for k in chosen], "rule_id int, rule string")
+
+
+@query("pr14_region_rules", f"WITH {BOXES} SELECT region, count(*) AS parts FROM (SELECT region, unnest([lo_x0, lo_x1, lo_x2, hi_x0, hi_x1, hi_x2]) AS b FROM box) WHERE b IS NOT NULL GROUP BY region")
+def pr14(spark, sf):
+    from outlyer.functions import rules
+
+    inf = float("inf")
+    out = []
+    for r in regions(spark).collect():  # a model's regions
+        box = {f: (-inf if r[f"lo_{f}"] is None else r[f"lo_{f}"], inf if r[f"hi_{f}"] is None else r[f"hi_{f}"]) for f in FEATURES}
+        out.append((r.region, len(rules.ConjunctiveRule.parse(rules.rule_of_ranges(box)))))
+    return spark.createDataFrame(out, "region string, parts long")

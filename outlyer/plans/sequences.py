@@ -161,3 +161,30 @@ def gr5(spark, sf):
 def dt21(spark, sf):
     y = vecs(spark, sf).select("id", F.when(F.col("id") < 50, (F.col("label") == 3).cast("double")).alias("y"))
     return graph.diffusion(edges(spark, sf), y, rounds=3)
+
+
+@query("jn11_sampled_edges", f"WITH {_EDGES}, k AS (SELECT src, dst, w FROM e WHERE src < dst AND ((src * 1000003 + dst) * 2654435761 + 42) % 2147483647 < 0.5 * 2147483647) SELECT src, dst, w FROM k UNION ALL SELECT dst, src, w FROM k")
+def jn11(spark, sf):
+    return graph.sample_edges(edges(spark, sf), 0.5)
+
+
+@query("ts4_shingle_outliers")
+def ts4(spark, sf):
+    from outlyer.operators import forest
+
+    rows = series.shingle_rows(events(spark, sf), ["user_id"], ["event_id"], "value", 4, 2)
+    names = [f"x{k}" for k in range(4)]
+    model = forest.Model.of(forest.fit(rows, names, trees=30), names)
+    return forest.isolation_score(rows, model).select("user_id", "start", "score").orderBy(F.col("score").desc(), "user_id", "start").limit(10)
+
+
+@query("ts6_label_centroids", "SELECT label, round(avg(embedding[1]), 5) AS first, round(avg(embedding[64]), 5) AS last FROM embeddings GROUP BY label")
+def ts6(spark, sf):
+    c = series.label_centroids(vecs(spark, sf), "label", "x")
+    return c.select("label", F.round(F.col("centre")[0], 5).alias("first"), F.round(F.col("centre")[63], 5).alias("last"))
+
+
+@query("gr7_margins", "WITH e AS (SELECT vec_id AS id, [embedding[1], embedding[2], embedding[3]] AS l FROM embeddings), x AS (SELECT id, unnest([0, 1, 2]) AS label, exp(CAST(unnest(l) AS DOUBLE)) AS p FROM e), r AS (SELECT id, label, p / sum(p) OVER (PARTITION BY id) AS p, row_number() OVER (PARTITION BY id ORDER BY p DESC, label) AS k FROM x) SELECT id, max(label) FILTER (k = 1) AS first, max(label) FILTER (k = 2) AS second, round(max(p) FILTER (k = 1) - max(p) FILTER (k = 2), 6) AS margin FROM r GROUP BY id")
+def gr7(spark, sf):
+    probs = graph.probabilities(vecs(spark, sf).select("id", F.slice("x", 1, 3).alias("logits")))
+    return graph.margins(probs).select("id", "first", "second", F.round("margin", 6).alias("margin"))
