@@ -29,6 +29,8 @@ from outlyer.llm.common import crc_of_id, scratch, text_of
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 16
 BLOCK_ROWS = 1024
+#: Up to so many places (20 bytes each) are broadcast.
+BROADCAST_PLACES = 500_000
 #: A document over this part of a shard's capacity counts as large.
 LARGE = 1 / 200
 
@@ -155,7 +157,9 @@ def assign(docs: DataFrame, old_shard: Column, **options) -> DataFrame:
     Rows that share an id share one of their places; rows without an id count as sharing one.
     """
     places = reshard(docs, old_shard, **options).groupBy("doc_id").agg(F.min(F.struct("shard", "slot")).alias("p")).select("doc_id", "p.shard", "p.slot")
-    docs, places = docs.drop("shard", "slot"), places.withColumnRenamed("doc_id", "__id")
+    docs, places = docs.drop("shard", "slot"), scratch(places.withColumnRenamed("doc_id", "__id"), "places")
+    if places.count() <= BROADCAST_PLACES:  # else the documents are shuffled by id
+        places = F.broadcast(places)
     return docs.join(places, docs["doc_id"].eqNullSafe(places["__id"])).drop("__id")
 
 
