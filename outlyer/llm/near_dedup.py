@@ -10,19 +10,20 @@
 2. Classes of equal word sequences are told by a 128-bit hash; only the smallest id of each goes on.
 3. Bands of ``ROWS`` registers are hashed into buckets. A bucket of up to ``FEW`` members compares
    them with each other; a larger one compares only its hub, the member that shares most buckets,
-   with all others. Members that turn out not to be linked to the hub may still be linked to each
-   other or to members that are; such a pair shares shingles that the hub lacks. So members of
-   large buckets are dealt again by (hub, shingle that the hub lacks), of each ``RUN`` such
-   shingles in a row the one of smallest hash (a word that both changed alike shows in five).
-   These far smaller buckets are treated the same way, up to ``FEW_DEALT`` members, until none is large; pairs of
-   members that both are linked to their hub are passed over.
+   with all others; those not linked to it also meet the chief hubs that it is linked to. Members
+   that are not linked to the hub may still be linked to each other or to members that are; such a
+   pair shares shingles that the hub lacks. So members of large buckets are dealt again by (hub,
+   shingle that the hub lacks), of each ``RUN`` such shingles in a row the one of smallest hash (a
+   word that both changed alike shows in five). These far smaller buckets are treated the same way,
+   up to ``FEW_DEALT`` members, until none is large; pairs of members that both are linked to
+   their hub are passed over.
 4. Pairs are verified on the texts: multiset overlap of shingles, ``SIMILARITY`` or more.
 5. Connected components of the verified links are the groups; the smallest id stays.
 
 At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 6) ** 28 = 0.9998. Work
-is linear in the size of a hot group: each member meets one hub a bucket. In a bucket of more than
-``FEW``, a link between a member that is not linked to the hub and a shorter one whose shingles all
-are the hub's is found only through another band or member.
+is linear in the size of a hot group: each member meets one hub a bucket and a few chief ones. In a
+bucket of more than ``FEW``, a link between a member that is not linked to any of these and a shorter
+one whose shingles all are the hub's is found only through another band or member.
 
 Defined cases: null texts count as empty; texts without words are copies of each other; texts of
 less than five words are one shingle; null ids are each a group of their own unless an equal text
@@ -225,6 +226,18 @@ def candidate_pairs(members: DataFrame, few: int) -> DataFrame:
     return close.withColumn("hub", F.lit(None).cast("long")).unionAll(star).groupBy("a", "b").agg(F.max("hub").alias("hub"))
 
 
+def other_hubs(verified: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of members that are not linked to their hub and the chief hubs that it is linked to.
+
+    A hub's chief hubs are, of each of ``FEW`` parts of its linked hubs, the one that shares most buckets.
+    """
+    star = verified.where("hub is not null").select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"), (F.col("similarity") >= similarity).alias("linked"))
+    hubs = star.select(F.col("hub").alias("doc")).distinct().join(shared, "doc")
+    near = star.where("linked").join(hubs, "doc").groupBy("hub", F.pmod(F.xxhash64("doc"), F.lit(FEW)).alias("part")).agg(F.max(F.struct("shared", "doc")).alias("chief"))
+    met = star.where("not linked").select("hub", "doc").join(near.select("hub", F.col("chief.doc").alias("chief")), "hub").where("doc <> chief")
+    return met.select(F.least("doc", "chief").alias("a"), F.greatest("doc", "chief").alias("b")).distinct()
+
+
 def sized(members: DataFrame) -> DataFrame:
     """``members`` with n, the size of their bucket, where it is over 1 and holds an open member."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("key", "n")
@@ -246,9 +259,11 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         if pairs.isEmpty():
             break
         verified = scratch(verify(pairs, texts), "verified", "zstd")
-        good = verified.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
+        more = scratch(other_hubs(verified, shared, similarity).join(verified, ["a", "b"], "left_anti").withColumn("hub", F.lit(None).cast("long")), "chiefs")
+        compared = verified.select("a", "b", "similarity").unionAll(scratch(verify(more, texts).select("a", "b", "similarity"), "verified"))
+        good = compared.where(F.col("similarity") >= similarity)
         found = good if found is None else found.unionAll(good)
-        seen = verified.select("a", "b")
+        seen = compared.select("a", "b")
         done = seen if done is None else done.unionAll(seen)
         again = verified.where("hub is not null").select(
             F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"), "hub", (F.col("similarity") < similarity).alias("open"), F.explode("extra").alias("shingle")
