@@ -168,7 +168,7 @@ def sm7(spark, sf):
     return drift.trees_to_replace(kls, drift.threshold(kls, 0.5)).select("tree")
 
 
-@query("sm4_blended_counts", f"WITH {MODEL}, b AS (SELECT tree, node, count(*) AS c FROM routed WHERE id % 5 = 0 GROUP BY ALL) SELECT x.tree, x.node, round(0.7 * n + 0.3 * coalesce(c, 0), 4) AS n FROM box x LEFT JOIN b ON b.tree = x.tree AND b.node = x.node")
+@query("sm4_blended_counts", f"WITH {MODEL}, b AS (SELECT tree, node, count(*) AS c FROM routed WHERE id % 5 = 0 GROUP BY ALL) SELECT x.tree, x.node, round(CAST(0.7 AS DOUBLE) * n + CAST(0.3 AS DOUBLE) * coalesce(c, 0), 4) AS n FROM box x LEFT JOIN b ON b.tree = x.tree AND b.node = x.node")
 def sm4(spark, sf):
     buffer = routed(spark, sf).where("id % 5 = 0").groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"))
     return drift.blended_counts(regions(spark), buffer, 0.3).select("tree", "node", F.round("n", 4).alias("n"))
@@ -374,7 +374,7 @@ def ag14(spark, sf):
     return active.estimated_quantile(members(spark, sf).where("id < 500"), names, 0.03, 10)
 
 
-@query("ag5_found_in_budget", f"WITH {_MEMBERS}, s AS (SELECT id, y, round(sum(value * w), 6) AS s FROM member GROUP BY id, y) SELECT id, sum(y) OVER (ORDER BY s DESC, id) AS found FROM s ORDER BY s DESC, id LIMIT 60")
+@query("ag5_found_in_budget", f"WITH {_MEMBERS}, s AS (SELECT id, y, round(sum(value * w), 6) AS s FROM member GROUP BY id, y) SELECT id, CAST(sum(y) OVER (ORDER BY s DESC, id) AS BIGINT) AS found FROM s ORDER BY s DESC, id LIMIT 60")
 def ag5(spark, sf):
     s = members(spark, sf).join(F.broadcast(weights(spark)), "member").groupBy("id", "y").agg(F.round(F.sum(F.col("value") * F.col("w")), 6).alias("s"))
     best = s.orderBy(F.col("s").desc(), "id").limit(60)

@@ -212,7 +212,7 @@ def pr13(spark, sf):
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 
-@query("pr18_one_hot", "WITH l AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id AS id, code, list_sum(list_transform(range(5), lambda i: CASE WHEN i = code THEN i ELSE 0 END)) AS position FROM events JOIN l USING (event_type)")
+@query("pr18_one_hot", "WITH l AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id AS id, code, CAST(list_sum(list_transform(range(5), lambda i: CASE WHEN i = code THEN i ELSE 0 END)) AS BIGINT) AS position FROM events JOIN l USING (event_type)")
 def pr18(spark, sf):
     hot = rules.one_hot(table(spark, sf, "events").select("event_id", "event_type"), "event_type")
     place = F.aggregate(F.transform("hot", lambda v, i: (v * i).cast("long")), F.lit(0).cast("long"), lambda s, v: s + v)
@@ -245,7 +245,7 @@ def jn6(spark, sf):
 _NEAR = f"{VEC}, q AS (SELECT * FROM vec WHERE id % 20 = 0), far AS (SELECT q.id, v.id AS other, list_sum(list_transform(list_zip(q.x, v.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d2 FROM q, vec v), near AS (SELECT id, other, d2, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS pos FROM far QUALIFY pos <= 5)"
 
 
-@query("jn9_nearest", f"WITH {_NEAR} SELECT id, other, round(d2, 6) AS d2, pos FROM near")
+@query("jn9_nearest", f"WITH {_NEAR} SELECT id, other, round(d2, 6) AS d2, CAST(pos AS INTEGER) AS pos FROM near")
 def jn9(spark, sf):
     v = vecs(spark, sf)
     return joins.nearest(v, v.where("id % 20 = 0"), 5).select("id", "other", F.round("d2", 6).alias("d2"), "pos")
@@ -269,7 +269,7 @@ def jn10(spark, sf):
     return joins.within_hops(edges, spark.createDataFrame([(0,)], "node long"), 3)
 
 
-@query("ag1_discovery_curve", f"WITH {SCORED} SELECT id, sum(y) OVER (ORDER BY score DESC, id) AS seen FROM scored")
+@query("ag1_discovery_curve", f"WITH {SCORED} SELECT id, CAST(sum(y) OVER (ORDER BY score DESC, id) AS BIGINT) AS seen FROM scored")
 def ag1(spark, sf):
     return metrics.discovery(scored(spark, sf).select("id", "score", "y"), ["-score", "id"]).select("id", "seen")
 
@@ -295,7 +295,7 @@ def ag6(spark, sf):
     return metrics.averages_over_runs(e, ["event_type", "h"], "value").select("event_type", "h", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "runs")
 
 
-@query("ag8_distinct_so_far", "SELECT event_id AS id, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS n_classes FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS INTEGER) AS new FROM events)")
+@query("ag8_distinct_so_far", "SELECT event_id AS id, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS n_classes FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS INTEGER) AS new FROM events)")
 def ag8(spark, sf):
     return metrics.distinct_so_far(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["event_id"], "event_type", ["user_id"]).select(F.col("event_id").alias("id"), "n_classes")
 
@@ -320,7 +320,7 @@ def ag16(spark, sf):
     return instances(spark, sf).groupBy(F.when(F.col("id") % 3 == 0, "labelled").otherwise("unlabelled").alias("state"), "y").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ag17_vocabulary", r"SELECT w AS word, n, row_number() OVER (ORDER BY n DESC, w) AS code FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 999)")
+@query("ag17_vocabulary", r"SELECT w AS word, n, CAST(row_number() OVER (ORDER BY n DESC, w) AS INTEGER) AS code FROM (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS w FROM documents) GROUP BY w ORDER BY n DESC, w LIMIT 999)")
 def ag17(spark, sf):
     words = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     return metrics.vocabulary(words, "word", 1000)
@@ -411,7 +411,7 @@ def sc3(spark, sf):
     return spark.range(1, 513).select(F.col("id").alias("n"), F.round(vectors.average_path_length(F.col("id")), 8).alias("c"))
 
 
-@query("sc9_elementwise", f"WITH {INST} SELECT id, sign(x0 - 50) AS s, round(greatest(x0 - 50, 0.2 * (x0 - 50)), 6) AS leaky, least(greatest(x0, 10), 100) AS clipped FROM inst")
+@query("sc9_elementwise", f"WITH {INST} SELECT id, CAST(sign(x0 - 50) AS DOUBLE) AS s, round(greatest(x0 - 50, 0.2 * (x0 - 50)), 6) AS leaky, least(greatest(x0, 10), 100) AS clipped FROM inst")
 def sc9(spark, sf):
     d = F.col("x0") - 50
     return instances(spark, sf).select("id", F.signum(d).alias("s"), F.round(vectors.leaky_relu(d), 6).alias("leaky"), vectors.clip(F.col("x0"), 10.0, 100.0).alias("clipped"))
