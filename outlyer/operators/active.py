@@ -1,8 +1,8 @@
 """Active discovery: member weights learnt from an analyst's labels.
 
 Scoring and ranking are Spark jobs over all rows; the labelled rows (a budget's worth) and the
-weights live on the driver, where the small optimisation runs. A round is one job: score, drop
-labelled rows, take the best few.
+weights live on the driver, where the small optimisation runs. A round is a few jobs of one scan each:
+the best rows that have no label, the score quantile, and the row at it.
 """
 
 from __future__ import annotations
