@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import lru_cache
 
 import xxhash
@@ -41,6 +42,18 @@ def scratch(df: DataFrame, tag: str, compression: str = "lz4_raw") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000):
+    """Python sees at most so many rows at a time in jobs that run inside; documents are large rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(col: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -59,7 +72,7 @@ def held_out(col: str = "doc_id") -> Column:
 class WordHash(dict):
     """64-bit hashes of words, remembered up to ``most`` words at a time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyer.llm.common import WORD, WordHash, only, scratch, text_of
+from outlyer.llm.common import WORD, WordHash, only, scratch, small_batches, text_of
 from outlyer.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -280,11 +280,14 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id (an integer), class_id (the smallest id of its group) and kept."""
-    signed = scratch(sign(docs, id_col, text_col), "signed")
+    with small_batches(docs.sparkSession):
+        signed = scratch(sign(docs, id_col, text_col), "signed")
     heads = scratch(signed.groupBy("same").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
     ids = heads.where("head is not null").select(F.col("head").alias("doc"))
     text = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    labels = components(scratch(links(signed.join(ids, "doc", "left_semi"), text, similarity), "links"))
+    with small_batches(docs.sparkSession, 1_000):
+        linked = scratch(links(signed.join(ids, "doc", "left_semi"), text, similarity), "links")
+    labels = components(linked)
     classes = scratch(heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("same", "n", F.coalesce("label", "head").alias("class_id")), "groups")
     return signed.select("doc", "same").join(classes, "same").select(
         F.col("doc").alias(id_col), "class_id", (F.col("doc").isNull() & F.col("class_id").isNull() | F.coalesce(F.col("doc") == F.col("class_id"), F.lit(False))).alias("kept")
