@@ -18,8 +18,6 @@ table gives an empty result; columns named like the results are replaced.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -163,10 +163,10 @@ def assign(docs: DataFrame, old_shard: Column, **options) -> DataFrame:
     return docs.join(places, docs["doc_id"].eqNullSafe(places["__id"])).drop("__id")
 
 
-def rewrite_affected(docs: DataFrame, places: DataFrame, source: str, target: str) -> DataFrame:
+def rewrite_affected(docs: DataFrame, places: DataFrame, target: str) -> DataFrame:
     """Write to ``target`` (one folder a shard) only the shards whose rows change.
 
-    A shard is affected when a row enters or leaves it; the others keep their files at ``source``.
+    A shard is affected when a row enters or leaves it; the others keep their files.
     Returns ``shard, rows_in, rows_out`` of the affected shards.
     """
     moved = places.where("shard <> old_shard")

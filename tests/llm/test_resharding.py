@@ -62,8 +62,8 @@ def test_odd_rows(odd, empty):
 def test_only_affected_shards_are_written(make, tmp_path, spark):
     df = make(["t" * 10] * 40)
     places = R.reshard(df, F.lit(0), capacities={0: 10**6, 1: 10}).select("doc_id", "shard", "slot", "old_shard")
-    assert R.rewrite_affected(df, places, "", str(tmp_path / "t")).count() == 0
+    assert R.rewrite_affected(df, places, str(tmp_path / "t")).count() == 0
     places = R.reshard(df, F.col("doc_id") % 2, capacities={0: 10**6, 1: 10**6, 2: 10**6}, cost=lambda i, j: 0 if (i, j) in ((0, 0), (1, 2)) else 1).select("doc_id", "shard", "slot", "old_shard")
-    affected = {r.shard: (r.rows_in, r.rows_out) for r in R.rewrite_affected(df, places, "", str(tmp_path / "u")).collect()}
+    affected = {r.shard: (r.rows_in, r.rows_out) for r in R.rewrite_affected(df, places, str(tmp_path / "u")).collect()}
     assert affected == {1: (0, 20), 2: (20, 0)}
     assert {r.shard for r in spark.read.parquet(str(tmp_path / "u")).select("shard").distinct().collect()} == {2}
