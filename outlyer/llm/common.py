@@ -118,7 +118,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
 BROADCAST_IDS = 500_000
 
 
-def only(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+def only(rows: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is among ``ids`` (a scratch table of distinct keys), by a join fit for its size."""
     few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
