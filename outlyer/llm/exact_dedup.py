@@ -14,7 +14,7 @@ return) became one space; null counts as empty.
    execution splits a hot class.
 
 Defined cases: an empty table gives an empty result; null ids rank last; of rows repeated with
-the same id and text one stays; extra columns of the input are ignored by :func:`classes` and kept
+the same id and text one stays; a text of any length is read whole; extra columns of the input are ignored by :func:`classes` and kept
 by :func:`deduplicate`.
 """
 
@@ -68,6 +68,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bro
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without later copies, all columns kept. Ids must be unique and not null."""
-    dropped = classes(docs, id_col, text_col).where(~F.col("kept")).select(id_col)
-    return docs.join(dropped, id_col, "left_anti")
+    """``docs`` without later copies, all columns kept.
+
+    Of equal texts the row with the smallest id stays, whatever other rows have that id; of rows that
+    share text and smallest id any one stays. Texts that occur once are not shuffled.
+    """
+    repeated = classes(docs, id_col, text_col).where("group_size > 1")
+    groups = scratch(repeated.groupBy("text_sha256").agg(F.min("keep_id").alias("__first")).withColumnRenamed("text_sha256", "__sha"), "groups")
+    few = groups.count() <= BROADCAST_KEYS
+    groups = groups.withColumn("__repeated", F.lit(True))
+    marked = docs.withColumn("__sha", F.sha2(normalised(text_col), 256)).join(F.broadcast(groups) if few else groups, "__sha", "left")
+    single = marked.where("__repeated is null").select(docs.columns)
+    first = marked.where(F.col("__repeated") & F.col(id_col).eqNullSafe(F.col("__first"))).dropDuplicates(["__sha"]).select(docs.columns)
+    return single.unionAll(first)

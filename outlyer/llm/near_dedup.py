@@ -10,24 +10,23 @@
 2. Classes of equal word sequences are told by a 128-bit hash; only the smallest id of each goes on.
 3. Bands of ``ROWS`` registers are hashed into buckets. A bucket of up to ``FEW`` members compares
    them with each other; a larger one compares only its hub, the member that shares most buckets,
-   with all others; those not linked to it also meet the chief hubs that it is linked to. Members
-   that are not linked to the hub may still be linked to each other or to members that are; such a
-   pair shares shingles that the hub lacks. So members of large buckets are dealt again by (hub,
-   shingle that the hub lacks), of each ``RUN`` such shingles in a row the one of smallest hash (a
-   word that both changed alike shows in five). These far smaller buckets are treated the same way,
-   up to ``FEW_DEALT`` members, until none is large; pairs of members that both are linked to
-   their hub are passed over.
+   with all others. Two members that both are linked to the hub are linked through it. If one of them, a, is not, and
+   a and b are linked, then what tells a from the hub and what tells b from it (shingles that one has more
+   often, or less often) must overlap: were they disjoint, a and b would differ by their sum, which
+   is more than a link allows. At least 4/9 of what tells b from the hub is shared. So members of large buckets that
+   hold an unlinked member are dealt again by (hub, difference): unlinked members by all of theirs, linked ones by
+   the first 5/9 and one more of theirs in the order of a hash. Those buckets are treated the same way, up to ``FEW_DEALT``
+   members, until none is large. No link between members of one bucket is lost, whatever the bucket's size.
 4. Pairs are verified on the texts: multiset overlap of shingles, ``SIMILARITY`` or more.
 5. Connected components of the verified links are the groups; the smallest id stays.
 
-At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 6) ** 28 = 0.9998. Work
-is linear in the size of a hot group: each member meets one hub a bucket and a few chief ones. In a
-bucket of more than ``FEW``, a link between a member that is not linked to any of these and a shorter
-one whose shingles all are the hub's is found only through another band or member.
+At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 6) ** 28 = 0.9998; nothing else is left
+to chance. Work is linear in the size of a hot group whose members are linked to its hub.
 
 Defined cases: null texts count as empty; texts without words are copies of each other; texts of
 less than five words are one shingle; null ids are each a group of their own unless an equal text
-has an id; repeated rows share a group, and rows with the same id share their fate.
+has an id; repeated rows share a group, and rows with the same id share their fate (of their texts one is compared); an
+empty table gives an empty result; columns other than id and text are not read; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -46,10 +45,8 @@ from outlyer.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 28
 REGISTERS = ROWS * BANDS
-FEW, FEW_DEALT = 8, 32
-#: Of so many shingles in a row that a hub lacks, one deals members again.
-RUN = 4
-#: Up to so many pairs are broadcast.
+FEW, FEW_DEALT = 6, 24
+#: Up to so many pairs (three integers each) are broadcast.
 BROADCAST_PAIRS = 300_000
 #: Shingles that a task works on at a time.
 AT_ONCE = 400_000
@@ -137,7 +134,10 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, same`` (a hash of the word sequence) and ``bands``, null for texts without words."""
+    """``doc, same`` (a hash of the word sequence) and ``bands``, null for texts without words.
+
+    Null ids are set aside before Python sees them, as pandas would turn the ids beside them into floats.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHash()
@@ -169,26 +169,30 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     held = 0
             flush(small, 32)
             flush(large, 1)
-            yield pd.DataFrame({"doc": b.doc, "same": same, "bands": keys})
+            yield pd.DataFrame({"doc": b.doc, "no_id": b.no_id, "same": same, "bands": keys})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text")).mapInPandas(work, "doc long, same binary, bands array<long>")
+    ids = F.col(id_col).cast("long")
+    signed = docs.select(F.coalesce(ids, F.lit(0)).alias("doc"), ids.isNull().alias("no_id"), text_of(text_col).alias("text")).mapInPandas(work, "doc long, no_id boolean, same binary, bands array<long>")
+    return signed.select(F.when(~F.col("no_id"), F.col("doc")).alias("doc"), "same", "bands")
 
 
-def winnowed(seq: np.ndarray, lacks: np.ndarray, width: int = RUN) -> np.ndarray:
-    """Of each ``width`` shingles in a row that the hub lacks the smallest; of a shorter run its smallest."""
-    at = np.flatnonzero(lacks)
-    picked = set()
-    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-        if len(run):
-            v = seq[run]
-            picked.update(np.lib.stride_tricks.sliding_window_view(v, min(width, len(v))).min(1).tolist())
-    return np.array(sorted(picked), np.uint64)
+def differences(member: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray], linked: bool) -> np.ndarray:
+    """Hashes of what tells a bag from the hub's, one for each shingle too many or too few; of a linked one those that suffice."""
+    known = np.union1d(member[0], hub[0])
+    have = [np.zeros(len(known), np.int64) for _ in range(2)]
+    for n, (h, c) in zip(have, (member, hub), strict=True):
+        n[np.searchsorted(known, h)] = c
+    more = have[0] - have[1]
+    n = np.abs(more)
+    level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - np.minimum(*have), n)
+    out = np.sort(mix(np.repeat(known ^ np.where(more > 0, _A, _B), n) + level.astype(np.uint64) * _C))
+    return out[: 5 * len(out) // 9 + 1] if linked else out
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``a, b, hub, similarity, extra`` of pairs ``a, b, hub`` (a scratch table), from ``doc, text`` rows with unique ids.
 
-    Where hub is a or b, extra samples the other's shingles that the hub lacks; else it is null.
+    Where hub is a or b, extra has the other's differences from it; else it is null. A hub of -1 in Python stands for none.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,22 +202,23 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             if doc not in known:
                 if len(known) >= 256:
                     known.pop(next(iter(known)))
-                seq = shingles(word_hashes(text, hashes))
-                known[doc] = seq, np.unique(seq, return_counts=True)
+                known[doc] = bag(word_hashes(text, hashes))
             return known[doc]
 
         for p in batches:
             like, extra = [], []
-            for a, b, hub, ta, tb in zip(p.a, p.b, p.hub, p.ta, p.tb, strict=True):
+            for a, b, side, ta, tb in zip(p.a, p.b, p.side, p.ta, p.tb, strict=True):
                 x, y = bag_of(a, ta), bag_of(b, tb)
-                like.append(overlap(x[1], y[1]))
-                member, centre = (y, x) if hub == a else (x, y)
-                extra.append(None if pd.isna(hub) else winnowed(member[0], ~np.isin(member[0], centre[1][0])).view(np.int64))
-            yield pd.DataFrame({"a": p.a, "b": p.b, "hub": p.hub, "similarity": like, "extra": extra})
+                like.append(overlap(x, y))
+                member, centre = (y, x) if side == 0 else (x, y)
+                extra.append(None if side < 0 else differences(member, centre, like[-1] >= similarity).view(np.int64))
+            yield pd.DataFrame({"a": p.a, "b": p.b, "side": p.side, "similarity": like, "extra": extra})
 
     few = pairs.count() <= BROADCAST_PAIRS
-    both = texts.toDF("a", "ta").join(F.broadcast(pairs) if few else pairs, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "hub", "ta", "tb")
-    return both.mapInPandas(work, "a long, b long, hub long, similarity double, extra array<long>")
+    side = F.when(F.col("hub") == F.col("a"), 0).when(F.col("hub") == F.col("b"), 1).otherwise(-1).alias("side")
+    both = texts.toDF("a", "ta").join(F.broadcast(pairs) if few else pairs, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", side, "ta", "tb")
+    out = both.mapInPandas(work, "a long, b long, side int, similarity double, extra array<long>")
+    return out.select("a", "b", F.when(F.col("side") == 0, F.col("a")).when(F.col("side") == 1, F.col("b")).alias("hub"), "similarity", "extra")
 
 
 def candidate_pairs(members: DataFrame, few: int) -> DataFrame:
@@ -223,19 +228,7 @@ def candidate_pairs(members: DataFrame, few: int) -> DataFrame:
     close = x.join(y, "key").where("a < b and (oa or ob)").select("a", "b")
     hubs = large.groupBy("key").agg(F.max(F.struct("shared", "doc")).alias("hub")).select("key", F.col("hub.doc").alias("hub"))
     star = large.join(hubs, "key").where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"), "hub")
-    return close.withColumn("hub", F.lit(None).cast("long")).unionAll(star).groupBy("a", "b").agg(F.max("hub").alias("hub"))
-
-
-def other_hubs(verified: DataFrame, shared: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of members that are not linked to their hub and the chief hubs that it is linked to.
-
-    A hub's chief hubs are, of each of ``FEW`` parts of its linked hubs, the one that shares most buckets.
-    """
-    star = verified.where("hub is not null").select("hub", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"), (F.col("similarity") >= similarity).alias("linked"))
-    hubs = star.select(F.col("hub").alias("doc")).distinct().join(shared, "doc")
-    near = star.where("linked").join(hubs, "doc").groupBy("hub", F.pmod(F.xxhash64("doc"), F.lit(FEW)).alias("part")).agg(F.max(F.struct("shared", "doc")).alias("chief"))
-    met = star.where("not linked").select("hub", "doc").join(near.select("hub", F.col("chief.doc").alias("chief")), "hub").where("doc <> chief")
-    return met.select(F.least("doc", "chief").alias("a"), F.greatest("doc", "chief").alias("b")).distinct()
+    return close.withColumn("hub", F.lit(None).cast("long")).unionAll(star).distinct()
 
 
 def sized(members: DataFrame) -> DataFrame:
@@ -250,26 +243,30 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     members = scratch(sized(rows), "members")
     shared = scratch(members.groupBy("doc").agg(F.sum("n").alias("shared")), "shared")
     texts = scratch(only(docs, shared.select("doc"), "doc").dropDuplicates(["doc"]), "texts", "zstd")
-    members, found, done = members.join(shared, "doc"), None, None
+    members, found, seen, dealt = members.join(shared, "doc"), None, None, None
     while True:
-        pairs = candidate_pairs(members, FEW if done is None else FEW_DEALT)
-        if done is not None:  # a pair is compared once; of two hubs that it is compared for, one is enough
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = candidate_pairs(members, FEW if seen is None else FEW_DEALT)
+        if seen is not None:  # a pair is compared once, and once more for each other hub
+            plain, star = pairs.where("hub is null"), pairs.where("hub is not null")
+            pairs = plain.join(seen, ["a", "b"], "left_anti").unionAll(star.join(seen, ["a", "b", "hub"], "left_anti").select("a", "b", "hub"))
         pairs = scratch(pairs, "pairs")
         if pairs.isEmpty():
             break
-        verified = scratch(verify(pairs, texts), "verified", "zstd")
-        more = scratch(other_hubs(verified, shared, similarity).join(verified, ["a", "b"], "left_anti").withColumn("hub", F.lit(None).cast("long")), "chiefs")
-        compared = verified.select("a", "b", "similarity").unionAll(scratch(verify(more, texts).select("a", "b", "similarity"), "verified"))
-        good = compared.where(F.col("similarity") >= similarity)
+        verified = scratch(verify(pairs, texts, similarity), "verified", "zstd")
+        good = verified.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
         found = good if found is None else found.unionAll(good)
-        seen = compared.select("a", "b")
-        done = seen if done is None else done.unionAll(seen)
-        again = verified.where("hub is not null").select(
-            F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"), "hub", (F.col("similarity") < similarity).alias("open"), F.explode("extra").alias("shingle")
+        now = verified.select("a", "b", "hub")
+        seen = now if seen is None else seen.unionAll(now)
+        star = verified.where("hub is not null").withColumn("open", F.col("similarity") < similarity)
+        again = star.join(scratch(star.where("open").select("hub").distinct(), "hubs"), "hub", "left_semi").select(
+            F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"), "hub", "open", F.explode("extra").alias("difference")
         )
-        again = again.select(F.xxhash64("hub", "shingle").alias("key"), "doc", "open")
-        members = scratch(sized(again), "members")
+        again = scratch(again.select(F.xxhash64("hub", "difference").alias("key"), "doc", "open"), "dealt", "zstd")
+        if again.isEmpty():
+            break
+        dealt = again if dealt is None else dealt.unionAll(again)
+        # a bucket that gets new members has its old ones too
+        members = scratch(sized(dealt.join(again.select("key").distinct(), "key", "left_semi").distinct()), "members", "zstd")
         if members.isEmpty():
             break
         members = members.join(shared, "doc")

@@ -19,6 +19,7 @@ result; copies of a text are not held together, as equal sizes come first.
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,6 +93,28 @@ def min_cost_flow(supply: dict[int, int], capacity: dict[int, int], cost=lambda
     return sent
 
 
+def fewest_moves(supply: dict[int, int], capacity: dict[int, int]) -> dict[tuple[int, int], int]:
+    """The flow of least cost where staying costs 0 and moving costs 1, in one pass over the shards.
+
+    What fits stays; what is left of each shard goes to the next that has room. Each shard keeps as much as any
+    flow could leave it, so no flow moves less.
+    """
+    if sum(supply.values()) > sum(capacity.values()):
+        raise ValueError("the new shards cannot hold the old ones")
+    sent = {(i, i): min(n, capacity[i]) for i, n in supply.items() if min(n, capacity.get(i, 0)) > 0}
+    room = iter([(j, n - sent.get((j, j), 0)) for j, n in capacity.items() if n > sent.get((j, j), 0)])
+    j, free = None, 0
+    for i, n in supply.items():
+        left = n - sent.get((i, i), 0)
+        while left > 0:
+            if not free:
+                j, free = next(room)
+            part = min(left, free)
+            sent[i, j] = sent.get((i, j), 0) + part
+            left, free = left - part, free - part
+    return sent
+
+
 def even_capacities(total: int, shards: int) -> dict[int, int]:
     """``total`` bytes dealt evenly, the remainder to the first shards."""
     return {j: total // shards + (j < total % shards) for j in range(shards)}
@@ -112,7 +135,7 @@ def reshard(docs: DataFrame, old_shard: Column, capacities=None, shards: int | N
     sizes = rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # a row a shard
     supply = {r.old_shard: r.bytes for r in sizes}
     capacities = even_capacities(sum(supply.values()), shards) if capacities is None else capacities
-    flow = min_cost_flow(supply, capacities, cost or (lambda old, new: int(old != new)))
+    flow = min_cost_flow(supply, capacities, cost) if cost else fewest_moves(supply, capacities)
     arcs = []
     for i in supply:
         start = 0
@@ -151,25 +174,60 @@ def hash_layout(shards: int) -> Column:
     return F.pmod(crc_of_id(), F.lit(shards)).cast("int")
 
 
-def assign(docs: DataFrame, old_shard: Column, **options) -> DataFrame:
-    """``docs``, all columns kept, with shard and slot (columns of those names are replaced).
+def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` (a scratch table with ``__uid``) with ``__nth``, counting rows of equal key from 0.
 
-    Rows that share an id share one of their places; rows without an id count as sharing one.
+    A key's rows are counted by the part of the table that they lie in, and inside each part, so that no task sees all of
+    a key that very many rows share.
     """
-    places = reshard(docs, old_shard, **options).groupBy("doc_id").agg(F.min(F.struct("shard", "slot")).alias("p")).select("doc_id", "p.shard", "p.slot")
-    docs, places = docs.drop("shard", "slot"), scratch(places.withColumnRenamed("doc_id", "__id"), "places")
-    if places.count() <= BROADCAST_PLACES:  # else the documents are shuffled by id
-        places = F.broadcast(places)
-    return docs.join(places, docs["doc_id"].eqNullSafe(places["__id"])).drop("__id")
+    rows = rows.withColumn("__part", F.shiftright("__uid", 33))
+    along = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(along), F.lit(0)))
+    before = before.select(*(F.col(c).alias(f"__k_{c}") for c in key), F.col("__part").alias("__k_part"), "__before")
+    inside = F.row_number().over(Window.partitionBy(*key, "__part").orderBy("__uid")) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in key] + [F.col("__part") == F.col("__k_part")]
+    return rows.withColumn("__in", inside).join(before, same).withColumn("__nth", F.col("__before") + F.col("__in")).drop("__in", "__before", "__part", "__k_part", *(f"__k_{c}" for c in key))
 
 
-def rewrite_affected(docs: DataFrame, places: DataFrame, target: str) -> DataFrame:
-    """Write to ``target`` (one folder a shard) only the shards whose rows change.
+def assign(docs: DataFrame, old_shard: Column, keep_old: bool = False, **options) -> DataFrame:
+    """``docs``, all columns kept, with shard and slot, and old_shard if ``keep_old`` (columns of those names are replaced).
 
-    A shard is affected when a row enters or leaves it; the others keep their files.
+    Every row has a place of its own, rows that share an id or have none too: those rows, which should be
+    few, are told apart by size, hash of the text and a running number.
+    """
+    new = ["shard", "slot", *(["old_shard"] if keep_old else [])]
+    places = scratch(reshard(docs, old_shard, **options).withColumn("__uid", F.monotonically_increasing_id()), "places")
+    repeated = scratch(places.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("__id")), "repeated")
+    docs = docs.drop(*(c for c in docs.columns if c in new))
+    n = repeated.count()
+    of = lambda rows, how: rows.join(F.broadcast(repeated) if n <= BROADCAST_PLACES else repeated, rows["doc_id"].eqNullSafe(F.col("__id")), how)
+    unique = places.select(F.col("doc_id").alias("__id"), *new) if not n else of(places, "left_anti").select(F.col("doc_id").alias("__id"), *new)
+    if places.count() <= BROADCAST_PLACES:  # some integers a row; else the documents are shuffled by id
+        unique = F.broadcast(unique)
+    placed = docs.join(unique, docs["doc_id"] == F.col("__id")).drop("__id")
+    if not n:
+        return placed
+    size = options.get("size")
+    size = F.octet_length(text_of()) + RECORD_BYTES if size is None else size
+    rows = scratch(of(docs, "left_semi").withColumn("__size", size.cast("long")).withColumn("__crc", F.crc32(text_of().cast("binary"))).withColumn("__old", old_shard.cast("int")).withColumn("__uid", F.monotonically_increasing_id()), "repeated_rows")
+    rows = numbered(rows, ["doc_id", "__size", "__crc", "__old"])
+    own = numbered(of(places, "left_semi"), ["doc_id", "size", "text_crc32", "old_shard"]).select(
+        F.col("doc_id").alias("__id"), F.col("size").alias("__s"), F.col("text_crc32").alias("__c"), F.col("old_shard").alias("__o"), F.col("__nth").alias("__k"), *new
+    )
+    same = rows["doc_id"].eqNullSafe(own["__id"]) & (rows["__size"] == own["__s"]) & (rows["__crc"] == own["__c"]) & (rows["__old"] == own["__o"]) & (rows["__nth"] == own["__k"])
+    return placed.unionByName(rows.join(own, same).select(*docs.columns, *new))
+
+
+def rewrite_affected(placed: DataFrame, target: str) -> DataFrame:
+    """Rewrite in ``target`` (one folder a shard) only the shards that a row enters or leaves; the others keep their files.
+
+    ``placed`` has shard, slot and old_shard (see :func:`assign`) and may be read from ``target`` itself: new files are
+    written to a folder beside it and then take the old ones' place, shard by shard; a shard that ends empty loses
+    its folder. Rows are written as they stand, so rows that share an id or have none are neither lost nor doubled.
     Returns ``shard, rows_in, rows_out`` of the affected shards.
     """
-    moved = places.where("shard <> old_shard")
+    spark = placed.sparkSession
+    moved = placed.where("shard <> old_shard")
     affected = scratch(
         moved.select(F.col("shard"), F.lit(1).alias("i"), F.lit(0).alias("o"))
         .unionAll(moved.select("old_shard", F.lit(0), F.lit(1)))
@@ -177,9 +235,19 @@ def rewrite_affected(docs: DataFrame, places: DataFrame, target: str) -> DataFra
         .agg(F.sum("i").alias("rows_in"), F.sum("o").alias("rows_out")),
         "affected",
     )
-    rows = places.join(F.broadcast(affected.select("shard")), "shard", "left_semi").select("doc_id", "shard", "slot")
-    (
-        docs.drop("shard", "slot").join(rows, "doc_id").repartition("shard", F.floor(F.col("slot") / 1_000_000))
-        .write.partitionBy("shard").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(target)
-    )
+    shards = [r.shard for r in affected.select("shard").collect()]  # a row a shard
+    root = target.rstrip("/")
+    staged = f"{root}_staged_{uuid.uuid4().hex}"
+    rows = placed.join(F.broadcast(affected.select("shard")), "shard", "left_semi").drop("old_shard")
+    rows.repartition("shard", F.floor(F.col("slot") / 1_000_000)).write.partitionBy("shard").parquet(staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(root))
+    for k in shards:
+        old, new = path(f"{root}/shard={k}"), path(f"{staged}/shard={k}")
+        if files.exists(old):
+            files.delete(old, True)
+        if files.exists(new) and not files.rename(new, old):
+            raise OSError(f"shard {k} stays in {staged}")
+    files.delete(path(staged), True)
     return affected

@@ -39,3 +39,9 @@ def test_deduplicate_keeps_columns(make):
     df = make(["a  b", "a b", "c"])
     out = exact_dedup.deduplicate(df)
     assert sorted(out.columns) == sorted(df.columns) and {r.doc_id for r in out.collect()} == {0, 2}
+
+
+def test_deduplicate_rows_that_share_an_id(make):
+    df = make([(1, "a b"), (1, "a b"), (2, "c"), (3, "zz"), (3, "c"), (None, "c"), (None, "n"), (None, "n"), (9, None), (8, "")])
+    out = sorted((str(r.doc_id), r.text or "") for r in exact_dedup.deduplicate(df).collect())
+    assert out == [("1", "a b"), ("2", "c"), ("3", "zz"), ("8", ""), ("None", "n")]

@@ -61,8 +61,40 @@ def test_hot_group_of_near_copies(make):
     second = edited(rng, base, 5).split()
     texts += [edited(rng, second, 1) for _ in range(40)] + [" ".join(base)] * 30
     got = {r.doc_id: r.class_id for r in N.groups(make(texts)).collect()}
-    want = brute(dict(enumerate(texts)))
-    assert sum(got[k] != want[k] for k in want) <= 1
+    assert got == brute(dict(enumerate(texts)))
+
+
+def test_truncated_copies_of_a_long_hub(make):
+    """All members lie inside one long text, so that none has a word that it lacks."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    texts = [" ".join(base[: 150 - rng.randrange(0, 45)]) for _ in range(60)] + [" ".join(base + base[:k]) for k in range(0, 40, 2)]
+    texts += [" ".join(base[rng.randrange(0, 40) :]) for _ in range(40)]
+    got = {r.doc_id: r.class_id for r in N.groups(make(texts)).collect()}
+    assert got == brute(dict(enumerate(texts)))
+
+
+def test_differences_that_linked_bags_share():
+    rng = np.random.default_rng(8)
+    met = 0
+    for _ in range(3000):
+        hub, a = (dict(zip(range(40), rng.integers(0, 3, 40), strict=True)) for _ in range(2))
+        a = {k: (a[k] if rng.random() < 0.15 else v) for k, v in hub.items()}
+        b = {k: (int(rng.integers(0, 3)) if rng.random() < 0.08 else v) for k, v in a.items()}
+        bags_ = [(np.array([k for k, v in x.items() if v], np.uint64), np.array([v for v in x.values() if v])) for x in (hub, a, b)]
+        to_hub, to_a = [N.overlap(bags_[0], x) >= 0.8 for x in bags_[1:]], N.overlap(bags_[1], bags_[2]) >= 0.8
+        if to_a and not all(to_hub):
+            met += 1
+            x, y = (set(N.differences(v, bags_[0], k).tolist()) for v, k in zip(bags_[1:], to_hub, strict=True))
+            assert x & y
+    assert met > 100
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b c"), (None, "x y"), (big + 2, "a b c"), (big + 1, "d e f")], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.kept) for r in N.groups(df).collect()}
+    assert got == {big: (big, True), big + 2: (big, False), big + 1: (big + 1, True), None: (None, True)}
 
 
 def test_odd_rows(odd, empty):

@@ -59,11 +59,43 @@ def test_odd_rows(odd, empty):
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns) and out.where("shard is null").count() == 0
 
 
-def test_only_affected_shards_are_written(make, tmp_path, spark):
-    df = make(["t" * 10] * 40)
-    places = R.reshard(df, F.lit(0), capacities={0: 10**6, 1: 10}).select("doc_id", "shard", "slot", "old_shard")
-    assert R.rewrite_affected(df, places, str(tmp_path / "t")).count() == 0
-    places = R.reshard(df, F.col("doc_id") % 2, capacities={0: 10**6, 1: 10**6, 2: 10**6}, cost=lambda i, j: 0 if (i, j) in ((0, 0), (1, 2)) else 1).select("doc_id", "shard", "slot", "old_shard")
-    affected = {r.shard: (r.rows_in, r.rows_out) for r in R.rewrite_affected(df, places, str(tmp_path / "u")).collect()}
-    assert affected == {1: (0, 20), 2: (20, 0)}
-    assert {r.shard for r in spark.read.parquet(str(tmp_path / "u")).select("shard").distinct().collect()} == {2}
+def test_fewest_moves_is_a_least_flow():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        supply = {i: int(rng.integers(0, 30)) for i in range(int(rng.integers(1, 7)))}
+        capacity = {j: int(rng.integers(0, 30)) for j in range(int(rng.integers(1, 8)))}
+        capacity[0] += max(0, sum(supply.values()) - sum(capacity.values()))
+        flow, best = R.fewest_moves(supply, capacity), R.min_cost_flow(supply, capacity)
+        moved = lambda f: sum(n for (i, j), n in f.items() if i != j)
+        assert moved(flow) == moved(best)
+        assert all(sum(n for (i, _), n in flow.items() if i == k) == supply[k] for k in supply)
+        assert all(sum(n for (_, j), n in flow.items() if j == k) <= capacity[k] for k in capacity)
+
+
+def test_every_row_has_its_own_place(odd, make):
+    rows = make([(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, "c"), (None, "d"), (7, "e"), (8, None)])
+    for df in (odd, rows):
+        out = R.assign(df, R.hash_layout(3), shards=4)
+        places = [(r.shard, r.slot) for r in out.collect()]
+        assert len(places) == df.count() and len(set(places)) == len(places)
+        for k in {s for s, _ in places}:
+            assert sorted(b for a, b in places if a == k) == list(range(sum(a == k for a, _ in places)))
+        key = lambda d: sorted((str(r.doc_id), str(r.text), str(r.h)) for r in d.collect())
+        assert key(out) == key(df)
+
+
+def test_a_live_table_keeps_its_rows(make, tmp_path, spark):
+    df = make([(1, "a"), (1, "a"), (None, "b"), (2, "c")] + [(k, "t" * 10) for k in range(10, 46)]).withColumn("old", F.pmod(F.coalesce("doc_id", F.lit(1)), F.lit(2)).cast("int"))
+    target = str(tmp_path / "live")
+    df.withColumnRenamed("old", "shard").withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(target)
+    live = spark.read.parquet(target)
+    placed = R.assign(live.drop("slot").withColumnRenamed("shard", "was"), F.col("was"), keep_old=True, capacities={0: 10**6, 2: 10**6}, cost=lambda i, j: 0 if (i, j) in ((0, 0), (1, 2)) else 1)
+    before = sorted((str(r.doc_id), r.text) for r in live.collect())
+    affected = {r.shard: (r.rows_in, r.rows_out) for r in R.rewrite_affected(placed, target).collect()}
+    spark.catalog.refreshByPath(target)
+    after = spark.read.parquet(target)
+    assert set(affected) == {1, 2} and affected[1][0] == 0 and affected[2][1] == 0
+    assert sorted((str(r.doc_id), r.text) for r in after.collect()) == before
+    assert {r.shard for r in after.select("shard").distinct().collect()} == {0, 2}
+    still = R.assign(after.drop("slot").withColumnRenamed("shard", "was"), F.col("was"), keep_old=True, capacities={0: 10**6, 2: 10**6})
+    assert R.rewrite_affected(still, target).count() == 0 and spark.read.parquet(target).count() == len(before)
