@@ -1,22 +1,27 @@
 """Benchmark decontamination by template windows, with a check of the slots.
 
-1. Canonical form. Numbers, units after numbers and names (capitalised words inside a sentence)
-   become typed placeholders, the rest lower case; the tokens stay in step with the raw words.
-2. Seeds. Windows of ``WIDTH`` template tokens are hashed and joined to those of the benchmark. Of
+1. Canonical forms. Numbers, and units after numbers, become typed placeholders, the rest lower case (view 0). In view
+   1 every capitalised word is a placeholder too, at the start of a sentence as well, so that names may change; view 0 has
+   copies in other case. The tokens stay in step with the raw words. A window of ``WIDTH`` tokens
+   with fewer than ``LITERAL`` that are no placeholders stands for its raw words instead.
+2. Seeds. Windows of both views are hashed and joined to those of the benchmark. Of
    a document only every ``stride``-th window is taken; the stride is the shortest run of windows
    that an item with the least containment must share, so no such item slips between.
-3. Documents with a seed are read again with every window. The windows of an item that a
-   document holds, over all its windows, are its containment.
-4. On the alignment that most windows share, each placeholder's value in the item must stand for
-   one value in the document throughout. A question with other numbers and names is caught;
+3. Documents with a seed are read again with every window. An item of whose windows a document holds too few
+   anywhere, each counted once, goes.
+4. Alignment. The shift that most windows agree in (of a window's places in a document the first and the last have a
+   vote) is the item's place. Windows within ``NEAR`` of it, of each of the item's the nearest, are its containment.
+5. Slots. On these windows each placeholder's value in the item must stand for one value in the document throughout,
+   and each value there for one in the item. A question with other numbers and names is caught;
    a text that only looks alike is not.
+6. Items of fewer than ``WIDTH`` tokens are sought whole and word for word, case apart.
 
 All of it is DataFrame expressions. Windows meet the benchmark's by a broadcast whose size is
-checked; common windows cost a row a document, and counts are combined map-side.
+checked; a window costs a row a document however often the document has it, and counts are combined map-side.
 
-Defined cases: null texts count as empty; items of less than ``WIDTH`` tokens and documents
-without words match nothing; equal items are all reported; rows that share an id are judged
-together and rows without one are never flagged; an empty benchmark flags nothing.
+Defined cases: null texts count as empty; items and documents without words match nothing; equal items are all reported;
+rows that share an id are judged together and rows without one are never flagged; an empty benchmark flags nothing, an
+empty table gives an empty result; a text of any length is read whole; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +34,11 @@ from outlyer.llm.common import only, scratch, text_of
 WIDTH, CONTAINMENT = 5, 0.8
 NUMBER = r"\d+(?:[.,:/]\d+)*"
 TOKEN = NUMBER + r"|[\p{L}\p{M}_]+"
-NAME = r"(?<=[\p{Ll},;]\x20)\p{Lu}\p{Ll}+(?![\p{L}\p{M}_])"
+NAME = r"(?<![\p{L}\p{M}_\d])\p{Lu}[\p{L}\p{M}]*(?![\p{L}\p{M}_])"
+#: Literal tokens that a window of the canonical form has at least.
+LITERAL = 2
+#: Words by which the windows of one place may shift.
+NEAR = 16
 #: Words that measure, when they follow a number.
 UNITS = (
     "mm cm dm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs pound pounds oz ounce ounces ton tons tonne tonnes "
@@ -37,41 +46,66 @@ UNITS = (
     "w kw v a hz khz mhz ghz j kj cal kcal pa kpa bar k c f degree degrees percent dollar dollars euro euros cent cents usd eur"
 ).split()
 SLOTS = ("numberslot", "unitslot", "nameslot")
-#: Up to so many benchmark windows are broadcast.
-BROADCAST_WINDOWS = 1_000_000
+#: Up to so many benchmark windows are broadcast: their hashes, or hash, item, place and the words at slots, some 200 bytes.
+BROADCAST_WINDOWS = 200_000
 
 
 def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def template_tokens(text: Column) -> Column:
-    """The tokens of the canonical form, as many as :func:`raw_tokens` gives."""
+def template_tokens(text: Column, names: bool = True) -> Column:
+    """The tokens of a canonical form, as many as :func:`raw_tokens` gives."""
     number, unit, name = SLOTS
-    text = F.regexp_replace(text, NAME, name)
+    text = F.regexp_replace(text, NAME, name) if names else text
     text = F.lower(F.regexp_replace(text, NUMBER, f" {number} "))
     text = F.regexp_replace(text, rf"({number} +)(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}_\d])", f"$1{unit}")
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}_]+"), F.lit(0))
 
 
-def window_starts(tokens: str, stride: int = 1) -> Column:
+def tokenised(rows: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``key``, raw tokens in lower case, and the views ``v0`` and ``v1``."""
+    text = text_of(text_col)
+    return rows.select(key, F.transform(raw_tokens(text), lambda t: F.lower(t)).alias("raw"), template_tokens(text, False).alias("v0"), template_tokens(text).alias("v1"))
+
+
+def window_starts(tokens: str, stride: int = 1, width: int = WIDTH) -> Column:
     """1, 1 + stride, ... as far as a whole window follows; empty for short texts."""
-    last = F.size(tokens) - WIDTH + 1
+    last = F.size(tokens) - width + 1
     return F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
 
 
+def window_hash(view: str, i: Column) -> Column:
+    part = F.slice(F.col(view), i, WIDTH)
+    literal = F.size(F.filter(part, lambda t: ~t.isin(*SLOTS)))
+    return F.xxhash64(F.when(literal >= LITERAL, part).otherwise(F.slice(F.col("raw"), i, WIDTH)))
+
+
+def window_hashes(view: str, stride: int) -> Column:
+    return F.transform(window_starts(view, stride), lambda i: window_hash(view, i))
+
+
+def whole_hashes(width: int) -> Column:
+    return F.transform(window_starts("raw", 1, width), lambda i: F.xxhash64(F.slice(F.col("raw"), i, width)))
+
+
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """Every window of rows with ``key, template, raw``: key, pos, h and values (raw words at slots, else null).
+    """Every window of :func:`tokenised` rows: key, view, pos, h and values (raw words at slots, else null).
 
     Windows are made inside the row, so that no exploded row carries the document.
     """
 
-    def window(i: Column) -> Column:
-        part = F.slice(F.col("template"), i, WIDTH)
-        values = F.zip_with(part, F.slice(F.col("raw"), i, WIDTH), lambda t, r: F.when(t.isin(*SLOTS), F.lower(r)))
-        return F.struct(i.alias("pos"), F.xxhash64(part).alias("h"), F.when(F.exists(part, lambda t: t.isin(*SLOTS)), values).alias("values"))
+    def of(view: int) -> Column:
+        name = f"v{view}"
+
+        def window(i: Column) -> Column:
+            part = F.slice(F.col(name), i, WIDTH)
+            values = F.zip_with(part, F.slice(F.col("raw"), i, WIDTH), lambda t, r: F.when(t.isin(*SLOTS), r))
+            return F.struct(F.lit(view).alias("view"), i.alias("pos"), window_hash(name, i).alias("h"), F.when(F.exists(part, lambda t: t.isin(*SLOTS)), values).alias("values"))
+
+        return F.transform(window_starts(name), window)
 
-    return rows.select(key, F.explode(F.transform(window_starts("template"), window)).alias("w")).select(key, "w.*")
+    return rows.select(key, F.explode(F.concat(of(0), of(1))).alias("w")).select(key, "w.*")
 
 
 def shortest_run(items: DataFrame) -> Column:
@@ -80,32 +114,61 @@ def shortest_run(items: DataFrame) -> Column:
     return F.ceil((F.col("n") - lost) / (lost + 1))
 
 
+def whole_items(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """``doc, item, containment`` of items under ``WIDTH`` tokens that a document holds word for word; None without such items."""
+    short = items.withColumn("n", F.size("raw")).where(F.col("n").between(1, WIDTH - 1))
+    widths = [r.n for r in short.select("n").distinct().collect()]  # WIDTH - 1 at most
+    if not widths:
+        return None
+    short = scratch(short.select("item", F.xxhash64("raw").alias("h")), "short")
+    held = docs.select("doc", F.explode(F.array_distinct(F.concat(*map(whole_hashes, sorted(widths))))).alias("h"))
+    few = short.count() <= BROADCAST_WINDOWS
+    return held.join(F.broadcast(short) if few else short, "h").select("doc", "item", F.lit(1.0).alias("containment")).distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """``doc, item, containment`` for every item that a document holds."""
-    tokens = lambda df, key: df.select(F.col(key).alias("k"), template_tokens(text_of()).alias("template"), raw_tokens(text_of()).alias("raw"))
-    items = scratch(windows(tokens(benchmark, item_col).toDF("item", "template", "raw"), "item").withColumnRenamed("pos", "item_pos").withColumnRenamed("values", "item_values"), "items")
-    sizes = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    tokens = scratch(tokenised(benchmark.withColumnRenamed(item_col, "item"), "item"), "tokens")
+    items = scratch(windows(tokens, "item").withColumnRenamed("pos", "item_pos").withColumnRenamed("values", "item_values"), "items")
+    sizes = scratch(items.groupBy("item", "view").agg(F.count(F.lit(1)).alias("n")), "items_sizes")
     summary = sizes.agg(F.min(shortest_run(sizes)).alias("run"), F.sum("n").alias("n")).first()
     stride, small = int(summary["run"] or 1), (summary["n"] or 0) <= BROADCAST_WINDOWS
     sized = F.broadcast if small else (lambda df: df)
 
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), text_of().alias("text"))
-    template = text.select("doc", template_tokens(F.col("text")).alias("template"))
-    seeds = template.select("doc", F.explode(F.transform(window_starts("template", stride), lambda i: F.xxhash64(F.slice(F.col("template"), i, WIDTH)))).alias("h"))
+    whole = tokenised(text, "doc")
+    hashes = lambda step: F.array_union(window_hashes("v0", step), window_hashes("v1", step))
+    seeds = whole.select("doc", F.explode(hashes(stride)).alias("h"))
     found = scratch(seeds.join(sized(items.select("h").distinct()), "h", "left_semi").select("doc").distinct(), "seeded")
 
-    again = only(text, found, "doc").select("doc", template_tokens(F.col("text")).alias("template"), raw_tokens(F.col("text")).alias("raw"))
-    hits = windows(again, "doc").join(sized(items.join(F.broadcast(sizes) if small else sizes, "item")), "h")
-    hits = scratch(hits.select("doc", "item", "item_pos", "n", (F.col("pos") - F.col("item_pos")).alias("shift"), F.when(F.col("item_values").isNotNull(), F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b"))).alias("slots")), "hits")
-    # an item has n windows at most, whatever the documents
-    pairs = hits.groupBy("doc", "item").agg(F.size(F.collect_set("item_pos")).alias("held"), F.max("n").alias("n"), F.mode("shift", True).alias("shift"))
-    pairs = scratch(pairs.where(F.col("held") >= CONTAINMENT * F.col("n")), "pairs")
-    unsteady = (
-        hits.where("slots is not null").join(pairs.select("doc", "item", "shift"), ["doc", "item", "shift"], "left_semi")
-        .select("doc", "item", F.explode("slots").alias("s")).select("doc", "item", F.col("s")["a"].alias("a"), F.col("s")["b"].alias("b")).where("a is not null")
-        .groupBy("doc", "item", "a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low <> high").select("doc", "item").distinct()
-    )
-    return pairs.join(unsteady, ["doc", "item"], "left_anti").select("doc", "item", (F.col("held") / F.col("n")).alias("containment"))
+    again = scratch(tokenised(only(text, found, "doc"), "doc"), "again", "zstd")
+    # a window of an item counts as often as the item has it, and once for each document
+    weights = scratch(items.groupBy("h", "item", "view").agg(F.count(F.lit(1)).alias("weight")).join(sized(sizes), ["item", "view"]), "weights")
+    held = again.select("doc", F.explode(F.array_distinct(hashes(1))).alias("h")).join(sized(weights), "h")
+    pairs = held.groupBy("doc", "item", "view", "n").agg(F.sum("weight").alias("held")).where(F.col("held") >= CONTAINMENT * F.col("n"))
+    pairs = scratch(pairs.select("doc", "item", "view", "n"), "pairs")
+
+    own = scratch(windows(only(again, scratch(pairs.select("doc").distinct(), "held"), "doc"), "doc").join(sized(items.select("h", "view").distinct()), ["h", "view"], "left_semi"), "own", "zstd")
+    ends = own.groupBy("doc", "view", "h").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    item_ends = items.groupBy("item", "view", "h").agg(F.min("item_pos").alias("item_first"), F.max("item_pos").alias("item_last"))
+    votes = ends.join(sized(item_ends), ["view", "h"]).join(pairs, ["doc", "item", "view"], "left_semi")
+    shifts = F.array_distinct(F.array(*(F.col(a) - F.col(b) for a in ("first", "last") for b in ("item_first", "item_last"))))
+    votes = votes.select("doc", "item", "view", F.explode(shifts).alias("shift")).groupBy("doc", "item", "view", "shift").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("doc", "item", "view").agg(F.max(F.struct("votes", -F.col("shift"))).alias("best"))
+    placed = scratch(pairs.join(best, ["doc", "item", "view"]).select("doc", "item", "view", "n", (-F.col("best")["col2"]).alias("shift")), "placed")
+
+    off = F.abs(F.col("pos") - F.col("item_pos") - F.col("shift"))
+    hits = own.join(placed, ["doc", "view"]).join(sized(items), ["item", "view", "h"]).where(off <= NEAR)
+    hits = hits.groupBy("doc", "item", "view", "n", "item_pos").agg(F.min_by(F.struct("item_values", "values"), F.struct(off, "pos")).alias("hit"))
+    hits = scratch(hits.select("doc", "item", "view", "n", F.col("hit")["item_values"].alias("item_values"), F.col("hit")["values"].alias("values")), "hits")
+    good = hits.groupBy("doc", "item", "view", "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= CONTAINMENT * F.col("n"))
+    slots = hits.where("item_values is not null").select("doc", "item", "view", F.explode(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b"))).alias("s"))
+    slots = slots.select("doc", "item", "view", F.col("s")["a"].alias("a"), F.col("s")["b"].alias("b")).where("a is not null").distinct()
+    unsteady = [slots.groupBy("doc", "item", "view", c).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc", "item", "view") for c in ("a", "b")]
+    good = good.join(unsteady[0].unionAll(unsteady[1]).distinct(), ["doc", "item", "view"], "left_anti")
+    good = good.groupBy("doc", "item").agg(F.max(F.col("held") / F.col("n")).alias("containment"))
+    short = whole_items(whole, tokens)
+    return good if short is None else good.unionAll(short)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
