@@ -45,7 +45,7 @@ from outlyer.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 28
 REGISTERS = ROWS * BANDS
-FEW, FEW_DEALT = 6, 24
+FEW, FEW_DEALT = 6, 64
 #: Up to so many pairs (three integers each) are broadcast.
 BROADCAST_PAIRS = 300_000
 #: Shingles that a task works on at a time.
@@ -245,7 +245,7 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     texts = scratch(only(docs, shared.select("doc"), "doc").dropDuplicates(["doc"]), "texts", "zstd")
     members, found, seen, dealt = members.join(shared, "doc"), None, None, None
     while True:
-        pairs = candidate_pairs(members, FEW if seen is None else FEW_DEALT)
+        pairs = scratch(candidate_pairs(members, FEW if seen is None else FEW_DEALT), "candidates")
         if seen is not None:  # a pair is compared once, and once more for each other hub
             plain, star = pairs.where("hub is null"), pairs.where("hub is not null")
             pairs = plain.join(seen, ["a", "b"], "left_anti").unionAll(star.join(seen, ["a", "b", "hub"], "left_anti").select("a", "b", "hub"))
