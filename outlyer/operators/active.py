@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from outlyer.functions.ranking import arithmetic_order
 from outlyer.functions.vectors import squared_distance
 from outlyer.operators import forest
+from outlyer.operators.metrics import quantile_values
 
 
 @dataclass(frozen=True)
@@ -142,13 +143,13 @@ class Session:
             return []
         self.state.asked += [int(r[self.id_col]) for r in found]
         self.state.labels += [int(label_of(int(r[self.id_col]))) for r in found]
-        limits = scored.agg(F.percentile("score", F.lit(1 - self.cfg.tau)).alias("q")).first()
-        tau_row = scored.where(F.col("score") <= limits.q).orderBy(F.col("score").desc(), self.id_col).limit(1).collect()
+        q = float(quantile_values(scored, "score", [1 - self.cfg.tau])[0])
+        tau_row = scored.where(F.col("score") <= q).orderBy(F.col("score").desc(), self.id_col).limit(1).collect()
         mine = self.rows.join(F.broadcast(self.rows.sparkSession.createDataFrame([(i,) for i in self.state.asked], f"`{self.id_col}` long")), self.id_col).collect()
         place = {int(r[self.id_col]): r for r in mine}
         x = self.members([place[i] for i in self.state.asked])
-        self.state.w = update(self.state.w, x, np.array(self.state.labels), float(limits.q), self.cfg, self.members(tau_row)[0], self.start)
-        self.state.history.append({"asked": len(self.state.asked), "found": sum(self.state.labels), "q_tau": float(limits.q)})
+        self.state.w = update(self.state.w, x, np.array(self.state.labels), q, self.cfg, self.members(tau_row)[0], self.start)
+        self.state.history.append({"asked": len(self.state.asked), "found": sum(self.state.labels), "q_tau": q})
         return [int(r[self.id_col]) for r in found]
 
     def run(self, label_of: Callable[[int], int], listener: Callable | None = None) -> State:
@@ -175,8 +176,8 @@ def ask_random(fresh: DataFrame, session: Session) -> DataFrame:
 
 def ask_quantile(fresh: DataFrame, session: Session) -> DataFrame:
     """Rows nearest to the quantile of the unasked."""
-    q = fresh.agg(F.percentile("score", F.lit(1 - session.cfg.tau)).alias("__q"))
-    return fresh.crossJoin(F.broadcast(q)).orderBy(F.abs(F.col("score") - F.col("__q")), session.id_col).limit(session.cfg.batch).drop("__q")
+    q = quantile_values(fresh, "score", [1 - session.cfg.tau])[0]
+    return fresh.orderBy(F.abs(F.col("score") - F.lit(q)), session.id_col).limit(session.cfg.batch)
 
 
 def ask_diverse(fresh: DataFrame, session: Session) -> DataFrame:
@@ -246,7 +247,8 @@ def estimated_quantile(members: DataFrame, names: list[str], tau: float, tries:
     w /= np.linalg.norm(w, axis=1, keepdims=True)
     table = members.sparkSession.createDataFrame([(t, m, float(w[t, k])) for t in range(tries) for k, m in enumerate(names)], "try int, member string, w double")
     scores = members.join(F.broadcast(table), "member").groupBy("try", "id").agg(F.sum(F.col("value") * F.col("w")).alias("s"))
-    return scores.agg(F.percentile("s", F.lit(1 - tau)).alias("q"), F.min("s").alias("low"), F.max("s").alias("high"))
+    q, low, high = quantile_values(scores, "s", [1 - tau, 0.0, 1.0])
+    return members.sparkSession.createDataFrame([(q, low, high)], "q double, low double, high double")
 
 
 def from_scores(rows: DataFrame, scores: str, id_col: str = "id") -> DataFrame:
@@ -256,5 +258,5 @@ def from_scores(rows: DataFrame, scores: str, id_col: str = "id") -> DataFrame:
 
 def confident(summary: DataFrame, tau: float, width: float = 3.0) -> DataFrame:
     """``summary`` (id, score, variance) with ``sure``: the score less some deviations still tops the tau quantile."""
-    q = summary.agg(F.percentile("score", F.lit(1 - tau)).alias("__q"))
-    return summary.crossJoin(F.broadcast(q)).withColumn("sure", F.col("score") - width * F.sqrt("variance") >= F.col("__q")).drop("__q")
+    q = quantile_values(summary, "score", [1 - tau])[0]
+    return summary.withColumn("sure", F.col("score") - width * F.sqrt("variance") >= F.lit(q))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outlyer.functions.vectors import squared_distance
+from outlyer.functions.ranking import arithmetic_order
 from outlyer.operators.joins import nearest
 
 #: Rows that a kernel or neighbour model holds at most.
@@ -14,13 +17,27 @@ MODEL_ROWS = 5_000
 
 
 def kernel_density(rows: DataFrame, sample: DataFrame, bandwidth: float, x: str = "x", id_col: str = "id") -> DataFrame:
-    """``id, density``: mean Gaussian kernel over a sample of bounded size."""
-    n = sample.count()
-    if n > MODEL_ROWS:
-        raise ValueError(f"a kernel sample has at most {MODEL_ROWS} rows")
-    far = rows.join(F.broadcast(sample.select(F.col(x).alias("__s"))))
-    k = F.exp(-squared_distance(F.col(x), F.col("__s")) / (2 * bandwidth * bandwidth))
-    return far.groupBy(id_col).agg((F.sum(k) / n).alias("density"))
+    """``id, density``: mean Gaussian kernel over the centres ``sample``, of which ``MODEL_ROWS`` count at most.
+
+    The centres are a model of bounded size: where there are more, those first in the order of a hash of the id are
+    taken. Rows are scored in one scan without a shuffle, a few hundred at a time against all centres.
+    """
+    centres = sample.orderBy(arithmetic_order(id_col), id_col).limit(MODEL_ROWS).select(x).toPandas()[x]
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(centres.tolist(), float))
+
+    @F.pandas_udf("double")
+    def mean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        c = shared.value
+        for p in parts:
+            v = np.array(p.tolist(), float).reshape(len(p), -1)
+            out = np.zeros(len(v))
+            for k in range(0, len(v) if len(c) else 0, 256):
+                part = v[k : k + 256]
+                d2 = sum((part[:, None, j] - c[None, :, j]) ** 2 for j in range(c.shape[1]))
+                out[k : k + 256] = np.exp(-d2 / (2 * bandwidth * bandwidth)).mean(1)
+            yield pd.Series(out)
+
+    return rows.select(id_col, mean(x).alias("density"))
 
 
 def scott_bandwidth(n: int, d: int) -> float:

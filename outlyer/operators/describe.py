@@ -65,10 +65,16 @@ def cover(covers: list[set[int]], costs: list[float], limit: int = 200_000) -> t
 
 
 def compact_regions(memberships: DataFrame, costs: DataFrame) -> list[str]:
-    """Regions that cover the described rows (``id, region``; a few) at least cost (``region, volume``)."""
-    got = memberships.join(costs, "region").groupBy("region").agg(F.collect_set("id").alias("ids"), F.first("volume").alias("volume")).orderBy("region").collect()
-    chosen, _ = cover([set(r.ids) for r in got], [max(1e-12, r.volume) for r in got])
-    return [got[k].region for k in chosen]
+    """Regions that cover the described rows (``id, region``) at least cost (``region, volume``).
+
+    Rows in the same regions are covered alike, so only the distinct sets of regions reach the driver, whose number the
+    model bounds and not the rows; a row's set is as long as the model has members.
+    """
+    sets = memberships.groupBy("id").agg(F.sort_array(F.collect_set("region")).alias("s")).select("s").distinct().collect()
+    price = {r.region: r.volume for r in costs.collect()}  # a row a region
+    names = sorted({n for r in sets for n in r.s if n in price})
+    chosen, _ = cover([{k for k, r in enumerate(sets) if n in r.s} for n in names], [max(1e-12, price[n]) for n in names])
+    return [names[k] for k in chosen]
 
 
 def describe(rows: DataFrame, wanted: DataFrame, regions: DataFrame, features: list[str], negatives: DataFrame | None = None, least_precision: float = 0.4, p: float = 1.0) -> list[dict]:
@@ -78,7 +84,10 @@ def describe(rows: DataFrame, wanted: DataFrame, regions: DataFrame, features: l
     """
     from outlyer.operators.joins import in_regions
 
-    inside = in_regions(rows.join(F.broadcast(wanted), "id", "left_semi"), regions, features)
+    from outlyer.operators.joins import model
+
+    wanted = model(wanted)
+    inside = in_regions(rows.join(wanted, "id", "left_semi"), regions, features)
     from outlyer.functions.vectors import feature_ranges
 
     cost = volumes(regions, feature_ranges(rows, features), features).join(complexity(regions, features), "region")
@@ -96,7 +105,7 @@ def describe(rows: DataFrame, wanted: DataFrame, regions: DataFrame, features: l
         if rule:
             out.append({"region": name, "rule": rule})
     if out and negatives is not None:
-        labelled = rows.join(F.broadcast(wanted), "id", "left_semi").select(*features).withColumn("y", F.lit(1)).unionByName(negatives.select(*features).withColumn("y", F.lit(0)))
+        labelled = rows.join(wanted, "id", "left_semi").select(*features).withColumn("y", F.lit(1)).unionByName(negatives.select(*features).withColumn("y", F.lit(0)))
         for o, r in zip(out, R.confusion(labelled, [o["rule"] for o in out]).orderBy("rule_id").collect(), strict=True):
             o["precision"] = r.support or 0.0
         good = [o for o in out if o["precision"] >= least_precision]
@@ -109,21 +118,22 @@ def log_beta_binomial(k: int, n: int, a: float, b: float) -> float:
     return lg(n + 1) - lg(k + 1) - lg(n - k + 1) + lg(k + a) + lg(n - k + b) - lg(n + a + b) + lg(a + b) - lg(a) - lg(b)
 
 
-def bayesian_ruleset(covered: np.ndarray, y: np.ndarray, lengths: list[int], steps: int = 500, support: float = 0.05, seed: int = 42) -> list[int]:
-    """Rules (columns of a 0/1 matrix of a few labelled rows) of high posterior, by seeded annealing.
+def bayesian_ruleset(covered: np.ndarray, y: np.ndarray, lengths: list[int], steps: int = 500, support: float = 0.05, seed: int = 42, counts: np.ndarray | None = None) -> list[int]:
+    """Rules (columns of a 0/1 matrix, a row for each distinct pattern with its ``counts``) of high posterior, by seeded annealing.
 
     Moves add a rule that covers a missed anomaly, drop one, or swap; the temperature falls from 1000
     to 1. The prior is beta-binomial in the number of rules, the likelihood in both sides' errors.
     """
     rng = np.random.default_rng(seed)
-    y = y.astype(bool)
-    free = [k for k in range(covered.shape[1]) if covered[y, k].sum() >= max(1, support * y.sum())]
+    y, covered = y.astype(bool), covered.astype(bool)
+    n = np.ones(len(y), int) if counts is None else np.asarray(counts)
+    free = [k for k in range(covered.shape[1]) if n[y & covered[:, k]].sum() >= max(1, support * n[y].sum())]
     if not free:
         return []
 
     def worth(chosen: frozenset) -> float:
         hit = covered[:, sorted(chosen)].any(1) if chosen else np.zeros(len(y), bool)
-        tp, fp, fn, tn = (hit & y).sum(), (hit & ~y).sum(), (~hit & y).sum(), (~hit & ~y).sum()
+        tp, fp, fn, tn = (int(n[m].sum()) for m in (hit & y, hit & ~y, ~hit & y, ~hit & ~y))
         prior = log_beta_binomial(len(chosen), max(len(free), len(chosen)), 1, 10) - 0.1 * sum(lengths[k] for k in chosen)
         return prior + log_beta_binomial(tp, tp + fp, 100, 1) + log_beta_binomial(tn, tn + fn, 100, 1)
 

@@ -57,14 +57,35 @@ def ranks(rows: DataFrame, score: str, within: list[str] | None = None) -> DataF
     return rows.withColumn("rank", F.rank().over(w)).withColumn("frac_rank", F.col("rank") + (same - 1) / 2.0)
 
 
+def quantile_values(rows: DataFrame, score: str, shares: list[float]) -> list[float | None]:
+    """Interpolated quantiles of a whole table: scores are counted by value, counts are summed block by block, and the
+    two values around each place are fetched. No task holds all scores, and scores with many ties cost a row a value."""
+    counted = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    upto = running_sums(counted, ["v"], {"upto": F.col("c")}).persist()
+    n = upto.agg(F.sum("c")).first()[0] or 0
+    places = {p for share in shares for p in (int(share * (n - 1)), min(n - 1, int(share * (n - 1)) + 1))} if n else set()
+    found = {p: None for p in places}
+    if places:
+        at = F.array(*(F.lit(p).cast("long") for p in sorted(places)))
+        held = upto.select("v", F.filter(at, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("c"))).alias("p")).where(F.size("p") > 0)
+        found |= {p: r.v for r in held.collect() for p in r.p}  # two rows a share at most
+    upto.unpersist()
+    out = []
+    for share in shares:
+        place = share * (n - 1)
+        low = int(place)
+        out.append(None if not n else found[low] if place == low else (low + 1 - place) * found[low] + (place - low) * found[min(n - 1, low + 1)])
+    return out
+
+
 def deciles(rows: DataFrame, score: str) -> DataFrame:
     """``q``: minimum, the nine deciles and maximum, interpolated."""
-    return rows.agg(F.percentile(score, F.array(*(F.lit(k / 10) for k in range(11)))).alias("q"))
+    return rows.sparkSession.createDataFrame([(quantile_values(rows, score, [k / 10 for k in range(11)]),)], "q array<double>")
 
 
 def quantile(rows: DataFrame, score: str, tau: float) -> DataFrame:
     """``q_tau``: the score that the share tau lies above."""
-    return rows.agg(F.percentile(score, F.lit(1 - tau)).alias("q_tau"))
+    return rows.sparkSession.createDataFrame([(quantile_values(rows, score, [1 - tau])[0],)], "q_tau double")
 
 
 def confusion_counts(rows: DataFrame, predicted: Column, y: Column) -> DataFrame:

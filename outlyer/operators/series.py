@@ -87,18 +87,18 @@ def rolling_errors(rows: DataFrame, by: list[str], order: str, value: str, p: in
         out = []
         if cut > need + 1:
             w, _ = fit_autoregression(v[:cut], p, d, season)
-            for t in range(cut, len(v)):
-                past = v[:t]
-                steps = [past]
-                for _ in range(d):
-                    steps.append(np.diff(steps[-1]))
-                inner = steps[-1][season:] - steps[-1][:-season] if season else steps[-1]
-                f = float(inner[-p:] @ w[:-1] + w[-1])
-                if season:
-                    f += steps[-1][-season]
-                f += sum(s[-1] for s in steps[:-1])
-                out.append((t, v[t], f, abs(v[t] - f)))
-        frame = pd.DataFrame(out, columns=["step", "actual", "forecast", "error"])
+            steps = [v]
+            for _ in range(d):
+                steps.append(np.diff(steps[-1]))
+            inner = steps[-1][season:] - steps[-1][:-season] if season else steps[-1]
+            t = np.arange(cut, len(v))
+            # at time t the last difference known is the one before inner[t - d - season]
+            lags = np.lib.stride_tricks.sliding_window_view(inner, p)[t - d - season - p]
+            f = lags @ w[:-1] + w[-1] + sum((s[t - 1 - k] for k, s in enumerate(steps[:-1])), np.zeros(len(t)))
+            if season:
+                f = f + steps[-1][t - d - season]
+            out = np.column_stack([t, v[t], f, np.abs(v[t] - f)])
+        frame = pd.DataFrame(out, columns=["step", "actual", "forecast", "error"]).astype({"step": int})
         for k, c in enumerate(by):
             frame.insert(k, c, g[c].iloc[0])
         return frame

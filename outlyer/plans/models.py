@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from outlyer.functions import vectors
-from outlyer.operators import active, density, describe, drift, forest, joins, learn, loda, relevance
+from outlyer.functions.ranking import arithmetic_order
+from outlyer.operators import active, density, describe, drift, forest, joins, learn, loda, metrics, relevance
 from outlyer.plans.registry import query
 from outlyer.plans.views import BOXES, FEATURES, INST, ROUTED, instances, small_forest
 
@@ -193,10 +194,10 @@ def wn5(spark, sf):
     return worth.orderBy(F.col("worth").desc(), "region").limit(5).select("region", F.round("worth", 6).alias("worth"))
 
 
-@query("wn6_regions_per_row", f"WITH {MODEL}, k AS (SELECT region, row_number() OVER (PARTITION BY id ORDER BY {_WEIGHT} / path_length DESC, region) AS k FROM routed WHERE id < 50) SELECT DISTINCT region FROM k WHERE k <= 1")
+@query("wn6_regions_per_row", f"WITH {MODEL}, k AS (SELECT region, row_number() OVER (PARTITION BY id ORDER BY {_WEIGHT} / path_length DESC, region) AS k FROM routed) SELECT DISTINCT region FROM k WHERE k <= 1")
 def wn6(spark, sf):
     worth = regions(spark).join(weights(spark).withColumnRenamed("member", "region"), "region").select("region", (F.col("w") / F.col("path_length")).alias("worth"))
-    inside = members(spark, sf).where("id < 50").select("id", F.col("member").alias("region"))
+    inside = members(spark, sf).select("id", F.col("member").alias("region"))
     return describe.top_regions(inside, worth, 1)
 
 
@@ -221,7 +222,7 @@ def ag22(spark, sf):
 @query("ds1_compact_cover")
 def ds1(spark, sf):
     rows = instances(spark, sf)
-    inside = joins.in_regions(rows.where("y = 1 and id < 300"), regions(spark), FEATURES)
+    inside = joins.in_regions(rows.where("y = 1"), regions(spark), FEATURES)
     volumes = describe.volumes(regions(spark), vectors.feature_ranges(rows, FEATURES), FEATURES)
     return spark.createDataFrame([(r,) for r in describe.compact_regions(inside, volumes)], "region string")
 
@@ -229,18 +230,18 @@ def ds1(spark, sf):
 @query("ds2_descriptions")
 def ds2(spark, sf):
     rows = instances(spark, sf)
-    found = describe.describe(rows, rows.where("x0 > 200").select("id"), regions(spark), FEATURES, rows.where("x0 <= 200 and id < 500"))
+    found = describe.describe(rows, rows.where("x0 > 200").select("id"), regions(spark), FEATURES, rows.where("x0 <= 200"))
     return spark.createDataFrame([(d["region"], d["rule"], float(d["precision"])) for d in found], "region string, rule string, precision double")
 
 
-@query("al2_loss", f"WITH {_MEMBERS}, s AS (SELECT id, y, sum(value * w) AS s FROM member WHERE id < 200 GROUP BY id, y) SELECT round(sum(l), 6) AS loss FROM (SELECT y, avg(CASE WHEN y = 1 THEN greatest(0, 0.12 - s) ELSE greatest(0, s - 0.12) END) AS l FROM s GROUP BY y)")
+@query("al2_loss", f"WITH {_MEMBERS}, s AS (SELECT id, y, sum(value * w) AS s FROM member GROUP BY id, y) SELECT round(sum(l), 6) AS loss FROM (SELECT y, avg(CASE WHEN y = 1 THEN greatest(0, 0.12 - s) ELSE greatest(0, s - 0.12) END) AS l FROM s GROUP BY y)")
 def al2(spark, sf):
-    return active.linear_loss(members(spark, sf).where("id < 200"), weights(spark), 0.12).select(F.round("loss", 6).alias("loss"))
+    return active.linear_loss(members(spark, sf), weights(spark), 0.12).select(F.round("loss", 6).alias("loss"))
 
 
-@query("al3_gradient", f"WITH {_MEMBERS}, m AS (SELECT * FROM member WHERE id < 200), s AS (SELECT id, y, sum(value * w) AS s FROM m GROUP BY id, y), n AS (SELECT y, count(*) AS n FROM s GROUP BY y), b AS (SELECT s.id, s.y, n FROM s JOIN n ON s.y = n.y WHERE (s.y = 1 AND s < 0.12) OR (s.y = 0 AND s >= 0.12)) SELECT member, round(sum(CASE WHEN b.y = 1 THEN -value ELSE value END / n), 6) AS g FROM m JOIN b ON m.id = b.id GROUP BY member")
+@query("al3_gradient", f"WITH {_MEMBERS}, m AS (SELECT * FROM member), s AS (SELECT id, y, sum(value * w) AS s FROM m GROUP BY id, y), n AS (SELECT y, count(*) AS n FROM s GROUP BY y), b AS (SELECT s.id, s.y, n FROM s JOIN n ON s.y = n.y WHERE (s.y = 1 AND s < 0.12) OR (s.y = 0 AND s >= 0.12)) SELECT member, round(sum(CASE WHEN b.y = 1 THEN -value ELSE value END / n), 6) AS g FROM m JOIN b ON m.id = b.id GROUP BY member")
 def al3(spark, sf):
-    return active.linear_gradient(members(spark, sf).where("id < 200"), weights(spark), 0.12).select("member", F.round("g", 6).alias("g"))
+    return active.linear_gradient(members(spark, sf), weights(spark), 0.12).select("member", F.round("g", 6).alias("g"))
 
 
 @query("al5_feedback_loop")
@@ -293,10 +294,10 @@ def dt11(spark, sf):
     return loda.score(loda.densities(loda.project(rows, proj), hist)).orderBy(F.col("score").desc(), "id").limit(20)
 
 
-@query("dt17_kernel_density", f"WITH {INST}, s AS (SELECT x0 AS a, x2 AS b FROM inst WHERE id % 50 = 0) SELECT id, round(sum(exp(-((x0 - a) * (x0 - a) + (x2 - b) * (x2 - b)) / (2 * 100))) / (SELECT count(*) FROM s), 6) AS density FROM inst, s GROUP BY id")
+@query("dt17_kernel_density", f"WITH {INST}, s AS (SELECT x0 AS a, x2 AS b FROM inst ORDER BY (id * 2654435761 + 42) % 2147483647, id LIMIT 2000) SELECT id, round(sum(exp(-((x0 - a) * (x0 - a) + (x2 - b) * (x2 - b)) / (2 * 100))) / (SELECT count(*) FROM s), 6) AS density FROM inst, s GROUP BY id")
 def dt17(spark, sf):
     rows = instances(spark, sf).select("id", F.array("x0", "x2").alias("x"))
-    return density.kernel_density(rows, rows.where("id % 50 = 0"), 10.0).select("id", F.round("density", 6).alias("density"))
+    return density.kernel_density(rows, rows.orderBy(arithmetic_order("id"), "id").limit(2000), 10.0).select("id", F.round("density", 6).alias("density"))
 
 
 @query("dt15_local_outlier_factor")
@@ -308,7 +309,7 @@ def dt15(spark, sf):
 @query("dt16_mixture")
 def dt16(spark, sf):
     rows = instances(spark, sf)
-    k, model = density.mixture_by_bic(rows.where("id < 2000"), ["x0", "x2"], 3)
+    k, model = density.mixture_by_bic(rows, ["x0", "x2"], 3)
     return spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights)], "component int, weight double").withColumn("k", F.lit(k))
 
 
@@ -371,7 +372,7 @@ def ag11(spark, sf):
 @query("ag14_estimated_quantile")
 def ag14(spark, sf):
     names = [r.region for r in regions(spark).select("region").orderBy("region").collect()]
-    return active.estimated_quantile(members(spark, sf).where("id < 500"), names, 0.03, 10)
+    return active.estimated_quantile(members(spark, sf), names, 0.03, 10)
 
 
 @query("ag5_found_in_budget", f"WITH {_MEMBERS}, s AS (SELECT id, y, round(sum(value * w), 6) AS s FROM member GROUP BY id, y) SELECT id, CAST(sum(y) OVER (ORDER BY s DESC, id) AS BIGINT) AS found FROM s ORDER BY s DESC, id LIMIT 60")
@@ -404,8 +405,8 @@ def al12(spark, sf):
 @query("al14_query_quantile", f"WITH {_SUMS}, q AS (SELECT quantile_cont(s, 0.97) AS q FROM s) SELECT id FROM s, q ORDER BY round(abs(s - q), 7), id LIMIT 5")
 def al14(spark, sf):
     s = _scores(spark, sf)
-    q = s.agg(F.percentile("score", F.lit(0.97)).alias("q"))
-    return s.crossJoin(F.broadcast(q)).orderBy(F.round(F.abs(F.col("score") - F.col("q")), 7), "id").limit(5).select("id")
+    q = metrics.quantile_values(s, "score", [0.97])[0]
+    return s.orderBy(F.round(F.abs(F.col("score") - F.lit(q)), 7), "id").limit(5).select("id")
 
 
 @query("wn18_least_overlap")
@@ -456,12 +457,14 @@ def ds3(spark, sf):
 
     from outlyer.functions import rules
 
-    rows = instances(spark, sf).where("id < 400").withColumn("y", (F.col("x0") > 80).cast("int"))
+    rows = instances(spark, sf).withColumn("y", (F.col("x0") > 80).cast("int"))
     candidates = ["x0 > 90", "x0 > 60", "x1 > 12", "x0 > 75 & x2 > 20", "x2 < 30"]
-    cells = rules.satisfaction(rows, candidates).toPandas()  # 400 labelled rows
-    covered = cells.pivot(index="id", columns="rule_id", values="covered").to_numpy()
-    y = np.array([r.y for r in rows.select("id", "y").orderBy("id").collect()])
-    chosen = describe.bayesian_ruleset(covered, y, [len(rules.ConjunctiveRule.parse(c)) for c in candidates])
+    cells = rules.satisfaction(rows, candidates).groupBy("id").pivot("rule_id", list(range(len(candidates)))).agg(F.max("covered"))
+    names = [F.col(f"`{k}`").cast("int").alias(f"c{k}") for k in range(len(candidates))]
+    # a row for each pattern of covered rules and label, whatever the rows
+    got = cells.join(rows.select("id", "y"), "id").groupBy("y", *names).agg(F.count(F.lit(1)).alias("n")).orderBy("y", *(f"c{k}" for k in range(len(candidates)))).collect()
+    covered, y, n = np.array([list(r)[1:-1] for r in got]), np.array([r.y for r in got]), np.array([r.n for r in got])
+    chosen = describe.bayesian_ruleset(covered, y, [len(rules.ConjunctiveRule.parse(c)) for c in candidates], counts=n)
     return spark.createDataFrame([(k, candidates[k]) for k in chosen], "rule_id int, rule string")
 
 
