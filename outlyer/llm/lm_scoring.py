@@ -1,21 +1,23 @@
 """Cross-entropy difference between a target and a background bigram model.
 
-Both models share one vocabulary: words fall into ``2 ** WORD_BITS`` classes by hash, and pairs of
-words into ``2 ** PAIR_BITS`` buckets, so that every word of the corpus counts and the model has
-the same bounded size whatever the corpus. The background model counts all documents; the target
-model counts the labelled good ones, at most ``SAMPLE`` of them. Either gives a word w after v
+Both models share one vocabulary, all words of the corpus (by 64-bit hash), their order and their smoothing. The
+background model counts all documents, the target model all labelled good ones that may be learnt from. Words are V
+kinds in all; either model gives a word w after v
 
-    P(w | v) = (c(v, w) + MU P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + 2 ** WORD_BITS)
+    P(w | v) = (c(v, w) + MU P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + V)
 
 and a document is scored by the mean over its words of target loss minus background loss: the
 lower, the more it resembles the target.
 
-Each task sums its own words into arrays and emits the counts that are not 0; Spark adds them up
-with map-side combining. The sums are at most ``2 ** WORD_BITS + 2 ** PAIR_BITS`` rows, which the
-driver turns into arrays and broadcasts. Scoring is a second scan without a shuffle.
+Counts are exact and stay on Spark, as tables that grow with the corpus. A task adds up its own pairs before they are
+shuffled; words and contexts are sums of the pairs. Every pair gets its two losses once. Pairs that occur
+at least once in ``FREQUENT`` words of the corpus are at most ``FREQUENT`` many, whatever its size: their losses are
+broadcast and added up where a text is read. All other pairs of a text are joined to the table of losses; such a pair is rare by
+definition, so no key of that join is hot. Sums go by two 64-bit hashes of the text, and are divided by the rows that have it.
 
 Defined cases: null texts count as empty; texts without words have losses and score 0; without
-target documents both models are the background's, and scores are 0.
+target documents both models are the background's, and scores are 0; an empty table gives no rows; each of repeated rows
+gets its score; columns named like the results are replaced; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -28,27 +30,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyer.llm.common import WORD, WordHash, labelled_ids, scratch, text_of
+from outlyer.llm.common import BROADCAST_IDS, WORD, WordHash, held_out, only, scratch, text_of
 
-SAMPLE = 20_000
-WORD_BITS, PAIR_BITS = 18, 20
 MU = 20.0
+#: Most pairs whose losses are broadcast, 24 bytes each.
+FREQUENT = 1 << 20
 #: Stands before a document's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
+#: Words that a task holds at a time, and pairs that it adds up before it hands them over.
+WORDS_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 4_000_000
 #: Rows that a task hands over at a time.
-CHUNK = 100_000
-#: Codes that the driver fetches at a time.
-SLICE = 1 << 17
-#: Words that a task holds at a time.
-WORDS_AT_ONCE = 1_000_000
+CHUNK = 200_000
 
 
-def codes(words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of words and of the words before them, and buckets of the pairs."""
+def pair_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """64-bit keys of words after the words before them."""
     mixed = (before * np.uint64(0xD6E8FEB86659FD93)) ^ (words * np.uint64(0xA0761D6478BD642F) + np.uint64(0xE7037ED1A0B428DB))
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    top = np.uint64(64 - WORD_BITS)
-    return (words >> top).astype(np.int64), (before >> top).astype(np.int64), (mixed >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    return mixed ^ (mixed >> np.uint64(29))
 
 
 def read(texts, hashes: WordHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -69,87 +68,119 @@ def read(texts, hashes: WordHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             arrays, first, held = [], k + 1, 0
 
 
+def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """``key, v, w, n_background, n_target`` of some pairs, those of one key put together."""
+    key, v, w, n, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], v[order][first], w[order][first], np.add.reduceat(n[order], first), np.add.reduceat(t[order], first)
+
+
 def count(docs: DataFrame, target_ids: DataFrame, text_col: str = "text") -> DataFrame:
-    """``kind`` (0 words, 1 contexts, 2 pairs), ``code``, and counts in background and target."""
-    flagged = docs.select("doc_id", text_of(text_col).alias("text")).join(F.broadcast(target_ids.select("doc_id", F.lit(True).alias("t"))), "doc_id", "left")
-    sizes = (1 << WORD_BITS, 1 << WORD_BITS, 1 << PAIR_BITS)
+    """``key, v, w, n_background, n_target``: how often w follows v in the corpus and in the target documents."""
+    ids = scratch(target_ids.select("doc_id").distinct(), "target")
+    marks = ids.withColumn("t", F.lit(True))
+    flagged = docs.select("doc_id", text_of(text_col).alias("text")).join(F.broadcast(marks) if ids.count() <= BROADCAST_IDS else marks, "doc_id", "left")
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = [np.zeros((2, n), np.int64) for n in sizes]
-        hashes = WordHash()
+        hashes, parts, held = WordHash(), [], 0
+
+        def flush():
+            key, v, w, n, t = added(parts)
+            for k in range(0, len(key), CHUNK):
+                at = slice(k, k + CHUNK)
+                yield pd.DataFrame({"key": key[at].view(np.int64), "v": v[at].view(np.int64), "w": w[at].view(np.int64), "n_background": n[at], "n_target": t[at]})
+
         for b in batches:
             target = b.t.notna().to_numpy()
             for words, before, owner, first in read(b.text.tolist(), hashes):
-                chosen = target[first + owner]
-                w, v, p = codes(words, before)
-                for total, code in zip(sums, (w, v, p), strict=True):
-                    total[0] += np.bincount(code, minlength=total.shape[1])
-                    if chosen.any():
-                        total[1] += np.bincount(code[chosen], minlength=total.shape[1])
-        for kind, total in enumerate(sums):
-            there = np.flatnonzero(total[0])
-            for k in range(0, len(there), CHUNK):
-                at = there[k : k + CHUNK]
-                yield pd.DataFrame({"kind": kind, "code": at, "n_background": total[0][at], "n_target": total[1][at]})
-
-    parts = flagged.select("text", "t").mapInPandas(add_up, "kind int, code long, n_background long, n_target long")
-    return parts.groupBy("kind", "code").agg(F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target"))
+                if not len(words):
+                    continue
+                part = added([(pair_keys(words, before), before, words, np.ones(len(words), np.int64), target[first + owner].astype(np.int64))])
+                parts.append(part)
+                held += len(part[0])
+                if held > PAIRS_AT_ONCE:
+                    parts, held = [added(parts)], 0
+                    if (held := len(parts[0][0])) > PAIRS_AT_ONCE // 2:
+                        yield from flush()
+                        parts, held = [], 0
+        if parts:
+            yield from flush()
+
+    found = flagged.select("text", "t").mapInPandas(add_up, "key long, v long, w long, n_background long, n_target long")
+    return found.groupBy("key").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target"))
 
 
 @dataclass
 class Models:
-    """Counts of words, contexts and pairs: row 0 of each is the background's, row 1 the target's."""
+    """``losses``: key, n, target, background of every pair; ``words``: how many the corpus has."""
 
-    words: np.ndarray
-    contexts: np.ndarray
-    pairs: np.ndarray
+    losses: DataFrame
+    words: int
 
-    def losses(self, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of each word under the target and under the background model, in nats."""
-        w, v, p = codes(words, before)
-        out = []
-        for k in (1, 0):
-            alone = (self.words[k][w] + 1.0) / (self.words[k].sum(dtype=float) + self.words.shape[1])
-            out.append(-np.log((self.pairs[k][p] + MU * alone) / (self.contexts[k][v] + MU)))
-        return out[0], out[1]
 
+def rated(pairs: DataFrame) -> Models:
+    """The losses of all pairs (a scratch table of counts) under both models, in nats."""
+    sums = [F.sum("n_background").alias("b"), F.sum("n_target").alias("t")]
+    words, contexts = (scratch(pairs.groupBy(c).agg(*sums), "words") for c in ("w", "v"))
+    total = words.agg(F.count("*").alias("kinds"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b", "t"))).first()
+    few = total.kinds <= BROADCAST_IDS
+    out = pairs
+    for c, table in (("w", words), ("v", contexts)):
+        table = table.select(c, F.col("b").alias(f"{c}_b"), F.col("t").alias(f"{c}_t"))
+        out = out.join(F.broadcast(table) if few else table, c)
 
-def collect(counts: DataFrame) -> Models:
-    """The bounded count tables as arrays, brought to the driver a slice of codes at a time."""
-    rows = scratch(counts.select(F.col("kind"), F.col("code").cast("int"), F.col("n_background").cast("float"), F.col("n_target").cast("float")), "counts")
-    arrays = []
-    for kind, bits in ((0, WORD_BITS), (1, WORD_BITS), (2, PAIR_BITS)):
-        a = np.zeros((2, 1 << bits), np.float32)
-        for low in range(0, 1 << bits, SLICE):
-            part = rows.where((F.col("kind") == kind) & F.col("code").between(low, low + SLICE - 1)).drop("kind").toArrow()
-            a[:, part["code"].to_numpy()] = part["n_background"].to_numpy(), part["n_target"].to_numpy()
-        arrays.append(a)
-    if not arrays[0][1].any():
-        arrays = [np.stack([a[0], a[0]]) for a in arrays]
-    return Models(*arrays)
+    def loss(n: str, k: str):
+        alone = (F.col(f"w_{k}") + 1.0) / float(total[k] + total.kinds)
+        return -F.log((F.col(n) + MU * alone) / (F.col(f"v_{k}") + MU))
 
+    target, background = loss("n_target", "t"), loss("n_background", "b")
+    losses = out.select("key", F.col("n_background").alias("n"), (target if total.t else background).alias("target"), background.alias("background"))
+    return Models(scratch(losses, "losses"), total.b)
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Models:
-    return collect(count(docs, labelled_ids(labels.where(F.col(label) == 1), label, sample)))
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Models:
+    good = labels.where(F.col("doc_id").isNotNull() & (F.col(label) == 1) & ~held_out()).select("doc_id")
+    return rated(scratch(count(docs, good), "pairs"))
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """``docs``, all columns kept, with tokens, target_loss, background_loss and score."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.pandas_udf("struct<tokens:long,target_loss:double,background_loss:double>")
-    def rate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        models, hashes = shared.value, WordHash()
-        for texts in parts:
-            sums = np.zeros((3, len(texts)))
-            for words, before, owner, first in read(texts.tolist(), hashes):
-                for row, values in zip(sums, (None, *models.losses(words, before)), strict=True):
-                    got = np.bincount(owner, values)
-                    row[first : first + len(got)] += got
-            per = np.maximum(sums[0], 1)
-            yield pd.DataFrame({"tokens": sums[0].astype(np.int64), "target_loss": sums[1] / per, "background_loss": sums[2] / per})
-
+    often = F.col("n") >= models.words / FREQUENT
+    table = models.losses.where(often).select("key", "target", "background").toArrow()
+    keys = table["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], table["target"].to_numpy()[order], table["background"].to_numpy()[order]))
+
+    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (keys, target, background), hashes = shared.value, WordHash()
+        for b in batches:
+            sums, x, y = np.zeros((3, len(b))), b.x.to_numpy(), b.y.to_numpy()
+            for words, before, owner, first in read(b.text.tolist(), hashes):
+                wanted, owner = pair_keys(words, before), first + owner
+                at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+                known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+                for row, values, own in ((sums[0], None, owner), (sums[1], target[at[known]], owner[known]), (sums[2], background[at[known]], owner[known])):
+                    row += np.bincount(own, values, minlength=len(b))
+                rare, own = wanted[~known].view(np.int64), owner[~known]
+                for k in range(0, len(rare), CHUNK):
+                    o = own[k : k + CHUNK]
+                    yield pd.DataFrame({"x": x[o], "y": y[o], "key": rare[k : k + CHUNK], "rows": 0, "tokens": 0, "target_0": 0.0, "background_0": 0.0})
+            # a text's own row meets no pair: it lies anywhere
+            spread = pair_keys(x.view(np.uint64), np.arange(len(b), dtype=np.uint64)).view(np.int64)
+            yield pd.DataFrame({"x": x, "y": y, "key": spread, "rows": 1, "tokens": sums[0].astype(np.int64), "target_0": sums[1], "background_0": sums[2]})
+
+    digest = [F.xxhash64(text_of(text_col)).alias("x"), F.xxhash64(F.lit(1), text_of(text_col)).alias("y")]
+    parts = docs.select(*digest, text_of(text_col).alias("text")).mapInPandas(rate, "x long, y long, key long, rows int, tokens long, target_0 double, background_0 double")
+    met = parts.join(models.losses.where(~often).select("key", "target", "background"), "key", "left")
+    plus = lambda c: F.sum(F.when(F.col("rows") == 1, F.col(f"{c}_0")).otherwise(F.col(c))).alias(c)
+    sums = met.groupBy("x", "y").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), plus("target"), plus("background"))
+    per = F.greatest(F.col("tokens"), F.lit(1))
+    rates = scratch(sums.select("x", "y", (F.col("tokens") / F.col("rows")).cast("long").alias("tokens"), *((F.col(c) / per).alias(f"{c}_loss") for c in ("target", "background"))), "rates")
     new = ("tokens", "target_loss", "background_loss", "score")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    out = docs.withColumn("__r", rate(text_of(text_col))).select(*kept, "__r.tokens", "__r.target_loss", "__r.background_loss")
+    kept = [F.col(f"d.`{c}`") for c in docs.columns if c not in new]
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in new)).alias("d"), *(c.alias(f"__{n}") for c, n in zip(digest, "xy", strict=True)))
+    rates = rates.withColumnsRenamed({"x": "__x", "y": "__y"})
+    out = keyed.join(rates, ["__x", "__y"]).select(*kept, "tokens", "target_loss", "background_loss")
     return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -1,6 +1,7 @@
 """Quality, toxicity and language-model scores."""
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outlyer.llm import lm_scoring, quality, queries, toxicity
-from outlyer.llm.common import WORD, WordHash
+from outlyer.llm.common import WORD
 
 SF = "/root/testdata/sf0.01"
 
@@ -90,32 +91,30 @@ def test_toxic_passages(make):
     assert len(got) == 1 and text[got[0].start : got[0].end] == "bad worse bad"
 
 
-def test_models_against_dictionaries(make):
-    texts = ["the cat sat on the mat", "the dog sat", "", None, "cat cat cat", "a b c d " * 30]
+@pytest.mark.parametrize("frequent", [1 << 20, 8])
+def test_models_against_dictionaries(make, monkeypatch, frequent):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)  # with 8 most pairs are joined
+    texts = ["the cat sat on the mat", "the dog sat", "", None, "cat cat cat", "a b c d " * 30, "the dog sat"]
     docs = make(texts)
-    labels = docs.sparkSession.createDataFrame([(k, 1) for k in range(6)], "doc_id long, quality int")
+    labels = docs.sparkSession.createDataFrame([(k, 1) for k in range(7)], "doc_id long, quality int")
     got = {r.doc_id: r for r in lm_scoring.score(docs, lm_scoring.fit(docs, labels)).collect()}
-    hashes = WordHash()
-    top = np.uint64(64 - lm_scoring.WORD_BITS)
-    cls = lambda w: int(np.uint64(hashes[w]) >> top) if w else int(lm_scoring.START >> top)
     words = {k: WORD.findall((t or "").lower()) for k, t in enumerate(texts)}
-    from outlyer.llm.common import labelled_ids
-
-    targets = {r.doc_id for r in labelled_ids(labels, "quality", 100).collect()}
+    targets = {k for k in words if zlib.crc32(str(k).encode()) % 5}
+    kinds = len({w for own in words.values() for w in own})
     losses = {}
     for name, ids in (("background_loss", words), ("target_loss", targets)):
         uni, ctx, pair = Counter(), Counter(), Counter()
         for k in ids:
             for v, w in zip([""] + words[k], words[k]):
-                uni[cls(w)] += 1
-                ctx[cls(v)] += 1
+                uni[w] += 1
+                ctx[v] += 1
                 pair[v, w] += 1
         n = sum(uni.values())
         for k, own in words.items():
             total = 0.0
             for v, w in zip([""] + own, own):
-                alone = (uni[cls(w)] + 1) / (n + 2**lm_scoring.WORD_BITS)
-                total -= math.log((pair[v, w] + lm_scoring.MU * alone) / (ctx[cls(v)] + lm_scoring.MU))
+                alone = (uni[w] + 1) / (n + kinds)
+                total -= math.log((pair[v, w] + lm_scoring.MU * alone) / (ctx[v] + lm_scoring.MU))
             losses[k, name] = total / max(1, len(own))
     for (k, name), v in losses.items():
         assert got[k][name] == pytest.approx(v, rel=1e-4, abs=1e-9)
