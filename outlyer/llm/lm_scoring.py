@@ -1,18 +1,19 @@
 """Cross-entropy difference between a target and a background bigram model.
 
-Both models share one vocabulary, all words of the corpus (by 64-bit hash), their order and their smoothing. The
-background model counts all documents, the target model all labelled good ones that may be learnt from. Words are V
-kinds in all; either model gives a word w after v
+Both models share one vocabulary, their order and their smoothing. The background model counts all documents, the target
+model all labelled good ones that may be learnt from. The vocabulary has every word that makes up 1 / ``VOCABULARY`` of the
+corpus or more (so it has ``VOCABULARY`` words at most, whatever the corpus), and one class for all other words. It has V kinds in all;
+either model gives a word w after v
 
     P(w | v) = (c(v, w) + MU P(w)) / (c(v) + MU),   P(w) = (c(w) + 1) / (N + V)
 
 and a document is scored by the mean over its words of target loss minus background loss: the
 lower, the more it resembles the target.
 
-Counts are exact and stay on Spark, as tables that grow with the corpus. A task adds up its own pairs before they are
-shuffled; words and contexts are sums of the pairs. Every pair gets its two losses once. Pairs that occur
-at least once in ``FREQUENT`` words of the corpus are at most ``FREQUENT`` many, whatever its size: their losses are
-broadcast and added up where a text is read. All other pairs of a text are joined to the table of losses; such a pair is rare by
+Counts are exact and stay on Spark, as tables that grow with the corpus. A task adds up its own words or pairs before they are
+shuffled. A pair's key holds the places of its two words in the vocabulary, the frequent ones first, so that keys are short and
+no two pairs share one. Pairs that occur at least once in ``FREQUENT`` words of the corpus are at most ``FREQUENT`` many: their losses
+are broadcast and added up where a text is read. All other pairs of a text are joined to the table of counts; such a pair is rare by
 definition, so no key of that join is hot. Sums go by two 64-bit hashes of the text, and are divided by the rows that have it.
 
 Defined cases: null texts count as empty; texts without words have losses and score 0; without
@@ -27,29 +28,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyer.llm.common import BROADCAST_IDS, WORD, WordHash, held_out, only, scratch, text_of
+from outlyer.llm.common import BROADCAST_IDS, WORD, WordHash, held_out, scratch, text_of
 
 MU = 20.0
+#: A word is in the vocabulary if it makes up one in so many words of the corpus.
+VOCABULARY = 1 << 20
+#: Bits of a word's place in a key: room for the vocabulary, the other words' class and the start.
+BITS = 21
 #: Most pairs whose losses are broadcast, 24 bytes each.
 FREQUENT = 1 << 20
 #: Stands before a document's first word.
 START = np.uint64(0x9E3779B97F4A7C15)
-#: Words that a task holds at a time, and pairs that it adds up before it hands them over.
-WORDS_AT_ONCE, PAIRS_AT_ONCE = 1_000_000, 4_000_000
+#: Words that a task holds at a time, and words or pairs that it adds up before it hands them over.
+WORDS_AT_ONCE, KEYS_AT_ONCE = 1_000_000, 4_000_000
 #: Rows that a task hands over at a time.
 CHUNK = 200_000
 
 
-def pair_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """64-bit keys of words after the words before them."""
-    mixed = (before * np.uint64(0xD6E8FEB86659FD93)) ^ (words * np.uint64(0xA0761D6478BD642F) + np.uint64(0xE7037ED1A0B428DB))
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return mixed ^ (mixed >> np.uint64(29))
-
-
 def read(texts, hashes: WordHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
     """Word hashes of some texts on end, the word before each, the text of each, and the first text's place."""
     arrays, first, held = [], 0, 0
@@ -69,113 +68,161 @@ def read(texts, hashes: WordHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
 
 
 def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """``key, v, w, n_background, n_target`` of some pairs, those of one key put together."""
-    key, v, w, n, t = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """Keys and their counts, those of one key put together, in the order of keys."""
+    key, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], v[order][first], w[order][first], np.add.reduceat(n[order], first), np.add.reduceat(t[order], first)
+    return key[first], *(np.add.reduceat(c[order], first) for c in counts)
 
 
-def count(docs: DataFrame, target_ids: DataFrame, text_col: str = "text") -> DataFrame:
-    """``key, v, w, n_background, n_target``: how often w follows v in the corpus and in the target documents."""
-    ids = scratch(target_ids.select("doc_id").distinct(), "target")
-    marks = ids.withColumn("t", F.lit(True))
-    flagged = docs.select("doc_id", text_of(text_col).alias("text")).join(F.broadcast(marks) if ids.count() <= BROADCAST_IDS else marks, "doc_id", "left")
+def tallied(docs: DataFrame, keys_of, names: list[str]) -> DataFrame:
+    """``key`` and the sums of ``names`` over all documents (text, t: in the target).
+
+    ``keys_of(words, before, target)`` gives keys and their counts for each word of some texts.
+    """
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, parts, held = WordHash(), [], 0
 
         def flush():
-            key, v, w, n, t = added(parts)
+            key, *counts = added(parts)
             for k in range(0, len(key), CHUNK):
                 at = slice(k, k + CHUNK)
-                yield pd.DataFrame({"key": key[at].view(np.int64), "v": v[at].view(np.int64), "w": w[at].view(np.int64), "n_background": n[at], "n_target": t[at]})
+                yield pd.DataFrame({"key": key[at].view(np.int64)} | {n: c[at] for n, c in zip(names, counts, strict=True)})
 
         for b in batches:
             target = b.t.notna().to_numpy()
             for words, before, owner, first in read(b.text.tolist(), hashes):
                 if not len(words):
                     continue
-                part = added([(pair_keys(words, before), before, words, np.ones(len(words), np.int64), target[first + owner].astype(np.int64))])
-                parts.append(part)
-                held += len(part[0])
-                if held > PAIRS_AT_ONCE:
+                parts.append(added([keys_of(words, before, target[first + owner].astype(np.int64))]))
+                held += len(parts[-1][0])
+                if held > KEYS_AT_ONCE:
                     parts, held = [added(parts)], 0
-                    if (held := len(parts[0][0])) > PAIRS_AT_ONCE // 2:
+                    if (held := len(parts[0][0])) > KEYS_AT_ONCE // 2:
                         yield from flush()
                         parts, held = [], 0
         if parts:
             yield from flush()
 
-    found = flagged.select("text", "t").mapInPandas(add_up, "key long, v long, w long, n_background long, n_target long")
-    return found.groupBy("key").agg(F.max("v").alias("v"), F.max("w").alias("w"), F.sum("n_background").alias("n_background"), F.sum("n_target").alias("n_target"))
+    found = docs.mapInPandas(add_up, ", ".join(f"{n} long" for n in ["key", *names]))
+    return found.groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
 
 
 @dataclass
-class Models:
-    """``losses``: key, n, target, background of every pair; ``words``: how many the corpus has."""
+class Vocabulary:
+    """``hashes``, sorted, with their places; ``table``: a row for each place, with both models' P(w) and c(v).
 
-    losses: DataFrame
+    Words come first, by frequency, then the class of all others, then the start.
+    """
+
+    hashes: np.ndarray
+    places: np.ndarray
+    table: pd.DataFrame
     words: int
+    target_words: int
+
+    def encode(self, words: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == words, self.places[at], len(self.table) - 2).astype(np.uint64)
+
+    def keys(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return (self.encode(before) << np.uint64(BITS)) | self.encode(words)
+
 
+def word_counts(words: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words with their counts in both corpora, as words and as what stands before one."""
+    one, none = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
+    pairs = (one, none), (target, none), (none, one), (none, target)
+    return np.concatenate([words, before]), *(np.concatenate(p) for p in pairs)
 
-def rated(pairs: DataFrame) -> Models:
-    """The losses of all pairs (a scratch table of counts) under both models, in nats."""
-    sums = [F.sum("n_background").alias("b"), F.sum("n_target").alias("t")]
-    words, contexts = (scratch(pairs.groupBy(c).agg(*sums), "words") for c in ("w", "v"))
-    total = words.agg(F.count("*").alias("kinds"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b", "t"))).first()
-    few = total.kinds <= BROADCAST_IDS
-    out = pairs
-    for c, table in (("w", words), ("v", contexts)):
-        table = table.select(c, F.col("b").alias(f"{c}_b"), F.col("t").alias(f"{c}_t"))
-        out = out.join(F.broadcast(table) if few else table, c)
 
-    def loss(n: str, k: str):
-        alone = (F.col(f"w_{k}") + 1.0) / float(total[k] + total.kinds)
-        return -F.log((F.col(n) + MU * alone) / (F.col(f"v_{k}") + MU))
+COUNTS = ["w_b", "w_t", "v_b", "v_t"]
 
-    target, background = loss("n_target", "t"), loss("n_background", "b")
-    losses = out.select("key", F.col("n_background").alias("n"), (target if total.t else background).alias("target"), background.alias("background"))
-    return Models(scratch(losses, "losses"), total.b)
 
+def vocabulary(flagged: DataFrame) -> Vocabulary:
+    counts = scratch(tallied(flagged, word_counts, COUNTS), "words")
+    start = int(START.astype(np.int64))
+    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).first()
+    # at most VOCABULARY words reach this share
+    kept = counts.where((F.col("w_b") >= max(total.w_b / VOCABULARY, 1)) | (F.col("key") == start)).toArrow().to_pandas()
+    begin = kept[kept.key == start][COUNTS].sum()
+    kept = kept[kept.key != start].sort_values(["w_b", "key"], ascending=[False, True], ignore_index=True)
+    other = pd.Series({c: total[c] for c in COUNTS}) - kept[COUNTS].sum() - begin
+    table = pd.concat([kept[COUNTS], pd.DataFrame([other, begin])], ignore_index=True).astype(np.int64)
+    kinds = len(kept) + int(other.w_b > 0)
+    if not total.w_t:
+        table["w_t"], table["v_t"] = table.w_b, table.v_b
+    for k in "bt":
+        table[f"p_{k}"] = (table[f"w_{k}"] + 1.0) / (table[f"w_{k}"].sum() + max(kinds, 1))
+    hashes = np.append(kept.key.to_numpy(np.int64).view(np.uint64), START)
+    places = np.append(np.arange(len(kept)), len(kept) + 1)
+    order = np.argsort(hashes)
+    table.insert(0, "place", np.arange(len(table), dtype=np.int64))
+    return Vocabulary(hashes[order], places[order], table[["place", "p_b", "p_t", "v_b", "v_t"]], total.w_b, total.w_t)
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Models:
+
+@dataclass
+class Models:
+    """``pairs``: key, b, t: how often w follows v in the corpus and in the target; without a target both are the corpus's."""
+
+    vocabulary: Vocabulary
+    pairs: DataFrame
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: str = "text") -> Models:
     good = labels.where(F.col("doc_id").isNotNull() & (F.col(label) == 1) & ~held_out()).select("doc_id")
-    return rated(scratch(count(docs, good), "pairs"))
+    ids = scratch(good.distinct(), "target")
+    few = ids.count()
+    marks = ids.withColumn("t", F.lit(True))
+    flagged = docs.select("doc_id", text_of(text_col).alias("text")).join(F.broadcast(marks) if few <= BROADCAST_IDS else marks, "doc_id", "left").select("text", "t")
+    known = vocabulary(flagged)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def pair_counts(words: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        return shared.value.keys(words, before), np.ones(len(words), np.int64), target
+
+    pairs = scratch(tallied(flagged, pair_counts, ["b", "t"]), "pairs", "zstd")
+    return Models(known, pairs if known.target_words else pairs.withColumn("t", F.col("b")))
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     """``docs``, all columns kept, with tokens, target_loss, background_loss and score."""
-    often = F.col("n") >= models.words / FREQUENT
-    table = models.losses.where(often).select("key", "target", "background").toArrow()
-    keys = table["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    shared = docs.sparkSession.sparkContext.broadcast((keys[order], table["target"].to_numpy()[order], table["background"].to_numpy()[order]))
+    spark, known = docs.sparkSession, models.vocabulary
+    often = F.col("b") >= known.words / FREQUENT
+    top = models.pairs.where(often).toArrow().to_pandas().sort_values("key")
+    v, w = (known.table.iloc[c.to_numpy()].reset_index(drop=True) for c in (top.key // (1 << BITS), top.key % (1 << BITS)))
+    losses = [-np.log((top[k].to_numpy() + MU * w[f"p_{k}"].to_numpy()) / (v[f"v_{k}"].to_numpy() + MU)) for k in "tb"]
+    shared = spark.sparkContext.broadcast((known, top.key.to_numpy(np.int64).view(np.uint64), *losses))
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (keys, target, background), hashes = shared.value, WordHash()
+        (known, keys, target, background), hashes = shared.value, WordHash()
         for b in batches:
             sums, x, y = np.zeros((3, len(b))), b.x.to_numpy(), b.y.to_numpy()
             for words, before, owner, first in read(b.text.tolist(), hashes):
-                wanted, owner = pair_keys(words, before), first + owner
+                wanted, owner = known.keys(words, before), first + owner
                 at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-                known = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-                for row, values, own in ((sums[0], None, owner), (sums[1], target[at[known]], owner[known]), (sums[2], background[at[known]], owner[known])):
+                found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+                for row, values, own in ((sums[0], None, owner), (sums[1], target[at[found]], owner[found]), (sums[2], background[at[found]], owner[found])):
                     row += np.bincount(own, values, minlength=len(b))
-                rare, own = wanted[~known].view(np.int64), owner[~known]
+                rare, own = wanted[~found].view(np.int64), owner[~found]
                 for k in range(0, len(rare), CHUNK):
                     o = own[k : k + CHUNK]
                     yield pd.DataFrame({"x": x[o], "y": y[o], "key": rare[k : k + CHUNK], "rows": 0, "tokens": 0, "target_0": 0.0, "background_0": 0.0})
-            # a text's own row meets no pair: it lies anywhere
-            spread = pair_keys(x.view(np.uint64), np.arange(len(b), dtype=np.uint64)).view(np.int64)
-            yield pd.DataFrame({"x": x, "y": y, "key": spread, "rows": 1, "tokens": sums[0].astype(np.int64), "target_0": sums[1], "background_0": sums[2]})
+            # a text's own row meets no pair, as its key is negative: it lies anywhere
+            yield pd.DataFrame({"x": x, "y": y, "key": x | np.int64(-(2**63)), "rows": 1, "tokens": sums[0].astype(np.int64), "target_0": sums[1], "background_0": sums[2]})
 
     digest = [F.xxhash64(text_of(text_col)).alias("x"), F.xxhash64(F.lit(1), text_of(text_col)).alias("y")]
     parts = docs.select(*digest, text_of(text_col).alias("text")).mapInPandas(rate, "x long, y long, key long, rows int, tokens long, target_0 double, background_0 double")
-    met = parts.join(models.losses.where(~often).select("key", "target", "background"), "key", "left")
-    plus = lambda c: F.sum(F.when(F.col("rows") == 1, F.col(f"{c}_0")).otherwise(F.col(c))).alias(c)
-    sums = met.groupBy("x", "y").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), plus("target"), plus("background"))
+    # both tables have a row for each word of the vocabulary, which is bounded
+    places = spark.createDataFrame(pa.Table.from_pandas(known.table, preserve_index=False))
+    after, ahead = places.select(F.col("place").alias("w"), "p_t", "p_b"), places.select(F.col("place").alias("v"), "v_t", "v_b")
+    met = parts.join(models.pairs.where(~often), "key", "left").withColumn("v", F.shiftright("key", BITS)).withColumn("w", F.when(F.col("key") >= 0, F.col("key").bitwiseAND((1 << BITS) - 1)))
+    met = met.join(F.broadcast(after), "w", "left").join(F.broadcast(ahead), "v", "left")
+    loss = lambda k: -F.log((F.coalesce(F.col(k), F.lit(0)) + MU * F.col(f"p_{k}")) / (F.col(f"v_{k}") + MU))
+    plus = lambda c, k: F.sum(F.when(F.col("rows") == 1, F.col(f"{c}_0")).otherwise(loss(k))).alias(c)
+    sums = met.groupBy("x", "y").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), plus("target", "t"), plus("background", "b"))
     per = F.greatest(F.col("tokens"), F.lit(1))
     rates = scratch(sums.select("x", "y", (F.col("tokens") / F.col("rows")).cast("long").alias("tokens"), *((F.col(c) / per).alias(f"{c}_loss") for c in ("target", "background"))), "rates")
     new = ("tokens", "target_loss", "background_loss", "score")
