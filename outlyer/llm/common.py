@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 
 #: A word is a run of letters, digits or underscores; case does not count.
 WORD = re.compile(r"\w+")
+#: ASCII, all but the characters of words as spaces.
+_SPACED = "".join(chr(c) if WORD.match(chr(c)) else " " for c in range(128))
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, in lower case; of ASCII texts by cutting at spaces, which gives the same faster."""
+    low = (text or "").lower()
+    return low.translate(_SPACED).split() if low.isascii() else WORD.findall(low)
 
 
 @lru_cache(maxsize=1)

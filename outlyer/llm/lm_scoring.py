@@ -29,10 +29,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyer.llm.common import BROADCAST_IDS, WORD, WordHash, held_out, scratch, text_of
+from outlyer.llm.common import BROADCAST_IDS, held_out, scratch, text_of, words_of
 
 MU = 20.0
 #: A word is in the vocabulary if it makes up one in so many words of the corpus.
@@ -49,22 +50,31 @@ WORDS_AT_ONCE, KEYS_AT_ONCE = 1_000_000, 4_000_000
 CHUNK = 200_000
 
 
-def read(texts, hashes: WordHash) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Word hashes of some texts on end, the word before each, the text of each, and the first text's place."""
-    arrays, first, held = [], 0, 0
+class WordPlaces(dict):
+    """Places of words in the order in which a task meets them, and their hashes."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return at
+
+
+def read(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Some texts on end: their words as places in an array of hashes, that array, the words' texts, where texts begin, and the first text's number."""
+    places, arrays, first, held = WordPlaces(), [], 0, 0
     for k, text in enumerate(texts):
-        found = WORD.findall((text or "").lower())
-        arrays.append(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found)))
+        found = words_of(text)
+        arrays.append(np.fromiter(map(places.__getitem__, found), np.int64, len(found)))
         held += len(found)
         if held >= WORDS_AT_ONCE or k == len(texts) - 1:
             sizes = np.array([len(a) for a in arrays])
-            words = np.concatenate(arrays)
-            before = np.empty_like(words)
-            before[1:] = words[:-1]
-            begins = (np.cumsum(sizes) - sizes)[sizes > 0]
-            before[begins] = START
-            yield words, before, np.repeat(np.arange(len(arrays)), sizes), first
-            arrays, first, held = [], k + 1, 0
+            if held:
+                yield np.concatenate(arrays), np.array(places.hashes, np.uint64), np.repeat(np.arange(len(arrays)), sizes), (np.cumsum(sizes) - sizes)[sizes > 0], first
+            places, arrays, first, held = WordPlaces(), [], k + 1, 0
 
 
 def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -76,14 +86,14 @@ def added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return key[first], *(np.add.reduceat(c[order], first) for c in counts)
 
 
-def tallied(docs: DataFrame, keys_of, names: list[str]) -> DataFrame:
+def tallied(docs: DataFrame, counts_of, names: list[str]) -> DataFrame:
     """``key`` and the sums of ``names`` over all documents (text, t: in the target).
 
-    ``keys_of(words, before, target)`` gives keys and their counts for each word of some texts.
+    ``counts_of(words, hashes, begins, target)`` gives distinct keys and their counts in some texts.
     """
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, parts, held = WordHash(), [], 0
+        parts, held = [], 0
 
         def flush():
             key, *counts = added(parts)
@@ -93,10 +103,8 @@ def tallied(docs: DataFrame, keys_of, names: list[str]) -> DataFrame:
 
         for b in batches:
             target = b.t.notna().to_numpy()
-            for words, before, owner, first in read(b.text.tolist(), hashes):
-                if not len(words):
-                    continue
-                parts.append(added([keys_of(words, before, target[first + owner].astype(np.int64))]))
+            for words, hashes, owner, begins, first in read(b.text.tolist()):
+                parts.append(counts_of(words, hashes, begins, target[first + owner]))
                 held += len(parts[-1][0])
                 if held > KEYS_AT_ONCE:
                     parts, held = [added(parts)], 0
@@ -127,15 +135,22 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, words), len(self.hashes) - 1)
         return np.where(self.hashes[at] == words, self.places[at], len(self.table) - 2).astype(np.uint64)
 
-    def keys(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return (self.encode(before) << np.uint64(BITS)) | self.encode(words)
+    def keys(self, words: np.ndarray, hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        after = self.encode(hashes)[words]
+        before = np.empty_like(after)
+        before[1:] = after[:-1]
+        before[begins] = len(self.table) - 1
+        return (before << np.uint64(BITS)) | after
 
 
-def word_counts(words: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Words with their counts in both corpora, as words and as what stands before one."""
-    one, none = np.ones(len(words), np.int64), np.zeros(len(words), np.int64)
-    pairs = (one, none), (target, none), (none, one), (none, target)
-    return np.concatenate([words, before]), *(np.concatenate(p) for p in pairs)
+def word_counts(words: np.ndarray, hashes: np.ndarray, begins: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Words with their counts in both corpora, as words and as what stands before one; the start stands before texts only."""
+    ends = np.append(begins[1:], len(words)) - 1
+    count = lambda w: np.append(np.bincount(w, minlength=len(hashes)), 0)
+    all_, own = count(words), count(words[target])
+    before, before_own = all_ - count(words[ends]), own - count(words[ends][target[ends]])
+    before[-1], before_own[-1] = len(begins), target[begins].sum()
+    return np.append(hashes, START), all_, own, before, before_own
 
 
 COUNTS = ["w_b", "w_t", "v_b", "v_t"]
@@ -180,8 +195,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text_col: st
     known = vocabulary(flagged)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def pair_counts(words: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
-        return shared.value.keys(words, before), np.ones(len(words), np.int64), target
+    def pair_counts(words: np.ndarray, hashes: np.ndarray, begins: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        # the mark of the target is the last bit while keys are sorted
+        key = np.sort((shared.value.keys(words, hashes, begins) << np.uint64(1)) | target)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1)]))
+        return key[first] >> np.uint64(1), np.diff(np.append(first, len(key))), np.add.reduceat((key & np.uint64(1)).astype(np.int64), first)
 
     pairs = scratch(tallied(flagged, pair_counts, ["b", "t"]), "pairs", "zstd")
     return Models(known, pairs if known.target_words else pairs.withColumn("t", F.col("b")))
@@ -196,33 +214,42 @@ def score(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
     losses = [-np.log((top[k].to_numpy() + MU * w[f"p_{k}"].to_numpy()) / (v[f"v_{k}"].to_numpy() + MU)) for k in "tb"]
     shared = spark.sparkContext.broadcast((known, top.key.to_numpy(np.int64).view(np.uint64), *losses))
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (known, keys, target, background), hashes = shared.value, WordHash()
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, keys, target, background = shared.value
         for b in batches:
-            sums, x, y = np.zeros((3, len(b))), b.x.to_numpy(), b.y.to_numpy()
-            for words, before, owner, first in read(b.text.tolist(), hashes):
-                wanted, owner = known.keys(words, before), first + owner
+            n, x, y = b.num_rows, b["x"].to_numpy(), b["y"].to_numpy()
+            tokens, sums = np.zeros(n, np.int64), np.zeros((2, n))
+            for words, hashes, owner, begins, first in read(b["text"].to_pylist()):
+                wanted, owner = known.keys(words, hashes, begins), first + owner
                 at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
                 found = keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
-                for row, values, own in ((sums[0], None, owner), (sums[1], target[at[found]], owner[found]), (sums[2], background[at[found]], owner[found])):
-                    row += np.bincount(own, values, minlength=len(b))
+                tokens += np.bincount(owner, minlength=n)
+                for row, values in zip(sums, (target, background), strict=True):
+                    row += np.bincount(owner[found], values[at[found]], minlength=n)
                 rare, own = wanted[~found].view(np.int64), owner[~found]
                 for k in range(0, len(rare), CHUNK):
                     o = own[k : k + CHUNK]
-                    yield pd.DataFrame({"x": x[o], "y": y[o], "key": rare[k : k + CHUNK], "rows": 0, "tokens": 0, "target_0": 0.0, "background_0": 0.0})
+                    starts = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
+                    lists = pa.ListArray.from_arrays(np.append(starts, len(o)).astype(np.int32), rare[k : k + CHUNK])
+                    none = pa.nulls(len(starts), pa.int64()), pa.nulls(len(starts), pa.float64()), pa.nulls(len(starts), pa.float64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x[o[starts]]), pa.array(y[o[starts]]), lists, *none], names=columns)
             # a text's own row meets no pair, as its key is negative: it lies anywhere
-            yield pd.DataFrame({"x": x, "y": y, "key": x | np.int64(-(2**63)), "rows": 1, "tokens": sums[0].astype(np.int64), "target_0": sums[1], "background_0": sums[2]})
+            lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32), x | np.int64(-(2**63)))
+            yield pa.RecordBatch.from_arrays([b["x"], b["y"], lists, pa.array(tokens), pa.array(sums[0]), pa.array(sums[1])], names=columns)
 
+    columns = ["x", "y", "keys", "tokens", "target", "background"]
     digest = [F.xxhash64(text_of(text_col)).alias("x"), F.xxhash64(F.lit(1), text_of(text_col)).alias("y")]
-    parts = docs.select(*digest, text_of(text_col).alias("text")).mapInPandas(rate, "x long, y long, key long, rows int, tokens long, target_0 double, background_0 double")
+    found = docs.select(*digest, text_of(text_col).alias("text")).mapInArrow(rate, "x long, y long, keys array<long>, tokens long, target double, background double")
+    own = F.when(F.col("tokens").isNotNull(), F.struct("tokens", "target", "background")).alias("own")
+    parts = found.select("x", "y", own, F.explode("keys").alias("key"))
     # both tables have a row for each word of the vocabulary, which is bounded
     places = spark.createDataFrame(pa.Table.from_pandas(known.table, preserve_index=False))
     after, ahead = places.select(F.col("place").alias("w"), "p_t", "p_b"), places.select(F.col("place").alias("v"), "v_t", "v_b")
     met = parts.join(models.pairs.where(~often), "key", "left").withColumn("v", F.shiftright("key", BITS)).withColumn("w", F.when(F.col("key") >= 0, F.col("key").bitwiseAND((1 << BITS) - 1)))
     met = met.join(F.broadcast(after), "w", "left").join(F.broadcast(ahead), "v", "left")
     loss = lambda k: -F.log((F.coalesce(F.col(k), F.lit(0)) + MU * F.col(f"p_{k}")) / (F.col(f"v_{k}") + MU))
-    plus = lambda c, k: F.sum(F.when(F.col("rows") == 1, F.col(f"{c}_0")).otherwise(loss(k))).alias(c)
-    sums = met.groupBy("x", "y").agg(F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"), plus("target", "t"), plus("background", "b"))
+    plus = lambda c, k: F.sum(F.when(F.col("key") < 0, F.col(f"own.{c}")).otherwise(loss(k))).alias(c)
+    sums = met.groupBy("x", "y").agg(F.count("own").alias("rows"), F.coalesce(F.sum("own.tokens"), F.lit(0)).alias("tokens"), plus("target", "t"), plus("background", "b"))
     per = F.greatest(F.col("tokens"), F.lit(1))
     rates = scratch(sums.select("x", "y", (F.col("tokens") / F.col("rows")).cast("long").alias("tokens"), *((F.col(c) / per).alias(f"{c}_loss") for c in ("target", "background"))), "rates")
     new = ("tokens", "target_loss", "background_loss", "score")
