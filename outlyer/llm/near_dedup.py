@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outlyer.llm.common import WORD, WordHash, only, scratch, small_batches, text_of
+from outlyer.llm.common import WordHash, only, scratch, small_batches, text_of, words_of
 from outlyer.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -60,7 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(text: str | None, hashes: WordHash) -> np.ndarray:
-    found = WORD.findall((text or "").lower())
+    found = words_of(text)
     return np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
 
 
