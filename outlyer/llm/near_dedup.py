@@ -14,8 +14,9 @@
    a and b are linked, then what tells a from the hub and what tells b from it (shingles that one has more
    often, or less often) must overlap: were they disjoint, a and b would differ by their sum, which
    is more than a link allows. At least 4/9 of what tells b from the hub is shared. So members of large buckets that
-   hold an unlinked member are dealt again by (hub, difference): unlinked members by all of theirs, linked ones by
-   the first 5/9 and one more of theirs in the order of a hash. Those buckets are treated the same way, up to ``FEW_DEALT``
+   hold an unlinked member are dealt again by (hub, difference), by the first of their differences in the order of a hash. Linked documents
+   a and b differ in (1 / ``SIMILARITY`` - 1) |a| shingles at most, and so do their differences; all of a's that come before the first one
+   they share are among these. So that many and one more of a's suffice, and of a linked member the first 5/9 and one more. Those buckets are treated the same way, up to ``FEW_DEALT``
    members, until none is large. No link between members of one bucket is lost, whatever the bucket's size.
 4. Pairs are verified on the texts: multiset overlap of shingles, ``SIMILARITY`` or more.
 5. Connected components of the verified links are the groups; the smallest id stays.
@@ -176,8 +177,8 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return signed.select(F.when(~F.col("no_id"), F.col("doc")).alias("doc"), "same", "bands")
 
 
-def differences(member: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray], linked: bool) -> np.ndarray:
-    """Hashes of what tells a bag from the hub's, one for each shingle too many or too few; of a linked one those that suffice."""
+def differences(member: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np.ndarray], linked: bool, similarity: float = SIMILARITY) -> np.ndarray:
+    """Hashes of what tells a bag from the hub's, one for each shingle too many or too few: those that suffice to meet all links."""
     known = np.union1d(member[0], hub[0])
     have = [np.zeros(len(known), np.int64) for _ in range(2)]
     for n, (h, c) in zip(have, (member, hub), strict=True):
@@ -186,7 +187,8 @@ def differences(member: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np
     n = np.abs(more)
     level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - np.minimum(*have), n)
     out = np.sort(mix(np.repeat(known ^ np.where(more > 0, _A, _B), n) + level.astype(np.uint64) * _C))
-    return out[: 5 * len(out) // 9 + 1] if linked else out
+    alone = int((1 / similarity - 1) * int(member[1].sum()) + 1e-9)  # a link's other side lacks no more of these
+    return out[: min(alone, 5 * len(out) // 9) + 1 if linked else alone + 1]
 
 
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -211,7 +213,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 x, y = bag_of(a, ta), bag_of(b, tb)
                 like.append(overlap(x, y))
                 member, centre = (y, x) if side == 0 else (x, y)
-                extra.append(None if side < 0 else differences(member, centre, like[-1] >= similarity).view(np.int64))
+                extra.append(None if side < 0 else differences(member, centre, like[-1] >= similarity, similarity).view(np.int64))
             yield pd.DataFrame({"a": p.a, "b": p.b, "side": p.side, "similarity": like, "extra": extra})
 
     few = pairs.count() <= BROADCAST_PAIRS
