@@ -130,3 +130,15 @@ def test_components_of_long_paths(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.id: r.label for r in components(links).collect()}
     assert {got[k] for k in range(41)} == {0} and {got[100], got[101], got[102]} == {100}
+
+
+def test_words_of_ascii_and_other_texts():
+    import random
+
+    from outlyer.llm.common import WORD, words_of
+
+    rng = random.Random(1)
+    for k in range(5_000):
+        text = "".join(chr(rng.randrange(128 if k % 2 or j % 3 else 0x3000)) for j in range(rng.randrange(40)))
+        assert words_of(text) == WORD.findall(text.lower())
+    assert words_of(None) == words_of("") == []
