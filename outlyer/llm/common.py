@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from functools import lru_cache
 
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of letters, digits or underscores; case does not count.
@@ -130,3 +130,19 @@ def only(rows: DataFrame, ids: DataFrame, on: str | list[str]) -> DataFrame:
     """Rows whose key is among ``ids`` (a scratch table of distinct keys), by a join fit for its size."""
     few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, on, "left_semi")
+
+
+def numbered(df: DataFrame, order: list[Column], tag: str, out: str, rows: int = 200_000) -> DataFrame:
+    """``df`` (a scratch table) with its 0-based place ``out`` in the order of ``order``, nulls first where ascending.
+
+    Rows are dealt by ranges of the whole order, and of their place in the table where that is equal, so
+    that no value is too frequent for one task; the sizes of the ranges, a row for each, are summed up.
+    """
+    parts = df.count() // rows + 1
+    dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "__tie").sortWithinPartitions(*order, "__tie")
+    dealt = scratch(dealt.drop("__tie").withColumn("__at", F.monotonically_increasing_id()), tag)
+    # the upper bits of that number are the task's, the lower 33 count its rows
+    dealt = dealt.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    along = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__first"))
+    return dealt.join(F.broadcast(first), "__part").withColumn(out, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
