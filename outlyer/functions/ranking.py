@@ -7,58 +7,49 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from outlyer.functions.tables import written
+
 #: Rows that one task numbers or sums.
 BLOCK = 200_000
-_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
 
 
-def _key(df: DataFrame, name: str) -> Column:
-    timed = dict(df.dtypes)[name].startswith("timestamp")
-    return F.unix_micros(F.col(name).cast("timestamp")).cast("double") if timed else F.col(name).cast("double")
+def _order(by: list[str]) -> list[Column]:
+    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in by]
 
 
-def blocks(df: DataFrame, by: list[str], block: int = BLOCK, out: str = "__block") -> DataFrame:
-    """``df`` with a block number that rises with the first column of ``by`` (``-name`` descends).
+def _dealt(df: DataFrame, by: list[str], block: int) -> DataFrame:
+    """``df`` with ``__part``, that rises with the order of ``by``, and ``__at``, the 0-based place in its part.
 
-    Blocks are cut at approximate quantiles, so they hold about ``block`` rows each; a value never
-    falls into two. Tables of up to one block, and keys that are no numbers or times, are one block.
+    A part is a range of the whole order, and where rows are equal in it of their places in the table, so
+    it holds about ``block`` rows whatever the values and their types. Tables of up to one block are one part.
     """
-    name, down = by[0].lstrip("-"), by[0].startswith("-")
-    kinds = dict(df.dtypes)
-    if kinds[name] not in _NUMBERS | {"timestamp", "timestamp_ntz"}:
-        return df.withColumn(out, F.lit(0))
     n = df.count()
     if n <= block:
-        return df.withColumn(out, F.lit(0))
-    parts = min(4096, n // block + 1)
-    keyed = df.select(_key(df, name).alias("k"))
-    cuts = sorted(set(keyed.approxQuantile("k", [k / parts for k in range(1, parts)], 0.25 / parts)))
-    # a literal array searched by count: parts is bounded
-    over = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= _key(df, name)))
-    return df.withColumn(out, -over if down else over)
-
-
-def _order(by: list[str]) -> list[Column]:
-    return [F.col(c[1:]).desc() if c.startswith("-") else F.col(c) for c in by]
+        one = Window.partitionBy("__part").orderBy(*_order(by))
+        return df.withColumn("__part", F.lit(0).cast("long")).withColumn("__at", F.row_number().over(one).cast("long") - 1)
+    order = [*_order(by), F.col("__tie")]
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(n // block + 1, *order).sortWithinPartitions(*order).drop("__tie")
+    # kept, as the next reading could cut the ranges elsewhere; the upper bits of this number are the task's, the lower 33 count its rows
+    ranged = written(ranged.withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    return ranged.withColumn("__part", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
 
 
 def row_numbers(df: DataFrame, by: list[str], out: str = "pos", block: int = BLOCK) -> DataFrame:
-    """``df`` with its 0-based position in the order of ``by``, which should end in a unique column."""
-    cut = blocks(df, by, block)
-    along = Window.partitionBy().orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    first = cut.groupBy("__block").agg(F.count(F.lit(1)).alias("__n")).withColumn("__first", F.coalesce(F.sum("__n").over(along), F.lit(0))).drop("__n")
-    inside = F.row_number().over(Window.partitionBy("__block").orderBy(*_order(by))) - 1
-    return cut.withColumn("__in", inside).join(F.broadcast(first), "__block").withColumn(out, F.col("__first") + F.col("__in")).drop("__block", "__in", "__first")
+    """``df`` with its 0-based position in the order of ``by`` (``-name`` descends), which should end in a unique column."""
+    cut = _dealt(df, by, block)
+    along = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__first"))  # a row a part
+    return cut.join(F.broadcast(first), "__part").withColumn(out, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
 
 
 def running_sums(df: DataFrame, by: list[str], sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """``df`` with running sums over the whole table in the order of ``by``; ``sums`` maps names to what is summed."""
-    cut = reduce(lambda d, kv: d.withColumn(f"__v_{kv[0]}", kv[1]), sums.items(), blocks(df, by, block))
-    along = Window.partitionBy().orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut.groupBy("__block").agg(*(F.sum(f"__v_{k}").alias(f"__s_{k}") for k in sums))
-    before = before.select("__block", *(F.coalesce(F.sum(f"__s_{k}").over(along), F.lit(0)).alias(f"__b_{k}") for k in sums))
-    inside = Window.partitionBy("__block").orderBy(*_order(by)).rowsBetween(Window.unboundedPreceding, 0)
-    out = cut.join(F.broadcast(before), "__block")
+    cut = reduce(lambda d, kv: d.withColumn(f"__v_{kv[0]}", kv[1]), sums.items(), _dealt(df, by, block))
+    along = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = cut.groupBy("__part").agg(*(F.sum(f"__v_{k}").alias(f"__s_{k}") for k in sums))
+    before = before.select("__part", *(F.coalesce(F.sum(f"__s_{k}").over(along), F.lit(0)).alias(f"__b_{k}") for k in sums))
+    inside = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(F.broadcast(before), "__part")
     for k in sums:
         out = out.withColumn(k, F.col(f"__b_{k}") + F.sum(f"__v_{k}").over(inside))
     return out.select(*df.columns, *sums)

@@ -135,16 +135,18 @@ class Session:
     def step(self, label_of: Callable[[int], int]) -> list[int]:
         """Ask the next rows, learn from all labels so far; the ids asked."""
         asked = self.rows.sparkSession.createDataFrame([(i,) for i in self.state.asked], f"`{self.id_col}` long")
-        scored = self.scored()
-        fresh = scored.join(F.broadcast(asked), self.id_col, "left_anti")
-        few = STRATEGIES[self.query](fresh, self)
-        found = few.collect()  # a batch
-        if not found:
-            return []
-        self.state.asked += [int(r[self.id_col]) for r in found]
-        self.state.labels += [int(label_of(int(r[self.id_col]))) for r in found]
-        q = float(quantile_values(scored, "score", [1 - self.cfg.tau])[0])
-        tau_row = scored.where(F.col("score") <= q).orderBy(F.col("score").desc(), self.id_col).limit(1).collect()
+        scored = self.scored().persist()
+        try:
+            fresh = scored.join(F.broadcast(asked), self.id_col, "left_anti")
+            found = STRATEGIES[self.query](fresh, self).collect()  # a batch
+            if not found:
+                return []
+            self.state.asked += [int(r[self.id_col]) for r in found]
+            self.state.labels += [int(label_of(int(r[self.id_col]))) for r in found]
+            q = float(quantile_values(scored, "score", [1 - self.cfg.tau])[0])
+            tau_row = scored.where(F.col("score") <= q).orderBy(F.col("score").desc(), self.id_col).limit(1).collect()
+        finally:
+            scored.unpersist()
         mine = self.rows.join(F.broadcast(self.rows.sparkSession.createDataFrame([(i,) for i in self.state.asked], f"`{self.id_col}` long")), self.id_col).collect()
         place = {int(r[self.id_col]): r for r in mine}
         x = self.members([place[i] for i in self.state.asked])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outlyer.functions import rules as R
+from outlyer.functions.tables import written
 
 
 def volumes(regions: DataFrame, ranges: DataFrame, features: list[str]) -> DataFrame:
@@ -64,16 +65,57 @@ def cover(covers: list[set[int]], costs: list[float], limit: int = 200_000) -> t
     return sorted(best), not todo
 
 
+#: Up to so many different sets of regions the cheapest cover is sought on the driver; more are covered greedily on Spark.
+EXACT_SETS = 256
+
+
+def membership_sets(memberships: DataFrame, costs: DataFrame) -> DataFrame:
+    """``s``: the different sets of priced regions that rows (``id, region``) lie in; a set is no longer than the model has members."""
+    priced = memberships.join(costs.select("region").distinct(), "region", "left_semi")
+    return priced.groupBy("id").agg(F.sort_array(F.collect_set("region")).alias("s")).select("s").distinct()
+
+
+def greedy_cover(sets: DataFrame, costs: DataFrame) -> list[str]:
+    """Regions that meet all ``sets``, always the one that costs least for each set it newly meets; ties by name.
+
+    A step is one count of the open sets by region, of which the best region reaches the driver. At the end
+    regions that the others make needless are dropped, the costliest first. The price is at most the
+    harmonic number of the largest region's sets times the least.
+    """
+    chosen: list[str] = []
+    open_ = sets
+    while True:
+        new = open_.select(F.explode("s").alias("region")).groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+        best = new.join(costs, "region").orderBy(F.col("volume") / F.col("n"), "region").limit(1).collect()
+        if not best:
+            break
+        chosen.append(best[0].region)
+        open_ = sets.where(~F.arrays_overlap("s", F.array(*map(F.lit, chosen))))
+    price = {r.region: r.volume for r in costs.where(F.col("region").isin(chosen)).collect()}
+    while chosen:
+        own = F.array_intersect("s", F.array(*map(F.lit, chosen)))
+        needed = {r.r for r in sets.where(F.size(own) == 1).select(own[0].alias("r")).distinct().collect()}  # regions of the cover
+        spare = [r for r in chosen if r not in needed]
+        if not spare:
+            break
+        chosen.remove(max(spare, key=lambda r: (price[r], r)))
+    return sorted(chosen)
+
+
 def compact_regions(memberships: DataFrame, costs: DataFrame) -> list[str]:
     """Regions that cover the described rows (``id, region``) at least cost (``region, volume``).
 
-    Rows in the same regions are covered alike, so only the distinct sets of regions reach the driver, whose number the
-    model bounds and not the rows; a row's set is as long as the model has members.
+    Rows in the same regions are covered alike, so only different sets of regions count. While they are
+    few the cover is the cheapest one; else it is greedy, and only regions of the model reach the driver.
     """
-    sets = memberships.groupBy("id").agg(F.sort_array(F.collect_set("region")).alias("s")).select("s").distinct().collect()
-    price = {r.region: r.volume for r in costs.collect()}  # a row a region
-    names = sorted({n for r in sets for n in r.s if n in price})
-    chosen, _ = cover([{k for k, r in enumerate(sets) if n in r.s} for n in names], [max(1e-12, price[n]) for n in names])
+    costs = costs.select("region", F.greatest("volume", F.lit(1e-12)).alias("volume"))
+    sets = written(membership_sets(memberships, costs), "sets")
+    if sets.count() > EXACT_SETS:
+        return greedy_cover(sets, costs)
+    few = [set(r.s) for r in sets.collect()]  # EXACT_SETS at most
+    names = sorted(set().union(*few)) if few else []
+    price = {r.region: r.volume for r in costs.where(F.col("region").isin(names)).collect()}
+    chosen, _ = cover([{k for k, s in enumerate(few) if n in s} for n in names], [price[n] for n in names])
     return [names[k] for k in chosen]
 
 
@@ -156,3 +198,73 @@ def bayesian_ruleset(covered: np.ndarray, y: np.ndarray, lengths: list[int], ste
         if now_worth > best_worth:
             best, best_worth = now, now_worth
     return sorted(best)
+
+
+def interval_items(rows: DataFrame, features: list[str], levels: tuple[int, ...] = (2, 4)) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """``rows`` with ``items``: for each feature and level the part of the feature's range, of that many equal ones, that holds it.
+
+    An item is ``feature:level:part``. Also the ranges.
+    """
+    lim = rows.agg(*(e(f).cast("double").alias(f"{n}_{f}") for f in features for n, e in (("lo", F.min), ("hi", F.max)))).first()
+    ranges = {f: (lim[f"lo_{f}"] or 0.0, lim[f"hi_{f}"] or 0.0) for f in features}
+    items = []
+    for f in features:
+        lo, hi = ranges[f]
+        for n in levels:
+            part = F.lit(0) if hi <= lo else F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((F.col(f) - lo) / (hi - lo) * n)))
+            items.append(F.concat(F.lit(f"{f}:{n}:"), part.cast("string")))
+    return rows.withColumn("items", F.array(*items)), ranges
+
+
+def mined_patterns(rows: DataFrame, support: float, longest: int = 3) -> DataFrame:
+    """``items, freq``: sets of items that a share ``support`` of the rows with ``y`` 1 has, one item a feature, sorted.
+
+    Found by MLlib's frequent-pattern growth, which deals conditional trees over the cluster.
+    """
+    from pyspark.ml.fpm import FPGrowth
+
+    found = FPGrowth(itemsCol="items", minSupport=support).fit(rows.where("y = 1").select("items")).freqItemsets
+    names = F.transform("items", lambda i: F.substring_index(i, ":", 1))
+    return found.where((F.size("items") <= longest) & (F.size(F.array_distinct(names)) == F.size("items"))).select(F.sort_array("items").alias("items"), "freq")
+
+
+def mined_rules(rows: DataFrame, features: list[str], support: float = 0.1, most: int = 60, levels: tuple[int, ...] = (2, 4), longest: int = 3) -> list[str]:
+    """Candidate rules on the features: frequent among rows with ``y`` 1, the ``most`` of highest precision (ties: support, name)."""
+    marked, ranges = interval_items(rows.select("y", *features), features, levels)
+    patterns = mined_patterns(marked, support, longest)
+    # how often each pattern holds at all: each row has as many patterns as its few items give
+    every = marked.withColumn("__id", F.monotonically_increasing_id()).select("__id", F.explode("items").alias("item"))
+    parts = written(patterns.withColumn("pattern", F.concat_ws(" ", "items")), "patterns")
+    wanted = parts.select("pattern", F.size("items").alias("size"), F.explode("items").alias("item"))
+    held = every.join(wanted, "item").groupBy("__id", "pattern", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").groupBy("pattern").agg(F.count(F.lit(1)).alias("rows"))
+    best = parts.join(held, "pattern").orderBy((F.col("freq") / F.col("rows")).desc(), F.col("freq").desc(), "pattern").limit(most).collect()  # ``most`` rules
+    out = []
+    for r in best:
+        box = {}
+        for item in r["items"]:
+            f, n, k = item.split(":")
+            lo, hi = ranges[f]
+            width, k, n = (hi - lo) / int(n), int(k), int(n)
+            box[f] = (-math.inf if k == 0 else lo + k * width, math.inf if k == n - 1 else lo + (k + 1) * width)
+        rule = R.rule_of_ranges({f: b for f, b in box.items() if b != (-math.inf, math.inf)})
+        if rule and rule not in out:
+            out.append(rule)
+    return out
+
+
+def coverage_patterns(rows: DataFrame, rules: list[str]) -> DataFrame:
+    """``covered, y, n``: how many rows of each label each set of rules holds for; a row is a bit a rule."""
+    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(R.condition(r, rows), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, r in enumerate(rules)), F.lit(0).cast("long"))
+    return rows.select(bits.alias("covered"), F.col("y").cast("int").alias("y")).groupBy("covered", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bayesian_rules(rows: DataFrame, features: list[str], support: float = 0.1, most: int = 60, steps: int = 500, seed: int = 42, levels: tuple[int, ...] = (2, 4)) -> list[str]:
+    """Mined rules of high posterior for ``y`` (at most 62 candidates). Rows are counted by the rules that hold for
+    them, which depends on the cell that a row lies in; only those counts reach the driver."""
+    candidates = mined_rules(rows, features, support, min(62, most), levels)
+    if not candidates:
+        return []
+    got = coverage_patterns(rows, candidates).orderBy("covered", "y").collect()
+    covered = np.array([[r.covered >> k & 1 for k in range(len(candidates))] for r in got])
+    chosen = bayesian_ruleset(covered, np.array([r.y for r in got]), [len(R.ConjunctiveRule.parse(c)) for c in candidates], steps, seed=seed, counts=np.array([r.n for r in got]))
+    return [candidates[k] for k in chosen]

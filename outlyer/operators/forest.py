@@ -1,8 +1,8 @@
 """Random split forests as tables: building, routing, regions, scores.
 
 A forest is a DataFrame with a row per node: ``tree, node, left, right, feature, threshold, n,
-depth, log_vol``; a leaf has left = -1. Each tree grows in its own task from its own bounded
-sample, so any number of trees grows in parallel; the forest is a model of bounded size
+depth, log_vol``; a leaf has left = -1. Each tree grows in its own task from a bounded sample
+of its own, so any number of trees grows in parallel; the forest is a model of bounded size
 (``trees * 2 ** (depth + 1)`` nodes at most), which is broadcast to score rows in one scan.
 """
 
@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlyer.functions.ranking import arithmetic_order
+from outlyer.functions.tables import written
 from outlyer.functions.vectors import average_path_length
 
 NODES = "tree int, node int, left int, right int, feature int, threshold double, n long, depth int, log_vol double"
@@ -62,7 +63,8 @@ def grow(x: np.ndarray, kind: str, depth: int, rng: np.random.Generator, offset:
 def fit(rows: DataFrame, features: list[str], kind: str = "isolation", trees: int = 100, samples: int = 256, depth: int = 15, seed: int = 42, views: list[int] | None = None, first: int = 0, id_col: str = "id") -> DataFrame:
     """A forest over ``features``. ``views`` cuts them into slices, and trees are dealt to slices in turn.
 
-    ``trees * samples`` rows are drawn at most, in the order of a hash of the id, and dealt to trees.
+    Each tree draws ``samples`` rows of its own, without putting back, from a pool of ``trees * samples`` rows at
+    most; both draws go by hashes of the id, and of tree and id. A row may be in many trees.
     """
     if kind not in KINDS:
         raise ValueError(kind)
@@ -70,8 +72,14 @@ def fit(rows: DataFrame, features: list[str], kind: str = "isolation", trees: in
     for size in views or [len(features)]:
         slices.append((at, size))
         at += size
-    drawn = rows.select(id_col, *(F.col(f).cast("double") for f in features)).dropna().orderBy(arithmetic_order(id_col, seed), id_col).limit(trees * samples)
-    dealt = drawn.withColumn("tree", F.pmod(arithmetic_order(id_col, seed + 7), F.lit(trees)).cast("int") + first)
+    pool = rows.select(id_col, *(F.col(f).cast("double") for f in features)).dropna().orderBy(arithmetic_order(id_col, seed), id_col).limit(trees * samples)
+    pool = written(pool, "pool")
+    keyed = pool.select("*", F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))).alias("tree")).withColumn("__key", F.xxhash64(F.lit(seed), "tree", id_col))
+    # the lowest hashes of a tree lie in this share of all, far more than enough of them
+    share = min(1.0, 2 * samples / max(1, pool.count()))
+    keyed = keyed.where(F.pmod(F.col("__key"), F.lit(1_000_000)) < share * 1_000_000)
+    lowest = Window.partitionBy("tree").orderBy(F.pmod(F.col("__key"), F.lit(1_000_000)), "__key", id_col)  # twice the samples
+    dealt = keyed.withColumn("__k", F.row_number().over(lowest)).where(F.col("__k") <= samples).drop("__k", "__key")
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         tree = int(g.tree.iloc[0])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlyer.functions.ranking import arithmetic_order
+from outlyer.functions.tables import written
+from outlyer.functions.vectors import dot
 
 
 def normalised(edges: DataFrame) -> DataFrame:
@@ -32,28 +36,63 @@ def sample_edges(edges: DataFrame, share: float, seed: int = 42) -> DataFrame:
     return kept.unionByName(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).unionByName(edges.where("src = dst"))
 
 
-def classify(edges: DataFrame, nodes: DataFrame, classes: int, layers: int = 2, epochs: int = 300, rate: float = 0.05, seed: int = 42) -> DataFrame:
-    """``id, logits`` of a linear graph convolution: features propagated ``layers`` times, then softmax regression.
+def smoothed(edges: DataFrame, nodes: DataFrame, layers: int = 2) -> DataFrame:
+    """``member, id, x``: features propagated ``layers`` times over each member's edges (``member, src, dst, w``).
 
-    Propagation runs on Spark; only labelled nodes (``y`` not null, a training set) reach the driver.
+    All members go together, keyed by member and node: a layer is one join and one sum for all of them.
     """
-    hat = normalised(edges)
-    smooth = nodes.select("id", "x")
+    key = ["member", "src"]
+    degree = edges.groupBy(*key).agg(F.sum("w").alias("d"))
+    hat = edges.join(degree.withColumnRenamed("d", "ds"), key).join(degree.select("member", F.col("src").alias("dst"), F.col("d").alias("dd")), ["member", "dst"])
+    hat = written(hat.select("member", "src", "dst", (F.col("w") / F.sqrt(F.col("ds") * F.col("dd"))).alias("w")), "hat")
+    now = hat.select("member").distinct().join(nodes.select("id", "x"))  # members are few; a model's side
     for _ in range(layers):
-        smooth = propagate(hat, smooth)
-    train = nodes.where("y is not null").select("id", "y").join(smooth, "id").orderBy("id").toPandas()
-    x = np.column_stack([np.array(train.x.tolist(), float), np.ones(len(train))])
-    target = np.eye(classes)[train.y.to_numpy(int)]
-    w = np.random.default_rng(seed).normal(0, 0.01, (x.shape[1], classes))
-    m = v = np.zeros_like(w)
-    for t in range(1, epochs + 1):
-        z = x @ w
-        p = np.exp(z - z.max(1, keepdims=True))
-        g = x.T @ (p / p.sum(1, keepdims=True) - target) / len(x) + 1e-4 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    logits = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, map(float, w[:-1, c]))), lambda a, b: a * b), F.lit(float(w[-1, c])), lambda s, e: s + e) for c in range(classes)]
-    return smooth.select("id", F.array(*logits).alias("logits"))
+        flat = now.select("member", F.col("id").alias("dst"), F.posexplode("x").alias("k", "v"))
+        sums = hat.join(flat, ["member", "dst"]).groupBy("member", F.col("src").alias("id"), "k").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+        now = sums.groupBy("member", "id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("a")).select("member", "id", F.transform("a", lambda e: e["v"]).alias("x"))
+    return now
+
+
+def member_edges(edges: DataFrame, members: int, share: float, seed: int = 42) -> DataFrame:
+    """``member, src, dst, w``: for each member its own share of the undirected edges, both directions; self loops stay."""
+    one = edges.where("src <= dst").select(F.explode(F.sequence(F.lit(0), F.lit(members - 1))).alias("member"), "src", "dst", "w")
+    draw = F.pmod((F.col("src") * 1000003 + F.col("dst")) * 2654435761 + F.lit(seed) + F.col("member") * 7919, F.lit(2147483647))
+    kept = one.where((F.col("src") == F.col("dst")) | (draw < share * 2147483647))
+    return kept.unionByName(kept.where("src < dst").select("member", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+
+
+def linear_logits(rows: DataFrame, weights: np.ndarray, offsets: np.ndarray) -> DataFrame:
+    """``rows`` with ``logits`` of the column ``x``, an entry a class; ``weights`` are classes by features."""
+    out = [dot(F.col("x"), F.array(*map(F.lit, map(float, w)))) + F.lit(float(b)) for w, b in zip(weights, offsets, strict=True)]
+    return rows.withColumn("logits", F.array(*out))
+
+
+def fitted_logits(rows: DataFrame, classes: int, epochs: int = 100, regular: float = 1e-4) -> DataFrame:
+    """``rows`` (``x``, and ``y`` or null) with ``logits`` of a softmax regression that MLlib fits where the rows are."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    train = rows.where("y is not null").select(array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"))
+    model = LogisticRegression(maxIter=epochs, regParam=regular, family="multinomial", standardization=False).fit(train)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    # classes above those that have labels are never likely
+    w, b = np.vstack([w, np.zeros((classes - len(w), w.shape[1]))]), np.concatenate([b, np.full(classes - len(b), -1e6)])
+    return linear_logits(rows, w, b)
+
+
+def classify(edges: DataFrame, nodes: DataFrame, classes: int, layers: int = 2, epochs: int = 100) -> DataFrame:
+    """``id, logits`` of a linear graph convolution: features propagated ``layers`` times, then softmax regression.
+
+    Nodes are ``id, x, y``, y null without a label. No node reaches the driver.
+    """
+    return ensemble(edges.withColumn("member", F.lit(0)), nodes, classes, layers, epochs).select("id", "logits")
+
+
+def ensemble(edges: DataFrame, nodes: DataFrame, classes: int, layers: int = 2, epochs: int = 100) -> DataFrame:
+    """``member, id, logits`` of a linear graph convolution a member (:func:`member_edges`)."""
+    smooth = written(smoothed(edges, nodes, layers).join(nodes.select("id", "y"), "id"), "smooth")
+    found = [fitted_logits(smooth.where(F.col("member") == m), classes, epochs) for m in sorted(r.member for r in smooth.select("member").distinct().collect())]
+    return reduce(DataFrame.unionByName, found).select("member", "id", "logits")
 
 
 def probabilities(logits: DataFrame) -> DataFrame:
@@ -103,7 +142,7 @@ def diffusion(edges: DataFrame, nodes: DataFrame, alpha: float = 0.9, rounds: in
         spread = hat.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("value")).alias("s"))
         now = y.join(spread, "id", "left").select("id", (alpha * F.coalesce("s", F.lit(0.0)) + (1 - alpha) * F.col("y")).alias("value"))
         if k % 5 == 4:
-            now = now.checkpoint()
+            now = written(now, "diffusion")
     return now
 
 

@@ -219,12 +219,30 @@ def ag22(spark, sf):
     return describe.complexity(regions(spark), FEATURES)
 
 
-@query("ds1_compact_cover")
+#: A number with a bit for each leaf, and the sets of leaves in which rows of some condition lie.
+_BITS = "bit AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS k FROM box)"
+
+
+def _cover_sql(rows: str) -> str:
+    """Parts of SQL that end in ``best(mask)``: the cheapest set of leaves, by the roots of volumes, that meets the sets of ``rows(id, region)``."""
+    return (
+        f"{_LIM}, vol AS (SELECT region, {_VOL} AS v FROM box, l), {_BITS}, sets AS (SELECT DISTINCT m FROM (SELECT id, sum(1::BIGINT << k) AS m FROM {rows} JOIN bit USING (region) GROUP BY id)), "
+        "price AS (SELECT mask, sum(sqrt(v)) AS v FROM (SELECT unnest(range(1, 1024)) AS mask), bit JOIN vol USING (region) WHERE (mask >> k) & 1 = 1 GROUP BY mask), "
+        "best AS (SELECT mask FROM price p WHERE NOT EXISTS (SELECT 1 FROM sets WHERE m::BIGINT & p.mask = 0) ORDER BY v, mask LIMIT 1)"
+    )
+
+
+def root_volumes(spark, sf):
+    """Roots of the leaves' volumes: volumes of a tree's leaves add up to the same for all trees."""
+    v = describe.volumes(regions(spark), vectors.feature_ranges(instances(spark, sf), FEATURES), FEATURES)
+    return v.select("region", F.sqrt("volume").alias("volume"))
+
+
+@query("ds1_compact_cover", f"WITH {INST}, {BOXES}, near AS (SELECT i.id, b.region FROM inst i JOIN box b ON i.y = 1 AND {_CLOSED}), {_cover_sql('near')} SELECT region FROM bit, best WHERE (mask >> k) & 1 = 1")
 def ds1(spark, sf):
     rows = instances(spark, sf)
     inside = joins.in_regions(rows.where("y = 1"), regions(spark), FEATURES)
-    volumes = describe.volumes(regions(spark), vectors.feature_ranges(rows, FEATURES), FEATURES)
-    return spark.createDataFrame([(r,) for r in describe.compact_regions(inside, volumes)], "region string")
+    return spark.createDataFrame([(r,) for r in describe.compact_regions(inside, root_volumes(spark, sf))], "region string")
 
 
 @query("ds2_descriptions")
@@ -255,7 +273,17 @@ def al5(spark, sf):
     return spark.createDataFrame([(k, i, y) for k, (i, y) in enumerate(zip(state.asked, state.labels, strict=True))], "pos int, id long, y int")
 
 
-@query("wn17_diverse_picks")
+_D2 = "(a.x0 - b.x0) ** 2 + (a.x1 - b.x1) ** 2 + (a.x2 - b.x2) ** 2"
+
+
+@query(
+    "wn17_diverse_picks",
+    f"WITH {INST}, t AS (SELECT * FROM inst ORDER BY x0 DESC, id LIMIT 12), p0 AS (SELECT id, 0 AS pick FROM t ORDER BY x0 DESC, id LIMIT 1), "
+    + ", ".join(
+        f"p{k} AS (SELECT * FROM p{k - 1} UNION ALL (SELECT a.id, {k} FROM t a, t b WHERE b.id IN (SELECT id FROM p{k - 1}) AND a.id NOT IN (SELECT id FROM p{k - 1}) GROUP BY a.id, a.x0 ORDER BY min({_D2}) DESC, a.x0 DESC, a.id LIMIT 1))" for k in (1, 2)
+    )
+    + " SELECT id, pick FROM p2",
+)
 def wn17(spark, sf):
     rows = instances(spark, sf).withColumn("score", F.col("x0")).withColumn("x", F.array(*FEATURES))
     best = rows.orderBy(F.col("score").desc(), "id").limit(12)
@@ -300,12 +328,6 @@ def dt17(spark, sf):
     return density.kernel_density(rows, rows.orderBy(arithmetic_order("id"), "id").limit(2000), 10.0).select("id", F.round("density", 6).alias("density"))
 
 
-@query("dt15_local_outlier_factor")
-def dt15(spark, sf):
-    rows = instances(spark, sf).where("id < 400").select("id", F.array(*FEATURES).alias("x"))
-    return density.local_outlier_factor(rows)
-
-
 @query("dt16_mixture")
 def dt16(spark, sf):
     rows = instances(spark, sf)
@@ -345,11 +367,6 @@ def wn16(spark, sf):
     return relevance.best_members(m).select("id", "member", F.col("rank").cast("long").alias("rank"))
 
 
-@query("gl1_relevance")
-def gl1(spark, sf):
-    return relevance.relevances(instances(spark, sf), FEATURES, relevance.Network.start(3, 4)).select("id", "relevance")
-
-
 @query("cl1_classifiers")
 def cl1(spark, sf):
     rows = instances(spark, sf).withColumn("y", (F.col("x0") > 60).cast("int"))
@@ -409,7 +426,20 @@ def al14(spark, sf):
     return s.orderBy(F.round(F.abs(F.col("score") - F.lit(q)), 7), "id").limit(5).select("id")
 
 
-@query("wn18_least_overlap")
+def _picks_sql(masks: str, n: int) -> str:
+    """SQL of ``n`` picks over ``masks(id, pos, m)``: the first, then always the one that shares fewest bits with those picked."""
+    first = f"k0 AS (SELECT id, pos, m, 0 AS pick FROM {masks} ORDER BY pos LIMIT 1)"
+    more = [
+        f"k{j} AS (SELECT * FROM k{j - 1} UNION ALL (SELECT id, pos, m, {j} FROM {masks} WHERE id NOT IN (SELECT id FROM k{j - 1}) ORDER BY bit_count(m & (SELECT bit_or(m) FROM k{j - 1})), pos LIMIT 1))"
+        for j in range(1, n)
+    ]
+    return ", ".join([first, *more]) + f" SELECT pick, id FROM k{n - 1}"
+
+
+_BEST = f"best AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS pos FROM (SELECT * FROM s ORDER BY s DESC, id LIMIT 12))"
+
+
+@query("wn18_least_overlap", f"WITH {_SUMS}, {_BEST}, {_BITS}, masks AS (SELECT b.id, b.pos, CAST(sum(1::BIGINT << k) AS BIGINT) AS m FROM best b JOIN routed r ON r.id = b.id JOIN bit USING (region) GROUP BY b.id, b.pos), {_picks_sql('masks', 4)}")
 def wn18(spark, sf):
     order = _scores(spark, sf).orderBy(F.col("score").desc(), "id").limit(12)
     own = members(spark, sf).join(F.broadcast(order.select("id")), "id", "left_semi").select("id", F.col("member").alias("region"))
@@ -451,23 +481,6 @@ def sc10(spark, sf):
     return instances(spark, sf).select("id", place.alias("bin"))
 
 
-@query("ds3_bayesian_ruleset")
-def ds3(spark, sf):
-    import numpy as np
-
-    from outlyer.functions import rules
-
-    rows = instances(spark, sf).withColumn("y", (F.col("x0") > 80).cast("int"))
-    candidates = ["x0 > 90", "x0 > 60", "x1 > 12", "x0 > 75 & x2 > 20", "x2 < 30"]
-    cells = rules.satisfaction(rows, candidates).groupBy("id").pivot("rule_id", list(range(len(candidates)))).agg(F.max("covered"))
-    names = [F.col(f"`{k}`").cast("int").alias(f"c{k}") for k in range(len(candidates))]
-    # a row for each pattern of covered rules and label, whatever the rows
-    got = cells.join(rows.select("id", "y"), "id").groupBy("y", *names).agg(F.count(F.lit(1)).alias("n")).orderBy("y", *(f"c{k}" for k in range(len(candidates)))).collect()
-    covered, y, n = np.array([list(r)[1:-1] for r in got]), np.array([r.y for r in got]), np.array([r.n for r in got])
-    chosen = describe.bayesian_ruleset(covered, y, [len(rules.ConjunctiveRule.parse(c)) for c in candidates], counts=n)
-    return spark.createDataFrame([(k, candidates[k]) for k in chosen], "rule_id int, rule string")
-
-
 @query("pr14_region_rules", f"WITH {BOXES} SELECT region, count(*) AS parts FROM (SELECT region, unnest([lo_x0, lo_x1, lo_x2, hi_x0, hi_x1, hi_x2]) AS b FROM box) WHERE b IS NOT NULL GROUP BY region")
 def pr14(spark, sf):
     from outlyer.functions import rules

@@ -26,4 +26,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["dt1_isolation_top"](spark, sf_dir)
 
 
-from outlyer.plans import models, rows, sequences  # noqa: E402, F401  the modules that register
+from outlyer.plans import feedback, models, rows, sequences, trust  # noqa: E402, F401  the modules that register

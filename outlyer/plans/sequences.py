@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from outlyer.operators import graph, joins, series
@@ -63,6 +65,43 @@ def ts2b(spark, sf):
     return series.rolling_errors(events(spark, sf), ["user_id"], "event_id", "value", p=3, d=1)
 
 
+_PAST = f"d AS (SELECT user_id, event_id, value, value - lag(value) OVER {_W} AS y FROM events), l AS (SELECT *, lag(y, 1) OVER {_W} AS y1, lag(y, 2) OVER {_W} AS y2 FROM d)"
+
+
+@query(
+    "ts1_normal_equations",
+    f"WITH {_PAST} SELECT user_id, count(*) AS rows, " + ", ".join(f"round(sum({e}), 4) AS {n}" for n, e in (("s1", "y1"), ("s11", "y1 * y1"), ("s2", "y2"), ("s21", "y2 * y1"), ("s22", "y2 * y2"), ("b0", "y"), ("b1", "y1 * y"), ("b2", "y2 * y")))
+    + " FROM l WHERE y1 IS NOT NULL AND y2 IS NOT NULL AND y IS NOT NULL GROUP BY user_id",
+)
+def ts1_normal(spark, sf):
+    """The normal equations of an AR(2) on each user's differenced values."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = events(spark, sf).withColumn("y", F.col("value") - F.lag("value").over(w))
+    rows = rows.withColumn("y1", F.lag("y", 1).over(w)).withColumn("y2", F.lag("y", 2).over(w))
+    eq = series.normal_equations(rows, ["user_id"], ["y1", "y2"], "y")
+    at = {"s1": ("a", 1), "s11": ("a", 2), "s2": ("a", 3), "s21": ("a", 4), "s22": ("a", 5), "b0": ("b", 0), "b1": ("b", 1), "b2": ("b", 2)}
+    return eq.select("user_id", "rows", *((F.round(F.col(c)[k], 4) + 0.0).alias(n) for n, (c, k) in at.items()))
+
+
+@query("ts1_arma")
+def ts1(spark, sf):
+    """ARMA(2, 1) of each user's differenced values."""
+    weights, _ = series.arma(events(spark, sf), ["user_id"], "event_id", "value", p=2, q=1, d=1)
+    return weights
+
+
+@query(
+    "ts2_rolling_ar1",
+    "WITH s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events), "
+    "d AS (SELECT *, value - lag(value) OVER w AS y, lag(value) OVER w AS before FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), l AS (SELECT *, lag(y) OVER (PARTITION BY user_id ORDER BY event_id) AS y1 FROM d), "
+    "f AS (SELECT user_id, regr_slope(y, y1) AS a, regr_intercept(y, y1) AS b FROM l WHERE pos < floor(n * CAST(0.66 AS DOUBLE)) AND y1 IS NOT NULL GROUP BY user_id) "
+    "SELECT user_id, CAST(pos AS INTEGER) AS step, round(value, 4) AS actual, round(before + b + a * y1, 3) AS forecast FROM l JOIN f USING (user_id) WHERE pos >= floor(n * CAST(0.66 AS DOUBLE)) AND floor(n * CAST(0.66 AS DOUBLE)) > 4",
+)
+def ts2_ar1(spark, sf):
+    out = series.rolling_errors(events(spark, sf), ["user_id"], "event_id", "value", p=1, d=1)
+    return out.select("user_id", "step", F.round("actual", 4).alias("actual"), F.round("forecast", 3).alias("forecast"))
+
+
 @query("ts3_regression_errors")
 def ts3(spark, sf):
     return series.regression_errors(events(spark, sf), ["user_id"], ["event_id"], "value", 5)
@@ -145,6 +184,30 @@ def gr2b(spark, sf):
     return graph.margins(graph.probabilities(graph.classify(edges(spark, sf), nodes, 10, epochs=100)))
 
 
+#: Edges of three members, normalised.
+_HAT3 = f"{_EDGES}, e3 AS (SELECT m AS member, src, dst, w FROM e, (SELECT unnest([0, 1, 2]) AS m) WHERE src < dst AND ((src * 1000003 + dst) * 2654435761 + 42 + m * 7919) % 2147483647 < CAST(0.7 AS DOUBLE) * 2147483647), u AS (SELECT * FROM e3 UNION ALL SELECT member, dst, src, w FROM e3), g3 AS (SELECT member, src, sum(w) AS d FROM u GROUP BY ALL), h3 AS (SELECT u.member, u.src, u.dst, u.w / sqrt(a.d * b.d) AS w FROM u JOIN g3 a ON a.member = u.member AND a.src = u.src JOIN g3 b ON b.member = u.member AND b.src = u.dst)"
+
+
+@query(
+    "gr4_mean_logits",
+    f"WITH {_HAT3}, x1 AS (SELECT h.member, h.src AS id, sum(h.w * v.x[1]) AS a, sum(h.w * v.x[2]) AS b FROM h3 h JOIN vec v ON v.id = h.dst GROUP BY ALL), x2 AS (SELECT h.member, h.src AS id, sum(h.w * a) AS a, sum(h.w * b) AS b FROM h3 h JOIN x1 ON x1.member = h.member AND x1.id = h.dst GROUP BY ALL) "
+    "SELECT id, round(avg(2 * a - b + 0.1::DOUBLE), 6) AS l0, round(avg(3 * b - a - 0.2::DOUBLE), 6) AS l1 FROM x2 GROUP BY id",
+)
+def gr4(spark, sf):
+    """Mean logits of three members, each over its own edges, at weights given by their numbers."""
+    nodes = vecs(spark, sf).select("id", F.slice("x", 1, 2).alias("x"))
+    smooth = graph.smoothed(graph.member_edges(edges(spark, sf), 3, 0.7), nodes, 2)
+    out = graph.mean_logits(graph.linear_logits(smooth, np.array([[2.0, -1.0], [-1.0, 3.0]]), np.array([0.1, -0.2])).select("id", "logits"))
+    return out.select("id", *(F.round(F.col("logits")[k], 6).alias(f"l{k}") for k in (0, 1)))
+
+
+@query("gr4_ensemble")
+def gr4_ensemble(spark, sf):
+    """Likeliest labels by the mean of three fitted members."""
+    nodes = vecs(spark, sf).withColumn("y", F.when(F.col("id") % 3 == 0, F.col("label")))
+    return graph.margins(graph.probabilities(graph.mean_logits(graph.ensemble(graph.member_edges(edges(spark, sf), 3, 0.7), nodes, 10, epochs=20).select("id", "logits"))))
+
+
 @query("gr3_errors", "SELECT round(avg(CASE WHEN id % 3 = 0 THEN 1 - h END), 6) AS error, round(avg(CASE WHEN id % 3 <> 0 THEN h END), 6) AS micro_f1 FROM (SELECT vec_id AS id, CAST(label = vec_id % 10 AS DOUBLE) AS h FROM embeddings)")
 def gr3(spark, sf):
     v = vecs(spark, sf)

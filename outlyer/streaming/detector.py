@@ -73,11 +73,17 @@ class StreamingDetector:
             scores.write.mode("overwrite").parquet(self._path(version, "scores"))
             rows = scored.select(self.id_col, *self.features, "score")
             old = spark.read.parquet(self._path(last, "rows")) if last is not None else rows.limit(0)
+            old, rows = self._judged(old, rows, model, version, last)
+            # the rows' marker says that the version is whole, so they come last
             keep_top(old, rows, "score", c.keep, self.id_col).write.mode("overwrite").parquet(self._path(version, "rows"))
             return spark.read.parquet(self._path(version, "scores"))
         finally:
             batch.unpersist()
 
+    def _judged(self, old: DataFrame, rows: DataFrame, model: forest.Model, version: int, last: int | None) -> tuple[DataFrame, DataFrame]:
+        """Retained and new rows with the score by which they stay; a detector that learns changes both."""
+        return old, rows
+
     def _refresh(self, spark: SparkSession, batch: DataFrame, last: int) -> tuple[DataFrame, int]:
         """The last forest, with trees that the batch has drifted from grown anew, if they are many."""
         c = self.cfg

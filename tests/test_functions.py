@@ -10,22 +10,25 @@ from outlyer.functions import ranking, rules, vectors
 
 
 @pytest.fixture(scope="module")
-def people(spark):
-    return spark.createDataFrame([(0, 104, "F", 30, 150.0, -1), (1, 509, "M", 45, 169.0, -3), (2, 423, "F", 28, 156.0, 2)], "id long, pid int, sex string, age int, weight double, score int")
+def kites(spark):
+    return spark.createDataFrame([(0, "box", 7, 12.5, -4), (1, "delta", 3, 40.0, 0), (2, "delta", 9, 8.25, 6), (3, "sled", 5, 12.5, -9)], "id long, shape string, ribs int, reach double, drift int")
 
 
 @pytest.mark.parametrize(
     ("rule", "ids"),
-    [("sex='F'", {0, 2}), ("weight>150", {1, 2}), ("age<30 & sex=F", {2}), ("score>-1", {2}), ("~(weight>160) | (sex='M')", {0, 1, 2}), ("~age<30", {0, 1}), ("(age >= 30)[2.5]", {0, 1})],
+    [
+        ("shape=delta", {1, 2}), ("reach >= 12.5", {0, 1, 3}), ("ribs<8 & drift<0", {0, 3}), ("~(shape='box' | shape='sled') & ribs > 4", {2}), ("drift>-5", {0, 1, 2}),
+        ("~drift<0", {1, 2}), ("(ribs <= 5)[0.25]", {1, 3}), ("reach = 12.5 & ~shape = sled", {0}),
+    ],
 )
-def test_rules(people, rule, ids):
-    assert {r.id for r in rules.satisfying(people, rule).collect()} == ids
+def test_rules(kites, rule, ids):
+    assert {r.id for r in rules.satisfying(kites, rule).collect()} == ids
 
 
-@pytest.mark.parametrize("bad", ["", "height > 3", "age < weight", "age == 3", "age <", "age < 3 [x]", "age $ 3"])
-def test_bad_rules(people, bad):
+@pytest.mark.parametrize("bad", ["", "span > 3", "ribs < reach", "ribs == 3", "ribs <", "ribs < 3 [x]", "ribs $ 3"])
+def test_bad_rules(kites, bad):
     with pytest.raises(Exception):  # noqa: B017
-        rules.satisfying(people, bad).collect()
+        rules.satisfying(kites, bad).collect()
 
 
 def test_null_is_false(spark):
@@ -64,3 +67,15 @@ def test_row_numbers_and_sums_in_blocks(spark, block):
             sums[r[0]] = total
         got = {r.id: r.t for r in ranking.running_sums(rows, by, {"t": F.col("v")}, block).collect()}
         assert all(abs(got[k] - sums[k]) < 1e-9 for k in sums)
+
+
+def test_ties_and_string_keys_are_cut_into_ranges(spark):
+    rows = spark.range(400).select("id", F.lit(1.0).alias("same"), F.concat(F.lit("k"), (F.col("id") * 7 % 100).cast("string")).alias("name")).repartition(3)
+    for by in (["same"], ["name", "-id"]):
+        cut = ranking._dealt(rows, by, 50).groupBy("__part").count().collect()
+        assert len(cut) > 4 and max(r["count"] for r in cut) < 150
+        assert sorted(r.pos for r in ranking.row_numbers(rows, by, "pos", 50).collect()) == list(range(400))
+    order = sorted(range(400), key=lambda k: (f"k{k * 7 % 100}", -k))
+    assert {r.id: r.pos for r in ranking.row_numbers(rows, ["name", "-id"], "pos", 50).collect()} == {k: p for p, k in enumerate(order)}
+    sums = {r.id: r.t for r in ranking.running_sums(rows, ["name", "-id"], {"t": F.col("id")}, 50).collect()}
+    assert sums[order[-1]] == sum(range(400)) and sums[order[0]] == order[0]
