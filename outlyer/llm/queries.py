@@ -168,21 +168,30 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CRC = 0xEDB88320
 
 
-def _op12_sql() -> str:
+def _crc_table() -> str:
+    """crc32 of each byte, as SQL."""
     rows = []
     for c in range(256):
         for _ in range(8):
             c = c >> 1 ^ (_CRC if c & 1 else 0)
         rows.append(str(c))
+    return f"crc AS (SELECT [{', '.join(rows)}]::UBIGINT[] AS t)"
+
+
+#: crc32 of the bytes whose hex is h, with the table t.
+_CRC_SQL = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c & 255, b) + 1)::BIGINT])), 4294967295::UBIGINT)"
+
+
+def _op12_sql() -> str:
     return rf"""
-WITH crc AS (SELECT [{", ".join(rows)}]::UBIGINT[] AS t),
+WITH {_crc_table()},
 docs AS (SELECT 0 AS goal, doc_id AS id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents UNION ALL SELECT 1, item_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') FROM benchmark),
 words AS (SELECT goal, id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
 said AS (SELECT goal, id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS f FROM words, (SELECT unnest([1, 2, 3]) AS k)),
 held AS (SELECT goal, id, f, count(*) AS c FROM said GROUP BY ALL),
 bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM held)),
 hashed AS (
-  SELECT f, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c & 255, b) + 1)::BIGINT])), 4294967295::UBIGINT) % 10000 AS bucket
+  SELECT f, {_CRC_SQL} % 10000 AS bucket
   FROM bytes, crc),
 used AS (SELECT goal, id, bucket, sum(c) AS c FROM held JOIN hashed USING (f) GROUP BY ALL),
 sums AS (SELECT b.bucket, CAST(coalesce(sum(c) FILTER (goal = 0), 0) AS DOUBLE) AS s, CAST(coalesce(sum(c) FILTER (goal = 1), 0) AS DOUBLE) AS t FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN used u ON u.bucket = b.bucket GROUP BY b.bucket),
@@ -218,7 +227,11 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 o AS (SELECT doc_id AS id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nx, coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
 e AS (SELECT id, next_id, n, t, left(t, n - n // 4) || left(nx, n // 4) AS et FROM o),
 texts AS (SELECT id, 0 AS edited, t FROM e UNION ALL SELECT id, 1, et FROM e),
-hashes AS (SELECT id, edited, list_transform(list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % {p}) AS w FROM texts),
+{_crc_table()},
+said AS (SELECT id, edited, unnest(list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda w: w <> '')) AS w, generate_subscripts(list_filter(regexp_split_to_array(t, '[ \x09-\x0D]+'), lambda w: w <> ''), 1) AS k FROM texts),
+known AS (SELECT w, {_CRC_SQL}::BIGINT % {p} AS c FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM said)), crc),
+spoken AS (SELECT id, edited, list(c ORDER BY k) AS w FROM said JOIN known USING (w) GROUP BY id, edited),
+hashes AS (SELECT x.id, x.edited, coalesce(s.w, []) AS w FROM texts x LEFT JOIN spoken s ON s.id = x.id AND s.edited = x.edited),
 pairs AS (SELECT *, list_transform(range(1, len(w)), lambda i: (w[i] * {a} + w[i + 1] * {b}) % {p}) AS p FROM hashes),
 closed AS (SELECT *, list_filter(range(1, len(w) - {k} + 2), lambda i: least(p[i], p[i + {k - 2}]) <= least({", ".join(f"p[i + {j}]" for j in range(1, k - 2))})) AS places FROM pairs),
 found AS (SELECT id, edited, w, list_sort(list_transform(places, lambda i: (p[i] * {a} + p[i + 2] * {b} + w[i + 4] * {c}) % {wide} * {places} + (i - 1) % {places})) AS f FROM closed),
