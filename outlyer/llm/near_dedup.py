@@ -8,21 +8,23 @@
    order of time, and a shingle stops once it is later than all of its document's registers, so
    a document costs about its number of shingles and not that times the number of registers.
 2. Classes of equal word sequences are told by a 128-bit hash; only the smallest id of each goes on.
-3. Bands of ``ROWS`` registers are hashed into buckets. A bucket of up to ``FEW`` members compares
-   them with each other; a larger one compares only its hub, the member that shares most buckets,
-   with all others. Two members that both are linked to the hub are linked through it. If one of them, a, is not, and
-   a and b are linked, then what tells a from the hub and what tells b from it (shingles that one has more
+3. Bands of ``ROWS`` registers are hashed into buckets. Every bucket compares its hub, the member that shares most
+   buckets, with all others, and the components of the links so far are taken: from here on only members of
+   different components need be compared, as a link inside one changes no group. Buckets of up to ``FEW`` members compare
+   these outright. In a larger one, let a and b be linked, and not both be of the hub's component, so not both be linked to the
+   hub. Then what tells a from the hub and what tells b from it (shingles that one has more
    often, or less often) must overlap: were they disjoint, a and b would differ by their sum, which
-   is more than a link allows. At least 4/9 of what tells b from the hub is shared. So members of large buckets that
-   hold an unlinked member are dealt again by (hub, difference), by the first of their differences in the order of a hash. Linked documents
+   is more than a link allows. At least 4/9 of what tells b from the hub is shared. So the members of large buckets that
+   hold a member of another component are dealt again by (hub, difference), by the first of their differences in the order of a hash. Linked documents
    a and b differ in (1 / ``SIMILARITY`` - 1) |a| shingles at most, and so do their differences; all of a's that come before the first one
-   they share are among these. So that many and one more of a's suffice, and of a linked member the first 5/9 and one more. Those buckets are treated the same way, up to ``FEW_DEALT``
-   members, until none is large. No link between members of one bucket is lost, whatever the bucket's size.
+   they share are among these. So that many and one more of a's suffice, and of a linked member the first 5/9 and one more. Dealt buckets with
+   members of several components are treated the same way, up to ``FEW_DEALT`` members outright, until no large one is left. No link
+   that would join two groups is lost inside a bucket, whatever its size.
 4. Pairs are verified on the texts: multiset overlap of shingles, ``SIMILARITY`` or more.
 5. Connected components of the verified links are the groups; the smallest id stays.
 
 At similarity 0.8 a pair shares a band with probability 1 - (1 - 0.8 ** 6) ** 28 = 0.9998; nothing else is left
-to chance. Work is linear in the size of a hot group whose members are linked to its hub.
+to chance. Work is linear in the size of a hot group whose members are one component by links to its hubs.
 
 Defined cases: null texts count as empty; texts without words are copies of each other; texts of
 less than five words are one shingle; null ids are each a group of their own unless an equal text
@@ -33,6 +35,7 @@ empty table gives an empty result; columns other than id and text are not read;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -191,11 +194,8 @@ def differences(member: tuple[np.ndarray, np.ndarray], hub: tuple[np.ndarray, np
     return out[: min(alone, 5 * len(out) // 9) + 1 if linked else alone + 1]
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``a, b, hub, similarity, extra`` of pairs ``a, b, hub`` (a scratch table), from ``doc, text`` rows with unique ids.
-
-    Where hub is a or b, extra has the other's differences from it; else it is null. A hub of -1 in Python stands for none.
-    """
+def _with_texts(pairs: DataFrame, texts: DataFrame, one, out: str) -> DataFrame:
+    """``a, b`` and ``out``, what ``one`` makes of both bags, of pairs ``a, b`` (a scratch table), from ``doc, text`` rows with unique ids."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, known = WordHash(), {}
@@ -208,73 +208,109 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             return known[doc]
 
         for p in batches:
-            like, extra = [], []
-            for a, b, side, ta, tb in zip(p.a, p.b, p.side, p.ta, p.tb, strict=True):
-                x, y = bag_of(a, ta), bag_of(b, tb)
-                like.append(overlap(x, y))
-                member, centre = (y, x) if side == 0 else (x, y)
-                extra.append(None if side < 0 else differences(member, centre, like[-1] >= similarity, similarity).view(np.int64))
-            yield pd.DataFrame({"a": p.a, "b": p.b, "side": p.side, "similarity": like, "extra": extra})
+            yield pd.DataFrame({"a": p.a, "b": p.b, "out": [one(bag_of(a, ta), bag_of(b, tb)) for a, b, ta, tb in zip(p.a, p.b, p.ta, p.tb, strict=True)]})
 
     few = pairs.count() <= BROADCAST_PAIRS
-    side = F.when(F.col("hub") == F.col("a"), 0).when(F.col("hub") == F.col("b"), 1).otherwise(-1).alias("side")
-    both = texts.toDF("a", "ta").join(F.broadcast(pairs) if few else pairs, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", side, "ta", "tb")
-    out = both.mapInPandas(work, "a long, b long, side int, similarity double, extra array<long>")
-    return out.select("a", "b", F.when(F.col("side") == 0, F.col("a")).when(F.col("side") == 1, F.col("b")).alias("hub"), "similarity", "extra")
+    both = texts.toDF("a", "ta").join(F.broadcast(pairs) if few else pairs, "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    name, kind = out.split()
+    return both.mapInPandas(work, f"a long, b long, out {kind}").withColumnRenamed("out", name)
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, similarity`` of pairs."""
+    return scratch(_with_texts(pairs, texts, overlap, "similarity double"), "verified")
 
 
-def candidate_pairs(members: DataFrame, few: int) -> DataFrame:
-    """Pairs ``a, b, hub`` to compare, from ``key, doc, shared, open, n``; hub is null for pairs of small buckets."""
-    small, large = members.where(F.col("n") <= few), members.where(F.col("n") > few)
-    x, y = small.select("key", F.col("doc").alias("a"), F.col("open").alias("oa")), small.select("key", F.col("doc").alias("b"), F.col("open").alias("ob"))
-    close = x.join(y, "key").where("a < b and (oa or ob)").select("a", "b")
-    hubs = large.groupBy("key").agg(F.max(F.struct("shared", "doc")).alias("hub")).select("key", F.col("hub.doc").alias("hub"))
-    star = large.join(hubs, "key").where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"), "hub")
-    return close.withColumn("hub", F.lit(None).cast("long")).unionAll(star).distinct()
+def told_apart(stars: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``key, doc``: the buckets that members are dealt to by what tells them from their hub, of ``hub, doc``."""
+
+    def extra(hub, member):
+        return differences(member, hub, overlap(hub, member) >= similarity, similarity).view(np.int64)
+
+    out = _with_texts(stars.select(F.col("hub").alias("a"), F.col("doc").alias("b")), texts, extra, "extra array<long>")
+    return out.select(F.col("b").alias("doc"), F.col("a").alias("hub"), F.explode("extra").alias("d")).select(F.xxhash64("hub", "d").alias("key"), "doc")
 
 
 def sized(members: DataFrame) -> DataFrame:
-    """``members`` with n, the size of their bucket, where it is over 1 and holds an open member."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("n > 1 and any").select("key", "n")
-    return members.join(sizes, "key")
+    """``key, doc, n`` of members in buckets of n, two or more."""
+    return members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
+
+
+def with_labels(members: DataFrame, labels: DataFrame | None, doc: str = "doc", out: str = "label") -> DataFrame:
+    """``members`` with the component of ``doc``, itself where it has no link."""
+    if labels is None:
+        return members.withColumn(out, F.col(doc))
+    return members.join(labels.toDF(doc, "__label"), doc, "left").withColumn(out, F.coalesce("__label", doc)).drop("__label")
+
+
+def starred(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """``key, doc, n, hub`` of sized members; the hub is the one that shares most."""
+    hubs = members.join(shared, "doc").groupBy("key").agg(F.max(F.struct("shared", "doc")).alias("hub")).select("key", F.col("hub.doc").alias("hub"))
+    return members.select("key", "doc", "n").join(hubs, "key")
+
+
+def inside(members: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of members (``key, doc, label``) of one bucket and different components."""
+    x, y = (members.select("key", F.col("doc").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+    return x.join(y, "key").where("a < b and la <> lb").select("a", "b")
 
 
 def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links ``a, b, similarity`` between the signed documents (ids are longs)."""
-    rows = signed.where("bands is not null").select(F.explode("bands").alias("key"), "doc", F.lit(True).alias("open"))
-    members = scratch(sized(rows), "members")
+    """Verified links ``a, b, similarity`` between the signed documents (ids are longs): all that are needed to tell their groups."""
+    members = scratch(sized(signed.where("bands is not null").select(F.explode("bands").alias("key"), "doc")), "members")
     shared = scratch(members.groupBy("doc").agg(F.sum("n").alias("shared")), "shared")
     texts = scratch(only(docs, shared.select("doc"), "doc").dropDuplicates(["doc"]), "texts", "zstd")
-    members, found, seen, dealt = members.join(shared, "doc"), None, None, None
-    while True:
-        pairs = scratch(candidate_pairs(members, FEW if seen is None else FEW_DEALT), "candidates")
-        if seen is not None:  # a pair is compared once, and once more for each other hub
-            plain, star = pairs.where("hub is null"), pairs.where("hub is not null")
-            pairs = plain.join(seen, ["a", "b"], "left_anti").unionAll(star.join(seen, ["a", "b", "hub"], "left_anti").select("a", "b", "hub"))
+    found, seen, labels = [], [], None
+
+    def compare(pairs: DataFrame) -> bool:
+        """Verify pairs that have not been; whether there were links among them."""
+        nonlocal labels
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for before in seen:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch(pairs, "pairs")
         if pairs.isEmpty():
+            return False
+        seen.append(verify(pairs, texts))
+        new = seen[-1].where(F.col("similarity") >= similarity)
+        if new.isEmpty():
+            return False
+        found.append(new)
+        labels = components(reduce(DataFrame.unionAll, [f.select("a", "b") for f in found]))
+        return True
+
+    def apart(stars: DataFrame) -> DataFrame:
+        """Pairs of members and hubs that are in different components."""
+        both = with_labels(with_labels(stars, labels), labels, "hub", "hub_label")
+        return both.where("label <> hub_label").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
+
+    few, dealt, gone = FEW, None, None
+    while True:
+        stars = scratch(starred(members, shared), "stars")
+        compare(apart(stars))
+        compare(inside(with_labels(stars.where(F.col("n") <= few), labels)))
+        # hubs of large buckets that have a member of another component, with all their members
+        large = stars.where((F.col("n") > few) & (F.col("doc") != F.col("hub"))).select("hub", "doc").distinct()
+        open_ = scratch(apart(large).select(F.col("a").alias("hub")).distinct(), "open")
+        large = large.join(open_, "hub", "left_semi")
+        if gone is not None:
+            large = large.join(gone, ["hub", "doc"], "left_anti")
+        large = scratch(large, "large")
+        if large.isEmpty():
             break
-        verified = scratch(verify(pairs, texts, similarity), "verified", "zstd")
-        good = verified.where(F.col("similarity") >= similarity).select("a", "b", "similarity")
-        found = good if found is None else found.unionAll(good)
-        now = verified.select("a", "b", "hub")
-        seen = now if seen is None else seen.unionAll(now)
-        star = verified.where("hub is not null").withColumn("open", F.col("similarity") < similarity)
-        again = star.join(scratch(star.where("open").select("hub").distinct(), "hubs"), "hub", "left_semi").select(
-            F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("doc"), "hub", "open", F.explode("extra").alias("difference")
-        )
-        again = scratch(again.select(F.xxhash64("hub", "difference").alias("key"), "doc", "open"), "dealt", "zstd")
-        if again.isEmpty():
-            break
+        gone = large if gone is None else gone.unionAll(large)
+        again = scratch(told_apart(large, texts, similarity), "dealt", "zstd")
         dealt = again if dealt is None else dealt.unionAll(again)
         # a bucket that gets new members has its old ones too
-        members = scratch(sized(dealt.join(again.select("key").distinct(), "key", "left_semi").distinct()), "members", "zstd")
+        both = with_labels(dealt.join(again.select("key").distinct(), "key", "left_semi").distinct(), labels)
+        mixed = both.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n")
+        members = scratch(both.select("key", "doc").join(mixed, "key"), "members", "zstd")
+        few = FEW_DEALT
         if members.isEmpty():
             break
-        members = members.join(shared, "doc")
-    if found is None:
+    if not found:
         return docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    return found.distinct()
+    return reduce(DataFrame.unionAll, found)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
