@@ -9,11 +9,11 @@
    that an item with the least containment must share, so no such item slips between.
 3. Documents with a seed are read again with every window. An item of whose windows a document holds too few
    anywhere, each counted once, goes.
-4. Alignment. The shift that most windows agree in (of a window's places in a document the first and the last have a
-   vote) is the item's place. Windows within ``NEAR`` of it, of each of the item's the nearest, are its containment.
-5. Slots. On these windows each placeholder's value in the item must stand for one value in the document throughout,
+4. Alignment. Each shift between a window's place in the document and in the item has a vote. Of shifts within ``NEAR`` of each
+   other the one with most votes is a copy's place, if they have enough. Windows within ``NEAR`` of it, of each of the item's the nearest, are its containment.
+5. Slots. On a copy's windows each placeholder's value in the item must stand for one value in the document throughout,
    and each value there for one in the item. A question with other numbers and names is caught;
-   a text that only looks alike is not.
+   a text that only looks alike is not. One steady copy is enough, whatever stands beside it.
 6. Items of fewer than ``WIDTH`` tokens are sought whole and word for word, case apart.
 
 All of it is DataFrame expressions. Windows meet the benchmark's by a broadcast whose size is
@@ -26,7 +26,7 @@ empty table gives an empty result; a text of any length is read whole; columns o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlyer.llm.common import only, scratch, text_of
@@ -149,23 +149,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_co
     pairs = scratch(pairs.select("doc", "item", "view", "n"), "pairs")
 
     own = scratch(windows(only(again, scratch(pairs.select("doc").distinct(), "held"), "doc"), "doc").join(sized(items.select("h", "view").distinct()), ["h", "view"], "left_semi"), "own", "zstd")
-    ends = own.groupBy("doc", "view", "h").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    item_ends = items.groupBy("item", "view", "h").agg(F.min("item_pos").alias("item_first"), F.max("item_pos").alias("item_last"))
-    votes = ends.join(sized(item_ends), ["view", "h"]).join(pairs, ["doc", "item", "view"], "left_semi")
-    shifts = F.array_distinct(F.array(*(F.col(a) - F.col(b) for a in ("first", "last") for b in ("item_first", "item_last"))))
-    votes = votes.select("doc", "item", "view", F.explode(shifts).alias("shift")).groupBy("doc", "item", "view", "shift").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("doc", "item", "view").agg(F.max(F.struct("votes", -F.col("shift"))).alias("best"))
-    placed = scratch(pairs.join(best, ["doc", "item", "view"]).select("doc", "item", "view", "n", (-F.col("best")["col2"]).alias("shift")), "placed")
+    votes = own.select("doc", "view", "h", "pos").join(sized(items.select("item", "view", "h", "item_pos")), ["view", "h"]).join(pairs, ["doc", "item", "view"])
+    votes = votes.groupBy("doc", "item", "view", "n", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count(F.lit(1)).alias("votes"))
+    # places of copies: shifts with the most votes around, which are enough; a document has no more than copies fit in
+    around = Window.partitionBy("doc", "item", "view").orderBy("shift").rangeBetween(-NEAR, NEAR)
+    own_vote = F.struct("votes", (-F.col("shift")).alias("early"))
+    placed = votes.withColumn("sum", F.sum("votes").over(around)).withColumn("most", F.max(own_vote).over(around))
+    placed = scratch(placed.where((F.col("sum") >= CONTAINMENT * F.col("n")) & (F.col("most") == own_vote)).select("doc", "item", "view", "n", "shift"), "placed")
 
     off = F.abs(F.col("pos") - F.col("item_pos") - F.col("shift"))
+    copy = ["doc", "item", "view", "shift"]
     hits = own.join(placed, ["doc", "view"]).join(sized(items), ["item", "view", "h"]).where(off <= NEAR)
-    hits = hits.groupBy("doc", "item", "view", "n", "item_pos").agg(F.min_by(F.struct("item_values", "values"), F.struct(off, "pos")).alias("hit"))
-    hits = scratch(hits.select("doc", "item", "view", "n", F.col("hit")["item_values"].alias("item_values"), F.col("hit")["values"].alias("values")), "hits")
-    good = hits.groupBy("doc", "item", "view", "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= CONTAINMENT * F.col("n"))
-    slots = hits.where("item_values is not null").select("doc", "item", "view", F.explode(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b"))).alias("s"))
-    slots = slots.select("doc", "item", "view", F.col("s")["a"].alias("a"), F.col("s")["b"].alias("b")).where("a is not null").distinct()
-    unsteady = [slots.groupBy("doc", "item", "view", c).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc", "item", "view") for c in ("a", "b")]
-    good = good.join(unsteady[0].unionAll(unsteady[1]).distinct(), ["doc", "item", "view"], "left_anti")
+    hits = hits.groupBy(*copy, "n", "item_pos").agg(F.min_by(F.struct("item_values", "values"), F.struct(off, "pos")).alias("hit"))
+    hits = scratch(hits.select(*copy, "n", F.col("hit")["item_values"].alias("item_values"), F.col("hit")["values"].alias("values")), "hits")
+    good = hits.groupBy(*copy, "n").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= CONTAINMENT * F.col("n"))
+    slots = hits.where("item_values is not null").select(*copy, F.explode(F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b"))).alias("s"))
+    slots = slots.select(*copy, F.col("s")["a"].alias("a"), F.col("s")["b"].alias("b")).where("a is not null").distinct()
+    unsteady = [slots.groupBy(*copy, c).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*copy) for c in ("a", "b")]
+    good = good.join(unsteady[0].unionAll(unsteady[1]).distinct(), copy, "left_anti")
     good = good.groupBy("doc", "item").agg(F.max(F.col("held") / F.col("n")).alias("containment"))
     short = whole_items(whole, tokens)
     return good if short is None else good.unionAll(short)

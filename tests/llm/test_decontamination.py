@@ -133,3 +133,17 @@ def test_exact_items_of_the_tables(spark):
     want = {(r.doc_id, i) for r in docs.collect() for i, q in items if q.lower() in (r.text or "").lower()}
     got = {(r.doc, r.item) for r in D.leaks(docs, bench).collect()}
     assert want <= got and len(got) <= len(want) + 3
+
+
+def test_a_copy_beside_bad_variants(make, benchmark):
+    """One steady copy is enough, wherever it stands among texts that only look alike."""
+    import random
+
+    rng = random.Random(4)
+    good = lambda: f"a train runs {rng.randrange(100, 900)} km in {rng.randrange(2, 9)} hours, so how far does it run in {rng.randrange(11, 40)} hours at that speed"
+    bad = lambda: "a train runs 450 miles in 6 days, so how far does it run in 9 weeks at that speed"
+    filler = lambda: " ".join(rng.choice(["so", "then", "well", "green", "hill"]) for _ in range(rng.randrange(0, 25)))
+    plans = [["bad", "good", "bad"], ["bad", "bad"], ["good", "bad"], ["bad"] * 5 + ["good"] + ["bad"] * 5, ["bad"] * 8] + [[rng.choice(["good", "bad", "bad"]) for _ in range(rng.randrange(1, 5))] for _ in range(25)]
+    texts = [f" {filler()} . ".join((good if p == "good" else bad)() for p in plan) for plan in plans]
+    got = found(make(texts), benchmark)
+    assert [got[k][1] for k in range(len(plans))] == [[2] if "good" in plan else [] for plan in plans]
