@@ -7,10 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from outlyer.functions.ranking import arithmetic_order
-from outlyer.operators import active, compare, describe, forest, members, relevance
+from outlyer.operators import active, compare, describe, loda, members, relevance
 from outlyer.operators.metrics import quantile_values
+from outlyer.plans.models import _projected
 from outlyer.plans.registry import query
-from outlyer.plans.views import FEATURES, INST, instances, small_forest
+from outlyer.plans.views import FEATURES, INST, instances
 
 #: A network of two hidden nodes for two members.
 _NET = relevance.Network(np.array([[0.5, -0.3], [-0.4, 0.6], [0.2, 0.1]]), np.array([0.05, -0.1]), np.array([[0.7, -0.2], [0.3, 0.4]]), np.array([0.1, -0.05]))
@@ -146,10 +147,11 @@ def ds4(spark, sf):
 
 @query("ds3_bayesian_ruleset")
 def ds3(spark, sf):
-    """Rules of high posterior for the rows that a forest scores highest, from mined candidates."""
-    scored = forest.isolation_score(instances(spark, sf), forest.Model.of(small_forest(spark), FEATURES))
-    q = quantile_values(scored, "score", [0.97])[0]
-    found = describe.bayesian_rules(scored.select((F.col("score") >= q).cast("int").alias("y"), *FEATURES), FEATURES, 0.05, levels=(4, 16))
+    """Rules of high posterior for the tenth of the rows that projections score highest, from mined candidates."""
+    z = _projected(spark, sf)
+    scored = instances(spark, sf).join(loda.score(loda.densities(z, loda.histograms(z, 20))), "id")
+    q = quantile_values(scored, "score", [0.9])[0]
+    found = describe.bayesian_rules(scored.select((F.col("score") >= q).cast("int").alias("y"), *FEATURES), FEATURES, 0.1, levels=(2, 4, 8, 16))
     return spark.createDataFrame(list(enumerate(found)), "rule_id int, rule string")
 
 
