@@ -10,15 +10,15 @@
 2. Classes of equal word sequences are told by a 128-bit hash; only the smallest id of each goes on.
 3. Bands of ``ROWS`` registers are hashed into buckets. Every bucket compares its hub, the member that shares most
    buckets, with all others, and the components of the links so far are taken: from here on only members of
-   different components need be compared, as a link inside one changes no group. Buckets of up to ``FEW`` members compare
-   these outright. In a larger one, let a and b be linked, and not both be of the hub's component, so not both be linked to the
+   different components need be compared, as a link inside one changes no group. Buckets with up to ``OUTRIGHT`` such pairs a member compare
+   them outright, which is linear in the size of a bucket. In another one, let a and b be linked, and not both be of the hub's component, so not both be linked to the
    hub. Then what tells a from the hub and what tells b from it (shingles that one has more
    often, or less often) must overlap: were they disjoint, a and b would differ by their sum, which
-   is more than a link allows. At least 4/9 of what tells b from the hub is shared. So the members of large buckets that
+   is more than a link allows. At least 4/9 of what tells b from the hub is shared. So the members of such buckets that
    hold a member of another component are dealt again by (hub, difference), by the first of their differences in the order of a hash. Linked documents
    a and b differ in (1 / ``SIMILARITY`` - 1) |a| shingles at most, and so do their differences; all of a's that come before the first one
    they share are among these. So that many and one more of a's suffice, and of a linked member the first 5/9 and one more. Dealt buckets with
-   members of several components are treated the same way, up to ``FEW_DEALT`` members outright, until no large one is left. No link
+   members of several components are treated the same way, until none is left. No link
    that would join two groups is lost inside a bucket, whatever its size.
 4. Pairs are verified on the texts: multiset overlap of shingles, ``SIMILARITY`` or more.
 5. Connected components of the verified links are the groups; the smallest id stays.
@@ -49,7 +49,8 @@ from outlyer.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 28
 REGISTERS = ROWS * BANDS
-FEW, FEW_DEALT = 6, 64
+#: A bucket compares members of different components outright while it has so many such pairs a member.
+OUTRIGHT = 64
 #: Up to so many pairs (three integers each) are broadcast.
 BROADCAST_PAIRS = 300_000
 #: Shingles that a task works on at a time.
@@ -236,6 +237,14 @@ def sized(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
 
 
+def parted(members: DataFrame) -> DataFrame:
+    """``members`` (``key, label`` and others) of buckets with several components: ``pairs`` of different ones, and the ``most`` to compare outright."""
+    labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = labels.groupBy("key").agg(F.sum("c").alias("__n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    sizes = sizes.select("key", ((F.col("__n") * F.col("__n") - F.col("same")) / 2).alias("pairs"), (OUTRIGHT * F.col("__n")).alias("most")).where("pairs > 0")
+    return members.join(sizes, "key")
+
+
 def with_labels(members: DataFrame, labels: DataFrame | None, doc: str = "doc", out: str = "label") -> DataFrame:
     """``members`` with the component of ``doc``, itself where it has no link."""
     if labels is None:
@@ -244,9 +253,9 @@ def with_labels(members: DataFrame, labels: DataFrame | None, doc: str = "doc",
 
 
 def starred(members: DataFrame, shared: DataFrame) -> DataFrame:
-    """``key, doc, n, hub`` of sized members; the hub is the one that shares most."""
+    """``key, doc, hub`` of members; the hub is the one that shares most."""
     hubs = members.join(shared, "doc").groupBy("key").agg(F.max(F.struct("shared", "doc")).alias("hub")).select("key", F.col("hub.doc").alias("hub"))
-    return members.select("key", "doc", "n").join(hubs, "key")
+    return members.select("key", "doc").join(hubs, "key")
 
 
 def inside(members: DataFrame) -> DataFrame:
@@ -284,13 +293,14 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         both = with_labels(with_labels(stars, labels), labels, "hub", "hub_label")
         return both.where("label <> hub_label").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
 
-    few, dealt, gone = FEW, None, None
+    dealt, gone = None, None
     while True:
         stars = scratch(starred(members, shared), "stars")
         compare(apart(stars))
-        compare(inside(with_labels(stars.where(F.col("n") <= few), labels)))
-        # hubs of large buckets that have a member of another component, with all their members
-        large = stars.where((F.col("n") > few) & (F.col("doc") != F.col("hub"))).select("hub", "doc").distinct()
+        mixed = scratch(parted(with_labels(stars, labels)), "mixed")
+        compare(inside(mixed.where("pairs <= most")))
+        # hubs of larger buckets that have a member of another component, with all their members
+        large = mixed.where((F.col("pairs") > F.col("most")) & (F.col("doc") != F.col("hub"))).select("hub", "doc").distinct()
         open_ = scratch(apart(large).select(F.col("a").alias("hub")).distinct(), "open")
         large = large.join(open_, "hub", "left_semi")
         if gone is not None:
@@ -302,10 +312,8 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         again = scratch(told_apart(large, texts, similarity), "dealt", "zstd")
         dealt = again if dealt is None else dealt.unionAll(again)
         # a bucket that gets new members has its old ones too
-        both = with_labels(dealt.join(again.select("key").distinct(), "key", "left_semi").distinct(), labels)
-        mixed = both.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "n")
-        members = scratch(both.select("key", "doc").join(mixed, "key"), "members", "zstd")
-        few = FEW_DEALT
+        touched = dealt.join(again.select("key").distinct(), "key", "left_semi").distinct()
+        members = scratch(parted(with_labels(touched, labels)).select("key", "doc"), "members", "zstd")
         if members.isEmpty():
             break
     if not found:

@@ -54,7 +54,9 @@ def test_against_brute_force(make):
     assert got == brute(dict(enumerate(texts)))
 
 
-def test_hot_group_of_near_copies(make):
+@pytest.mark.parametrize("outright", [64, 0])
+def test_hot_group_of_near_copies(make, monkeypatch, outright):
+    monkeypatch.setattr(N, "OUTRIGHT", outright)
     rng = random.Random(9)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
     texts = [" ".join(base)] + [edited(rng, base, rng.choice([1, 1, 2, 4, 6])) for _ in range(150)]
@@ -64,8 +66,10 @@ def test_hot_group_of_near_copies(make):
     assert got == brute(dict(enumerate(texts)))
 
 
-def test_truncated_copies_of_a_long_hub(make):
-    """All members lie inside one long text, so that none has a word that it lacks."""
+@pytest.mark.parametrize("outright", [64, 0])
+def test_truncated_copies_of_a_long_hub(make, monkeypatch, outright):
+    """All members lie inside one long text, so that none has a word that it lacks; nothing outright: all are dealt."""
+    monkeypatch.setattr(N, "OUTRIGHT", outright)
     rng = random.Random(10)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
     texts = [" ".join(base[: 150 - rng.randrange(0, 45)]) for _ in range(60)] + [" ".join(base + base[:k]) for k in range(0, 40, 2)]
