@@ -93,5 +93,5 @@ def calibrated(docs: DataFrame, dims: dict[str, Column], powers: dict[str, float
     dealt = leveled.join(fitted, [f"__{d}" for d in dims])
     return dealt.select(
         *(F.col(f"`{c}`") for c in keep), *(F.col(f"__{d}").alias(d) for d in dims), F.col("__tokens").alias("tokens"),
-        F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), (draw < F.round("prob", 6)).alias("sampled"),
+        F.round("weight", 6).alias("weight"), F.round("prob", 6).alias("prob"), (draw < F.col("prob")).alias("sampled"),
     )

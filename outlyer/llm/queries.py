@@ -53,9 +53,9 @@ cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS mass FROM d
 start AS (SELECT *, CAST(mass AS DOUBLE) AS weight FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic)),
 {", ".join(steps)},
 ratios AS (SELECT source, lang, topic, weight, CASE WHEN mass > 0 THEN weight / mass ELSE 0 END AS ratio FROM {last}),
-probs AS (SELECT source, lang, topic, round(weight, 6) AS weight, round(CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 1 END, 6) AS prob FROM ratios)
-SELECT doc_id, source, lang, topic, tokens, weight, prob,
-  CAST('0x' || substr(md5(doc_id || '-mix'), 1, 8) AS BIGINT) / 4294967296.0 < prob AS sampled
+probs AS (SELECT source, lang, topic, round(weight, 6) AS weight, CASE WHEN max(ratio) OVER () > 0 THEN ratio / max(ratio) OVER () ELSE 1 END AS p FROM ratios)
+SELECT doc_id, source, lang, topic, tokens, weight, round(p, 6) AS prob,
+  CAST('0x' || substr(md5(doc_id || '-mix'), 1, 8) AS BIGINT) / 4294967296::DOUBLE < p AS sampled
 FROM docs JOIN probs USING (source, lang, topic)"""
 
 

@@ -51,3 +51,21 @@ def test_empty_table(spark, stages):
     for name, f in P.STAGES:
         docs = scratch(f(spark, docs, SF), name)
     assert docs.count() == 0
+
+
+def test_own_columns_come_through_untouched(spark):
+    """Columns named as operators name theirs, null ids, ties, repeated rows and odd texts."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["score", "predicted", "held_out", "tokens", "prob", "weight", "sampled", "mix_source", "topic", "class_id", "kept"]
+    own = docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names))
+    odd = docs.where("doc_id < 3").select(F.lit(None).cast("long").alias("doc_id"), *docs.columns[1:], *(F.lit(f"odd {n}").alias(n) for n in names))
+    rows = scratch(own.unionByName(odd).unionByName(own.where("doc_id = 5")), "own")
+    for name, f in P.STAGES[:-1]:
+        after = scratch(f(spark, rows, SF), name)
+        assert after.columns == rows.columns
+        for r in after.select("doc_id", *names).collect():
+            assert all(r[n] == (f"odd {n}" if r.doc_id is None else f"{n}{r.doc_id}") for n in names)
+        rows = after
+    assert 0 < rows.count() < own.count()
