@@ -8,6 +8,8 @@ id pass the stages that decide by id. An empty table passes all of them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,17 @@ from outlyer.llm.common import BROADCAST_IDS, scratch
 from outlyer.llm.queries import MIX_POWERS, NEW_SHARDS, OLD_SHARDS, mix_dims, table
 
 
+def _aside(docs: DataFrame, used: set[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns outside ``used`` under names that no operator gives, and what gives them back."""
+    names = {c: c if c in used else f"__own_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), lambda out: out.select(*(F.col(f"`{n}`").alias(c) for c, n in names.items()))
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(docs.columns)
+    rows, restored = _aside(docs, {"doc_id", "text"})
+    return restored(quality.score(rows, model).where("predicted = 1"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +46,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose token shares meet the targets."""
     dims = {f"mix_{d}": column for d, column in mix_dims().items()}
-    mixed = mixing.calibrated(docs, dims, {f"mix_{d}": p for d, p in MIX_POWERS.items()})
-    return mixed.where("sampled").select(docs.columns)
+    rows, restored = _aside(docs, {"doc_id", "text", "source", "lang"})
+    return restored(mixing.calibrated(rows, dims, {f"mix_{d}": p for d, p in MIX_POWERS.items()}).where("sampled"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
