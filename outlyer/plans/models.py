@@ -43,6 +43,16 @@ def weights(spark):
 _MEMBERS = f"{MODEL}, member AS (SELECT id, y, region AS member, 1 / CAST(path_length AS DOUBLE) / 3 AS value, CAST({_WEIGHT} AS DOUBLE) AS w FROM routed)"
 
 
+#: How many rows lie in each leaf.
+_HELD = f"{MODEL}, held AS (SELECT b.region, count(r.id) AS rows FROM box b LEFT JOIN routed r ON r.region = b.region GROUP BY b.region)"
+
+
+def held(spark, sf):
+    """The leaves with ``rows``, how many lie in each."""
+    counts = routed(spark, sf).groupBy("tree", "node").agg(F.count(F.lit(1)).alias("rows"))
+    return regions(spark).join(counts, ["tree", "node"], "left").na.fill(0, ["rows"])
+
+
 @query("jn4_routed", f"WITH {MODEL} SELECT id, tree, node FROM routed")
 def jn4(spark, sf):
     return routed(spark, sf).select("id", "tree", "node")
@@ -61,9 +71,9 @@ def jn3(spark, sf):
     return joins.in_regions(instances(spark, sf), regions(spark), FEATURES)
 
 
-@query("dt7_regions", f"WITH {BOXES} SELECT tree, node, region, path_length, CAST(n AS BIGINT) AS n, coalesce(lo_x0, -1) AS lo_x0, coalesce(hi_x0, -1) AS hi_x0, coalesce(lo_x1, -1) AS lo_x1, coalesce(hi_x1, -1) AS hi_x1 FROM box")
+@query("dt7_regions", f"WITH {_HELD} SELECT tree, node, b.region, path_length, CAST(n AS BIGINT) AS n, rows, coalesce(lo_x0, -1) AS lo_x0, coalesce(hi_x0, -1) AS hi_x0, coalesce(lo_x1, -1) AS lo_x1, coalesce(hi_x1, -1) AS hi_x1 FROM box b JOIN held h ON h.region = b.region")
 def dt7(spark, sf):
-    return regions(spark).select("tree", "node", "region", "path_length", "n", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("lo_x0", "hi_x0", "lo_x1", "hi_x1")))
+    return held(spark, sf).select("tree", "node", "region", "path_length", "n", "rows", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in ("lo_x0", "hi_x0", "lo_x1", "hi_x1")))
 
 
 _KINDS = {
@@ -72,9 +82,10 @@ _KINDS = {
 }
 
 
-@query("dt8_region_scores", f"WITH {BOXES} SELECT region, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in _KINDS.items()) + " FROM (SELECT *, CAST(path_length AS DOUBLE) AS l FROM box)")
+@query("dt8_region_scores", f"WITH {_HELD} SELECT region, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in _KINDS.items()) + " FROM (SELECT b.region, h.rows AS n, log_vol, CAST(path_length AS DOUBLE) AS l FROM box b JOIN held h ON h.region = b.region)")
 def dt8(spark, sf):
-    return regions(spark).select("region", *(F.round(forest.region_score(k, SAMPLES), 6).alias(k) for k in _KINDS))
+    """Scores of the leaves from the rows that lie in them."""
+    return held(spark, sf).withColumn("n", F.col("rows")).select("region", *(F.round(forest.region_score(k, SAMPLES), 6).alias(k) for k in _KINDS))
 
 
 @query("dt9_region_features", f"WITH {_MEMBERS} SELECT id, member, round(value, 6) AS value FROM member")
@@ -107,13 +118,16 @@ def dt1b(spark, sf):
 
 @query("dt4_multiview_forest")
 def dt4(spark, sf):
-    grown = forest.fit(instances(spark, sf), FEATURES, trees=12, views=[1, 2])
-    return grown.where("feature >= 0").groupBy("tree").agg(F.min("feature").alias("low"), F.max("feature").alias("high"), F.count(F.lit(1)).alias("nodes"))
+    rows = instances(spark, sf)
+    model = forest.Model.of(forest.fit(rows, FEATURES, trees=12, views=[1, 2]), FEATURES)
+    return forest.isolation_score(rows, model).select("id", "score")
 
 
 @query("dt5_half_space_forest")
 def dt5(spark, sf):
-    return forest.fit(instances(spark, sf), FEATURES, "half_space", trees=10, depth=6).groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"))
+    rows = instances(spark, sf)
+    model = forest.Model.of(forest.fit(rows, FEATURES, "half_space", trees=10, depth=6), FEATURES)
+    return forest.half_space_score(rows, model).select("id", "score")
 
 
 @query("dt6_rs_forest_scores")
@@ -177,8 +191,10 @@ def sm4(spark, sf):
 
 @query("sm5_tree_replacement")
 def sm5(spark, sf):
-    grown = forest.fit(instances(spark, sf), FEATURES, trees=2, first=3)
-    return drift.replace_trees(small_forest(spark), spark.createDataFrame([(0,)], "tree int"), grown).groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"))
+    """Scores by the small forest after its first tree has given way to two grown ones."""
+    rows = instances(spark, sf)
+    nodes = drift.replace_trees(small_forest(spark), spark.createDataFrame([(0,)], "tree int"), forest.fit(rows, FEATURES, trees=2, first=3))
+    return forest.isolation_score(rows, forest.Model.of(nodes, FEATURES)).select("id", "score")
 
 
 @query("ag15_member_variance", f"WITH {_MEMBERS} SELECT id, round(sum(value * w), 6) AS score, round(var_pop(value * w), 8) AS variance FROM member GROUP BY id")
@@ -187,11 +203,12 @@ def ag15(spark, sf):
     return out.select("id", F.round("score", 6).alias("score"), F.round("variance", 8).alias("variance"))
 
 
-@query("wn5_top_regions", f"WITH {BOXES} SELECT region, round({_WEIGHT} / path_length, 6) AS worth FROM box ORDER BY {_WEIGHT} / path_length DESC, region LIMIT 5")
+@query("wn5_top_regions", f"WITH {MODEL} SELECT region, round(sum({_WEIGHT} / path_length), 3) AS worth FROM routed GROUP BY region ORDER BY round(sum({_WEIGHT} / path_length), 3) DESC, region LIMIT 5")
 def wn5(spark, sf):
-    r = regions(spark).join(weights(spark).withColumnRenamed("member", "region"), "region")
-    worth = r.select("region", (F.col("w") * forest.region_score("inverse_length", SAMPLES)).alias("worth"))
-    return worth.orderBy(F.col("worth").desc(), "region").limit(5).select("region", F.round("worth", 6).alias("worth"))
+    """The leaves whose rows are worth most."""
+    r = held(spark, sf).join(F.broadcast(weights(spark).withColumnRenamed("member", "region")), "region")
+    worth = r.select("region", F.round(F.col("rows") * F.col("w") / F.col("path_length"), 3).alias("worth"))
+    return worth.orderBy(F.col("worth").desc(), "region").limit(5)
 
 
 @query("wn6_regions_per_row", f"WITH {MODEL}, k AS (SELECT region, row_number() OVER (PARTITION BY id ORDER BY {_WEIGHT} / path_length DESC, region) AS k FROM routed) SELECT DISTINCT region FROM k WHERE k <= 1")
@@ -214,9 +231,9 @@ def ag21(spark, sf):
 _BOUNDS = " + ".join(f"CAST({e}_x{k} IS NOT NULL AS INTEGER)" for k in range(3) for e in ("lo", "hi"))
 
 
-@query("ag22_rule_complexity", f"WITH {BOXES} SELECT region, pow(2, greatest(0, least({_BOUNDS} - 1, 9))) AS complexity FROM box")
+@query("ag22_rule_complexity", f"WITH {_HELD} SELECT b.region, pow(2, greatest(0, least({_BOUNDS} - 1, 9))) AS complexity, rows FROM box b JOIN held h ON h.region = b.region")
 def ag22(spark, sf):
-    return describe.complexity(regions(spark), FEATURES)
+    return describe.complexity(regions(spark), FEATURES).join(held(spark, sf).select("region", "rows"), "region")
 
 
 #: A number with a bit for each leaf, and the sets of leaves in which rows of some condition lie.
@@ -481,7 +498,7 @@ def sc10(spark, sf):
     return instances(spark, sf).select("id", place.alias("bin"))
 
 
-@query("pr14_region_rules", f"WITH {BOXES} SELECT region, count(*) AS parts FROM (SELECT region, unnest([lo_x0, lo_x1, lo_x2, hi_x0, hi_x1, hi_x2]) AS b FROM box) WHERE b IS NOT NULL GROUP BY region")
+@query("pr14_region_rules", f"WITH {_HELD}, p AS (SELECT region, count(*) AS parts FROM (SELECT region, unnest([lo_x0, lo_x1, lo_x2, hi_x0, hi_x1, hi_x2]) AS b FROM box) WHERE b IS NOT NULL GROUP BY region) SELECT p.region, parts, rows FROM p JOIN held h ON h.region = p.region")
 def pr14(spark, sf):
     from outlyer.functions import rules
 
@@ -490,4 +507,4 @@ def pr14(spark, sf):
     for r in regions(spark).collect():  # a model's regions
         box = {f: (-inf if r[f"lo_{f}"] is None else r[f"lo_{f}"], inf if r[f"hi_{f}"] is None else r[f"hi_{f}"]) for f in FEATURES}
         out.append((r.region, len(rules.ConjunctiveRule.parse(rules.rule_of_ranges(box)))))
-    return spark.createDataFrame(out, "region string, parts long")
+    return spark.createDataFrame(out, "region string, parts long").join(held(spark, sf).select("region", "rows"), "region")
