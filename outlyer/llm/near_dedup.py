@@ -11,7 +11,7 @@
 3. Bands of ``ROWS`` registers are hashed into buckets. Every bucket compares its hub, the member that shares most
    buckets, with all others, and the components of the links so far are taken: from here on only members of
    different components need be compared, as a link inside one changes no group. Buckets with up to ``OUTRIGHT`` such pairs a member compare
-   them outright, which is linear in the size of a bucket. In another one, let a and b be linked, and not both be of the hub's component, so not both be linked to the
+   them outright, which is linear in the size of a bucket; of these pairs only those are read whose similarities with the hub let them be linked. In another one, let a and b be linked, and not both be of the hub's component, so not both be linked to the
    hub. Then what tells a from the hub and what tells b from it (shingles that one has more
    often, or less often) must overlap: were they disjoint, a and b would differ by their sum, which
    is more than a link allows. At least 4/9 of what tells b from the hub is shared. So the members of such buckets that
@@ -49,8 +49,8 @@ from outlyer.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 28
 REGISTERS = ROWS * BANDS
-#: A bucket compares members of different components outright while it has so many such pairs a member.
-OUTRIGHT = 64
+#: A bucket compares members of different components outright while it has so many such pairs a member; most of them by numbers only.
+OUTRIGHT = 512
 #: Up to so many pairs (three integers each) are broadcast.
 BROADCAST_PAIRS = 300_000
 #: Shingles that a task works on at a time.
@@ -258,10 +258,15 @@ def starred(members: DataFrame, shared: DataFrame) -> DataFrame:
     return members.select("key", "doc").join(hubs, "key")
 
 
-def inside(members: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of members (``key, doc, label``) of one bucket and different components."""
-    x, y = (members.select("key", F.col("doc").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-    return x.join(y, "key").where("a < b and la <> lb").select("a", "b")
+def inside(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of members (``key, doc, label, s``) of one bucket and different components that may be linked.
+
+    1 less weighted Jaccard similarity is a metric: two whose similarities ``s`` with the hub differ by
+    more than a link's distance are no link. Without ``s`` nothing is left out.
+    """
+    x, y = (members.select("key", F.col("doc").alias(c), F.col("label").alias(f"l{c}"), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+    apart = F.coalesce(F.abs(F.col("sa") - F.col("sb")) > 1 - similarity + 1e-9, F.lit(False))
+    return x.join(y, "key").where(F.expr("a < b and la <> lb") & ~apart).select("a", "b")
 
 
 def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -293,12 +298,20 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         both = with_labels(with_labels(stars, labels), labels, "hub", "hub_label")
         return both.where("label <> hub_label").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
 
+    def near(stars: DataFrame) -> DataFrame:
+        """``stars`` with ``s``, the similarity with the hub where it is known."""
+        known = reduce(DataFrame.unionAll, seen)
+        both = known.toDF("hub", "doc", "s").unionAll(known.select("b", "a", "similarity").toDF("hub", "doc", "s"))
+        return stars.join(both, ["hub", "doc"], "left").withColumn("s", F.when(F.col("doc") == F.col("hub"), 1.0).otherwise(F.col("s")))
+
     dealt, gone = None, None
     while True:
         stars = scratch(starred(members, shared), "stars")
         compare(apart(stars))
-        mixed = scratch(parted(with_labels(stars, labels)), "mixed")
-        compare(inside(mixed.where("pairs <= most")))
+        if not seen:
+            break
+        mixed = scratch(parted(near(with_labels(stars, labels))), "mixed")
+        compare(inside(mixed.where("pairs <= most"), similarity))
         # hubs of larger buckets that have a member of another component, with all their members
         large = mixed.where((F.col("pairs") > F.col("most")) & (F.col("doc") != F.col("hub"))).select("hub", "doc").distinct()
         open_ = scratch(apart(large).select(F.col("a").alias("hub")).distinct(), "open")

@@ -64,7 +64,7 @@ def test_hot_group_of_near_copies(make):
     assert got == brute(dict(enumerate(texts)))
 
 
-@pytest.mark.parametrize("outright", [64, 0])
+@pytest.mark.parametrize("outright", [N.OUTRIGHT, 0])
 def test_truncated_copies_of_a_long_hub(make, monkeypatch, outright):
     """All members lie inside one long text, so that none has a word that it lacks; nothing outright: all are dealt."""
     monkeypatch.setattr(N, "OUTRIGHT", outright)
@@ -144,3 +144,12 @@ def test_words_of_ascii_and_other_texts():
         text = "".join(chr(rng.randrange(128 if k % 2 or j % 3 else 0x3000)) for j in range(rng.randrange(40)))
         assert words_of(text) == WORD.findall(text.lower())
     assert words_of(None) == words_of("") == []
+
+
+def test_similarity_with_a_hub_bounds_similarity():
+    """What lets pairs be left out unread: distances of weighted bags keep the triangle inequality."""
+    rng = np.random.default_rng(12)
+    for _ in range(2000):
+        bags_ = [(np.flatnonzero(c := rng.poisson(rng.uniform(0.2, 2), 30) * (rng.random(30) < rng.uniform(0.3, 1))).astype(np.uint64), c[c > 0]) for _ in range(3)]
+        ab, ac, bc = (1 - N.overlap(bags_[i], bags_[j]) for i, j in ((0, 1), (0, 2), (1, 2)))
+        assert abs(ac - bc) <= ab + 1e-9
