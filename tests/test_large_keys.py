@@ -20,6 +20,11 @@ def test_sampled_edges_draw_without_overflow(wide):
     assert {(r.src, r.dst) for r in graph.sample_edges(wide, 0.5).collect()} == want
 
 
+def test_members_draw_without_overflow(wide):
+    want = {(m, a, b) for m in range(3) for a, b, _ in wide.collect() if ((min(a, b) * 1000003 + max(a, b)) * 2654435761 + 42 + m * 7919) % P < 0.7 * P}
+    assert {(r.member, r.src, r.dst) for r in graph.member_edges(wide, 3, 0.7).collect()} == want
+
+
 def test_order_of_large_ids(wide):
     rows = wide.select(F.col("src").alias("id")).distinct().withColumn("k", arithmetic_order("id")).collect()
     assert all(r.k == (r.id * 2654435761 + 42) % P for r in rows)
