@@ -11,7 +11,12 @@
 3. Bands of ``ROWS`` registers are hashed into buckets. Every bucket compares its hub, the member that shares most
    buckets, with all others, and the components of the links so far are taken: from here on only members of
    different components need be compared, as a link inside one changes no group. Buckets with up to ``OUTRIGHT`` such pairs a member compare
-   them outright, which is linear in the size of a bucket; of these pairs only those are read whose similarities with the hub let them be linked. In another one, let a and b be linked, and not both be of the hub's component, so not both be linked to the
+   them outright, which is linear in the size of a bucket; of these pairs only those are read whose similarities with the hub let them be linked.
+   Members of more mixed buckets are dealt again by their rarest shingles. Let all their shingles (a repeated one counts as several) stand in one order, rare ones
+   first. A link's sides share ``SIMILARITY`` of either's shingles, so of all that they share the first one stands in both
+   among the first 1 - ``SIMILARITY`` of their own and one more: each is dealt by these only. Those that no other member has deal nobody, so a text that is
+   changed in more places than a link allows meets hardly any other, while the texts near to a common one meet, and are one component. The places of the shared shingle bound what two can share; pairs that can't be linked are not read.
+   In a bucket that is still more mixed, let a and b be linked, and not both be of the hub's component, so not both be linked to the
    hub. Then what tells a from the hub and what tells b from it (shingles that one has more
    often, or less often) must overlap: were they disjoint, a and b would differ by their sum, which
    is more than a link allows. At least 4/9 of what tells b from the hub is shared. So the members of such buckets that
@@ -50,7 +55,9 @@ WORDS, SIMILARITY = 5, 0.8
 ROWS, BANDS = 6, 28
 REGISTERS = ROWS * BANDS
 #: A bucket compares members of different components outright while it has so many such pairs a member; most of them by numbers only.
-OUTRIGHT = 512
+OUTRIGHT = 4
+#: The same in buckets of a shingle, where places leave out nearly all of them unread.
+OUTRIGHT_PLACED = 512
 #: Up to so many pairs (three integers each) are broadcast.
 BROADCAST_PAIRS = 300_000
 #: Shingles that a task works on at a time.
@@ -232,16 +239,43 @@ def told_apart(stars: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     return out.select(F.col("b").alias("doc"), F.col("a").alias("hub"), F.explode("extra").alias("d")).select(F.xxhash64("hub", "d").alias("key"), "doc")
 
 
+def by_rarest(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``key, doc, size, at``: the buckets that members (``doc``) are dealt to by the rarest of their shingles among
+    them, and the shingle's place among all ``size`` of its own. Linked ones share such a bucket.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHash()
+        for b in batches:
+            yield pd.DataFrame({"doc": b.doc, "t": [levels(bag(word_hashes(t, hashes))).view(np.int64) for t in b.text]})
+
+    known = scratch(only(texts, members, "doc").mapInPandas(work, "doc long, t array<long>"), "shingles", "zstd")
+    each = known.select("doc", F.explode("t").alias("t"))
+    common = each.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    held = each.join(common, "t").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))  # as many as the text has shingles
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
+    held = held.join(known.select("doc", F.size("t").alias("size")), "doc").withColumn("alone", F.col("size") - F.size("o"))
+    some = F.slice("o", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")))
+    return held.select("doc", "size", "alone", F.posexplode(some).alias("k", "s")).select(F.xxhash64("s.t").alias("key"), "doc", "size", (F.col("alone") + F.col("k")).alias("at"))
+
+
+def levels(own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """A hash for each shingle of a bag, and for its first, second, ... occurrence."""
+    h, n = own
+    level = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mix(np.repeat(h, n) + level.astype(np.uint64) * _C)
+
+
 def sized(members: DataFrame) -> DataFrame:
     """``key, doc, n`` of members in buckets of n, two or more."""
     return members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key")
 
 
-def parted(members: DataFrame) -> DataFrame:
+def parted(members: DataFrame, outright: int = OUTRIGHT) -> DataFrame:
     """``members`` (``key, label`` and others) of buckets with several components: ``pairs`` of different ones, and the ``most`` to compare outright."""
     labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     sizes = labels.groupBy("key").agg(F.sum("c").alias("__n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    sizes = sizes.select("key", ((F.col("__n") * F.col("__n") - F.col("same")) / 2).alias("pairs"), (OUTRIGHT * F.col("__n")).alias("most")).where("pairs > 0")
+    sizes = sizes.select("key", ((F.col("__n") * F.col("__n") - F.col("same")) / 2).alias("pairs"), (outright * F.col("__n")).alias("most")).where("pairs > 0")
     return members.join(sizes, "key")
 
 
@@ -259,14 +293,18 @@ def starred(members: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def inside(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of members (``key, doc, label, s``) of one bucket and different components that may be linked.
+    """Pairs ``a, b`` of members (``key, doc, label, s, size, at``) of one bucket and different components that may be linked.
 
     1 less weighted Jaccard similarity is a metric: two whose similarities ``s`` with the hub differ by
-    more than a link's distance are no link. Without ``s`` nothing is left out.
+    more than a link's distance are no link. Nor are two that share too little behind the shingle of their
+    bucket (:func:`by_rarest`); if it is not their first, they meet in that one's bucket too. Without these nothing is left out.
     """
-    x, y = (members.select("key", F.col("doc").alias(c), F.col("label").alias(f"l{c}"), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+    x, y = (members.select("key", *(F.col(v).alias(f"{n}{c}") for v, n in (("doc", ""), ("label", "l"), ("s", "s"), ("size", "n"), ("at", "k")))) for c in ("a", "b"))
     apart = F.coalesce(F.abs(F.col("sa") - F.col("sb")) > 1 - similarity + 1e-9, F.lit(False))
-    return x.join(y, "key").where(F.expr("a < b and la <> lb") & ~apart).select("a", "b")
+    # of shingles in one order, the first that both have is at these places
+    shared = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    few = F.coalesce(shared < similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9, F.lit(False))
+    return x.join(y, "key").where(F.expr("a < b and la <> lb") & ~apart & ~few).select("a", "b")
 
 
 def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -304,14 +342,29 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         both = known.toDF("hub", "doc", "s").unionAll(known.select("b", "a", "similarity").toDF("hub", "doc", "s"))
         return stars.join(both, ["hub", "doc"], "left").withColumn("s", F.when(F.col("doc") == F.col("hub"), 1.0).otherwise(F.col("s")))
 
-    dealt, gone = None, None
+    def placed(stars: DataFrame) -> DataFrame:
+        """``stars`` with ``size`` and ``at``, where the bucket is a shingle's."""
+        if places is None:
+            return stars.withColumn("size", F.lit(None).cast("int")).withColumn("at", F.lit(None).cast("int"))
+        return stars.join(places, ["key", "doc"], "left")
+
+    dealt, gone, places = None, None, None
     while True:
         stars = scratch(starred(members, shared), "stars")
         compare(apart(stars))
         if not seen:
             break
-        mixed = scratch(parted(near(with_labels(stars, labels))), "mixed")
+        mixed = scratch(parted(near(with_labels(placed(stars), labels)), OUTRIGHT if places is None or dealt is not None else OUTRIGHT_PLACED), "mixed")
         compare(inside(mixed.where("pairs <= most"), similarity))
+        if places is None:
+            rest = scratch(mixed.where("pairs > most").select("doc").distinct(), "rest")
+            if rest.isEmpty():
+                break
+            places = scratch(by_rarest(rest, texts, similarity), "rarest", "zstd")
+            members = scratch(parted(with_labels(places.select("key", "doc"), labels)).select("key", "doc"), "members", "zstd")
+            if members.isEmpty():
+                break
+            continue
         # hubs of larger buckets that have a member of another component, with all their members
         large = mixed.where((F.col("pairs") > F.col("most")) & (F.col("doc") != F.col("hub"))).select("hub", "doc").distinct()
         open_ = scratch(apart(large).select(F.col("a").alias("hub")).distinct(), "open")
