@@ -50,7 +50,19 @@ def forest_members(rows: DataFrame, model: forest.Model, values: np.ndarray, id_
 
 def loda_members(rows: DataFrame, proj: DataFrame, hist: DataFrame, x: str = "x", id_col: str = "id") -> DataFrame:
     """``id, member, value``: minus the log density on each projection."""
-    return loda.densities(loda.project(rows, proj, x, id_col), hist).select(F.col(id_col).alias("id"), F.col("proj").cast("string").alias("member"), (-F.col("logp")).alias("value"))
+    names = F.array(*(F.lit(str(r.proj)) for r in proj.join(hist, "proj").select("proj").orderBy("proj").collect()))  # a model
+    found = loda.log_densities(rows.select(id_col, x), proj, hist, x)
+    return found.select(F.col(id_col).alias("id"), F.posexplode("logp").alias("k", "logp")).select("id", F.element_at(names, F.col("k") + 1).alias("member"), (-F.col("logp")).alias("value"))
+
+
+def loda_values(rows: DataFrame, features: list[str], seed: int = 42, **settings) -> tuple[DataFrame, int]:
+    """``rows`` with ``values``, an entry a member by name, of newly fitted projections (:func:`ensemble`), and how many members there are."""
+    rows = rows.withColumn("__x", F.array(*(F.col(f).cast("double") for f in features)))
+    proj, hist = loda.fit(rows.select("__x"), len(features), x="__x", seed=seed, **settings)
+    n = hist.count()
+    by_name = sorted(range(n), key=str)
+    values = F.array(*(-F.col("logp")[k] for k in by_name))
+    return loda.log_densities(rows, proj, hist, "__x").withColumn("values", values).drop("__x", "logp"), n
 
 
 def score_members(rows: DataFrame, names: list[str], id_col: str = "id") -> DataFrame:

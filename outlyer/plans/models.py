@@ -336,7 +336,7 @@ def dt12(spark, sf):
 def dt11(spark, sf):
     rows = instances(spark, sf).withColumn("x", F.array(*FEATURES))
     proj, hist = loda.fit(rows, 3)
-    return loda.score(loda.densities(loda.project(rows, proj), hist)).orderBy(F.col("score").desc(), "id").limit(20)
+    return loda.row_scores(rows.select("id", "x"), proj, hist).select("id", "score").orderBy(F.col("score").desc(), "id").limit(20)
 
 
 @query("dt17_kernel_density", f"WITH {INST}, s AS (SELECT x0 AS a, x2 AS b FROM inst ORDER BY (id * 2654435761 + 42) % 2147483647, id LIMIT 2000) SELECT id, round(sum(exp(-((x0 - a) * (x0 - a) + (x2 - b) * (x2 - b)) / (2 * 100))) / (SELECT count(*) FROM s), 6) AS density FROM inst, s GROUP BY id")
