@@ -12,11 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outlyer.functions.tables import written
-from outlyer.functions.vectors import dot
+from outlyer.functions.vectors import dot, matrix
 from outlyer.operators.active import Config
 from outlyer.operators.metrics import quantile_values
 
@@ -71,19 +73,28 @@ def gradient_sum(net: Network, x: np.ndarray, values: np.ndarray, y: np.ndarray,
     return np.concatenate([(x.T @ da).ravel(), da.sum(0), (h.T @ dz).ravel(), dz.sum(0)])
 
 
+def _filled(x: pa.ListArray, d: int) -> np.ndarray:
+    """A batch of arrays of ``d`` numbers as a matrix; rows that lack one are NaN."""
+    out, missing = matrix(x, d)
+    if missing.any():
+        out[missing] = np.nan
+    return out
+
+
 def gradient(rows: DataFrame, net: Network, q: float, shares: tuple[float, float, float], prior: float = 0.5) -> DataFrame:
     """``k, g``: the gradient over rows (``x, values, y``, null without label), a row a parameter; partitions are summed first."""
     shared = rows.sparkSession.sparkContext.broadcast(net)
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(sum(p.size for p in shared.value.parameters()))
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        total = np.zeros(sum(p.size for p in net.parameters()))
         for b in batches:
-            if len(b):
-                y = b.y.fillna(-1).to_numpy(int)
-                total += gradient_sum(shared.value, np.array(b.x.tolist(), float), np.array(b["values"].tolist(), float), y, q, shares, prior)
-        yield pd.DataFrame({"k": np.arange(len(total)), "g": total})
+            if b.num_rows:
+                y = pc.fill_null(b.column(2), -1).to_numpy(zero_copy_only=False)
+                total += gradient_sum(net, _filled(b.column(0), len(net.w1)), _filled(b.column(1), len(net.b2)), y, q, shares, prior)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "g"])
 
-    return rows.select("x", "values", F.col("y").cast("double").alias("y")).mapInPandas(part, "k int, g double").groupBy("k").agg(F.sum("g").alias("g"))
+    return rows.select("x", "values", F.col("y").cast("int").alias("y")).mapInArrow(part, "k int, g double").groupBy("k").agg(F.sum("g").alias("g"))
 
 
 def train_on_rows(rows: DataFrame, net: Network, q: float, cfg: Config, prior: float = 0.5, weight: float = 1.0, epochs: int = 20, rate: float = 0.02) -> Network:
@@ -105,10 +116,11 @@ def scored(rows: DataFrame, net: Network) -> DataFrame:
     """``rows`` (``x, values``) with ``relevance``, an entry a member, and ``score``, relevance times value."""
     shared = rows.sparkSession.sparkContext.broadcast(net)
 
-    @F.pandas_udf("array<double>")
-    def f(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def f(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for p in parts:
-            yield pd.Series(list(shared.value.relevance(np.array(p.tolist(), float))), dtype=object) if len(p) else pd.Series([], dtype=object)
+            found = shared.value.relevance(_filled(p, len(shared.value.w1)))
+            yield pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * found.shape[1], found.ravel())
 
     return rows.withColumn("relevance", f("x")).withColumn("score", dot(F.col("relevance"), F.col("values")))
 

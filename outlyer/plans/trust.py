@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from outlyer.functions.ranking import arithmetic_order
+from outlyer.functions.tables import written
 from outlyer.operators import active, compare, describe, loda, members, relevance
 from outlyer.operators.metrics import quantile_values
 from outlyer.plans.models import _projected
@@ -54,10 +55,9 @@ def gl4_gradient(spark, sf):
 
 def _members(spark, sf):
     """``id, x, values`` of fitted projections, and how many there are."""
-    rows = instances(spark, sf)
-    table, n = members.ensemble("loda", rows, FEATURES)
-    x = rows.select("id", F.array(*(F.col(f) / s for f, s in zip(FEATURES, _SCALES, strict=True))).alias("x"))
-    return relevance.as_arrays(table, x), n
+    rows, n = members.loda_values(instances(spark, sf), FEATURES)
+    x = F.array(*(F.col(f) / s for f, s in zip(FEATURES, _SCALES, strict=True)))
+    return rows.select("id", x.alias("x"), "values"), n
 
 
 @query("gl4_relevance_session")
@@ -75,7 +75,7 @@ def gl1(spark, sf):
     """Relevance of each projection for each row, of a network trained on all rows and a hundred labels."""
     rows, n = _members(spark, sf)
     labels = instances(spark, sf).select("id", "y").orderBy(arithmetic_order("id"), "id").limit(100)
-    rows = rows.join(F.broadcast(labels), "id", "left")
+    rows = written(rows.join(F.broadcast(labels), "id", "left"), "relevance")  # read in each epoch
     net = relevance.train_on_rows(rows, relevance.Network.start(3, n, 8), 3.0, active.Config(), epochs=5)
     return relevance.scored(rows, net).select("id", "relevance")
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from outlyer.operators import loda, members
+from outlyer.operators import loda, members, relevance
 
 
 def _rows(spark, n=3000):
@@ -27,3 +27,12 @@ def test_projections_are_fitted_and_scored_without_a_row_each(spark, monkeypatch
     proj, hist = loda.fit(_rows(spark), 3)
     assert proj.count() == hist.count() >= 5
     assert members.loda_members(_rows(spark), proj, hist).count() == 3000 * proj.count()
+
+
+def test_values_by_name_are_those_of_the_member_table(spark):
+    rows = _rows(spark).selectExpr("id", "x[0] AS a", "x[1] AS b", "x[2] AS c")
+    table, n = members.ensemble("loda", rows, ["a", "b", "c"], least=12)
+    wide, m = members.loda_values(rows, ["a", "b", "c"], least=12)
+    assert n == m >= 12  # "10" stands before "2"
+    want = dict(relevance.as_arrays(table, rows.selectExpr("id", "array(a) AS x")).select("id", "values").collect())
+    assert dict(wide.select("id", "values").collect()) == want
