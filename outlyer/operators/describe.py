@@ -232,11 +232,12 @@ def mined_rules(rows: DataFrame, features: list[str], support: float = 0.1, most
     """Candidate rules on the features: frequent among rows with ``y`` 1, the ``most`` of highest precision (ties: support, name)."""
     marked, ranges = interval_items(rows.select("y", *features), features, levels)
     patterns = mined_patterns(marked, support, longest)
-    # how often each pattern holds at all: each row has as many patterns as its few items give
-    every = marked.withColumn("__id", F.monotonically_increasing_id()).select("__id", F.explode("items").alias("item"))
+    # how often each pattern holds at all: rows with the same items are counted once, and these are as many as the levels give, whatever the table
+    cells = written(marked.groupBy("items").agg(F.count(F.lit(1)).alias("c")), "cells")
+    every = cells.withColumn("__id", F.monotonically_increasing_id()).select("__id", "c", F.explode("items").alias("item"))
     parts = written(patterns.withColumn("pattern", F.concat_ws(" ", "items")), "patterns")
     wanted = parts.select("pattern", F.size("items").alias("size"), F.explode("items").alias("item"))
-    held = every.join(wanted, "item").groupBy("__id", "pattern", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").groupBy("pattern").agg(F.count(F.lit(1)).alias("rows"))
+    held = every.join(wanted, "item").groupBy("__id", "c", "pattern", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size").groupBy("pattern").agg(F.sum("c").alias("rows"))
     best = parts.join(held, "pattern").orderBy((F.col("freq") / F.col("rows")).desc(), F.col("freq").desc(), "pattern").limit(most).collect()  # ``most`` rules
     out = []
     for r in best:

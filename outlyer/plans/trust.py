@@ -10,7 +10,7 @@ from outlyer.functions.ranking import arithmetic_order
 from outlyer.functions.tables import written
 from outlyer.operators import active, compare, describe, loda, members, relevance
 from outlyer.operators.metrics import quantile_values
-from outlyer.plans.models import _projected
+from outlyer.plans.models import _projections
 from outlyer.plans.registry import query
 from outlyer.plans.views import FEATURES, INST, instances
 
@@ -148,8 +148,9 @@ def ds4(spark, sf):
 @query("ds3_bayesian_ruleset")
 def ds3(spark, sf):
     """Rules of high posterior for the tenth of the rows that projections score highest, from mined candidates."""
-    z = _projected(spark, sf)
-    scored = instances(spark, sf).join(loda.score(loda.densities(z, loda.histograms(z, 20))), "id")
+    proj = _projections(spark)
+    rows = instances(spark, sf).select(*FEATURES, F.array(*FEATURES).alias("x"))
+    scored = written(loda.row_scores(rows, proj, loda.histograms_of(rows, proj, 20)).select("score", *FEATURES), "scored")
     q = quantile_values(scored, "score", [0.9])[0]
     found = describe.bayesian_rules(scored.select((F.col("score") >= q).cast("int").alias("y"), *FEATURES), FEATURES, 0.1, levels=(2, 4, 8, 16))
     return spark.createDataFrame(list(enumerate(found)), "rule_id int, rule string")

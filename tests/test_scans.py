@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from outlyer.operators import loda, members, relevance
+from outlyer.operators import describe, loda, members, relevance
 
 
 def _rows(spark, n=3000):
@@ -36,3 +36,14 @@ def test_values_by_name_are_those_of_the_member_table(spark):
     assert n == m >= 12  # "10" stands before "2"
     want = dict(relevance.as_arrays(table, rows.selectExpr("id", "array(a) AS x")).select("id", "values").collect())
     assert dict(wide.select("id", "values").collect()) == want
+
+
+def test_mined_rules_count_rows_with_the_same_items_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(4000, 2))
+    rows = spark.createDataFrame(pd.DataFrame({"y": ((x[:, 0] > 0.75) & (x[:, 1] < 0.5)).astype(int), "a": x[:, 0], "b": x[:, 1]}))
+    held, written = {}, describe.written
+    monkeypatch.setattr(describe, "written", lambda df, tag: held.setdefault(tag, written(df, tag)))
+    rules = describe.mined_rules(rows, ["a", "b"], levels=(2, 4))
+    assert held["cells"].count() == 16 and held["cells"].selectExpr("sum(c)").first()[0] == 4000
+    assert "a" in rules[0] and "b" in rules[0]  # of precision 1, by counts over all rows
