@@ -44,6 +44,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,8 @@ OUTRIGHT = 4
 OUTRIGHT_PLACED = 512
 #: Up to so many pairs (three integers each) are broadcast.
 BROADCAST_PAIRS = 300_000
+#: Counters of shingles by each of two hashes, whatever the corpus.
+COUNTERS = 1 << 20
 #: Shingles that a task works on at a time.
 AT_ONCE = 400_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -242,6 +245,9 @@ def told_apart(stars: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 def by_rarest(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """``key, doc, size, at``: the buckets that members (``doc``) are dealt to by the rarest of their shingles among
     them, and the shingle's place among all ``size`` of its own. Linked ones share such a bucket.
+
+    Frequencies are those of counters that some shingles share by hash. Links need only that all texts have their
+    shingles in the same order, whichever it is; and no shingle is taken for rarer than it is.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,13 +256,43 @@ def by_rarest(members: DataFrame, texts: DataFrame, similarity: float) -> DataFr
             yield pd.DataFrame({"doc": b.doc, "t": [levels(bag(word_hashes(t, hashes))).view(np.int64) for t in b.text]})
 
     known = scratch(only(texts, members, "doc").mapInPandas(work, "doc long, t array<long>"), "shingles", "zstd")
-    each = known.select("doc", F.explode("t").alias("t"))
-    common = each.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    held = each.join(common, "t").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))  # as many as the text has shingles
-    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
-    held = held.join(known.select("doc", F.size("t").alias("size")), "doc").withColumn("alone", F.col("size") - F.size("o"))
-    some = F.slice("o", F.lit(1), F.greatest(F.lit(0), first - F.col("alone")))
-    return held.select("doc", "size", "alone", F.posexplode(some).alias("k", "s")).select(F.xxhash64("s.t").alias("key"), "doc", "size", (F.col("alone") + F.col("k")).alias("at"))
+    often, counters = broadcast_counts(known, COUNTERS), COUNTERS
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for doc, t in zip(b.doc, b.t, strict=True):
+                t = np.asarray(t, np.int64).view(np.uint64)
+                f = np.minimum(*(n[at] for n, at in zip(often.value, counters_of(t, counters), strict=True)))
+                first = np.lexsort((t, f))[: len(t) - int(np.ceil(len(t) * similarity - 1e-9)) + 1]
+                at = np.flatnonzero(f[first] > 1)
+                found.append(pd.DataFrame({"t": t[first[at]].view(np.int64), "doc": doc, "size": len(t), "at": at}))
+            if found:
+                yield pd.concat(found)
+
+    return known.mapInPandas(rarest, "t long, doc long, size int, at int").select(F.xxhash64("t").alias("key"), "doc", "size", "at")
+
+
+def counters_of(t: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two counters of each shingle."""
+    return (t >> np.uint64(32)) % np.uint64(counters), t % np.uint64(counters)
+
+
+def broadcast_counts(known: DataFrame, counters: int):
+    """How many of the shingles ``t`` fall on each counter, broadcast. A shingle is as frequent as its lower counter says, or rarer."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2 * counters, np.int64)
+        for b in batches:
+            for k, at in enumerate(counters_of(b.column(0).flatten().to_numpy().view(np.uint64), counters)):
+                n[k * counters : (k + 1) * counters] += np.bincount(at.astype(np.int64), minlength=counters)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
+
+    sums = known.select("t").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # two numbers a counter
+    n = np.zeros(2 * counters, np.int32)
+    n[sums["at"].to_numpy()] = np.minimum(sums["n"].to_numpy(), 2**31 - 1)
+    return known.sparkSession.sparkContext.broadcast((n[:counters], n[counters:]))
 
 
 def levels(own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

@@ -56,3 +56,13 @@ def test_linked_texts_share_one_of_their_rarest_shingles(spark):
                 shared = kept[a].keys() & kept[b].keys()
                 assert any(min(s - k for k, s in (kept[a][x], kept[b][x])) >= 0.8 / 1.8 * (kept[a][x][1] + kept[b][x][1]) - 1e-9 for x in shared)
     assert met > 40
+
+
+def test_shingles_are_counted_without_a_row_each(spark, monkeypatch):
+    texts = template(random.Random(14), 120)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    plan = N.by_rarest(docs.select("doc"), docs, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    monkeypatch.setattr(N, "COUNTERS", 8)  # most shingles share a counter: another order, the same groups
+    monkeypatch.setattr(N, "OUTRIGHT", 0)
+    assert {r.doc_id: r.class_id for r in N.groups(docs.withColumnRenamed("doc", "doc_id")).collect()} == brute(dict(enumerate(texts)))
