@@ -63,6 +63,8 @@ OUTRIGHT_PLACED = 512
 BROADCAST_PAIRS = 300_000
 #: Counters of shingles by each of two hashes, whatever the corpus.
 COUNTERS = 1 << 20
+#: Parts that counters are added up in, a row each.
+COUNTER_BLOCKS = 64
 #: Shingles that a task works on at a time.
 AT_ONCE = 400_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -278,20 +280,44 @@ def counters_of(t: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
     return (t >> np.uint64(32)) % np.uint64(counters), t % np.uint64(counters)
 
 
-def broadcast_counts(known: DataFrame, counters: int):
-    """How many of the shingles ``t`` fall on each counter, broadcast. A shingle is as frequent as its lower counter says, or rarer."""
+def counter_sums(known: DataFrame, counters: int) -> DataFrame:
+    """``block, at, n``: how many of the shingles ``t`` fall on the counters ``at`` of each block, for those with any.
+
+    A task hands over ``COUNTER_BLOCKS`` rows at most, whatever it has read, and blocks are added up apart from each other.
+    """
+    width = -(-2 * counters // COUNTER_BLOCKS)
+
+    def blocks(n: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for k, of in n.items():
+            at = np.flatnonzero(of)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at + k * width], pa.list_(pa.int32())), pa.array([of[at]], pa.list_(pa.int64()))], ["block", "at", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(2 * counters, np.int64)
+        n = np.zeros(COUNTER_BLOCKS * width, np.int64)
         for b in batches:
             for k, at in enumerate(counters_of(b.column(0).flatten().to_numpy().view(np.uint64), counters)):
                 n[k * counters : (k + 1) * counters] += np.bincount(at.astype(np.int64), minlength=counters)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
+        yield from blocks(dict(enumerate(n.reshape(COUNTER_BLOCKS, width))))
 
-    sums = known.select("t").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # two numbers a counter
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = {}
+        for b in batches:
+            for k, at, more in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                # a row's counters are different ones
+                n.setdefault(k, np.zeros(width, np.int64))[at.values.to_numpy() - k * width] += more.values.to_numpy()
+        yield from blocks(n)
+
+    schema = "block int, at array<int>, n array<long>"
+    return known.select("t").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
+
+
+def broadcast_counts(known: DataFrame, counters: int):
+    """How many of the shingles ``t`` fall on each counter, broadcast. A shingle is as frequent as its lower counter says, or rarer."""
+    sums = counter_sums(known, counters).toArrow()  # two numbers a counter
     n = np.zeros(2 * counters, np.int32)
-    n[sums["at"].to_numpy()] = np.minimum(sums["n"].to_numpy(), 2**31 - 1)
+    for at, of in zip(sums["at"], sums["n"], strict=True):
+        n[at.values.to_numpy()] = np.minimum(of.values.to_numpy(), 2**31 - 1)
     return known.sparkSession.sparkContext.broadcast((n[:counters], n[counters:]))
 
 

@@ -66,3 +66,22 @@ def test_shingles_are_counted_without_a_row_each(spark, monkeypatch):
     monkeypatch.setattr(N, "COUNTERS", 8)  # most shingles share a counter: another order, the same groups
     monkeypatch.setattr(N, "OUTRIGHT", 0)
     assert {r.doc_id: r.class_id for r in N.groups(docs.withColumnRenamed("doc", "doc_id")).collect()} == brute(dict(enumerate(texts)))
+
+
+def test_tasks_hand_over_blocks_of_counters_however_large_a_group(spark):
+    texts = template(random.Random(15), 600)
+    words = N.WordHash()
+    own = [N.levels(N.bag(N.word_hashes(t, words))) for t in texts]
+    rows = spark.createDataFrame([(t.view("int64").tolist(),) for t in own], "t array<long>").repartition(3)
+    for counters in (1 << 12, 1000):
+        rows_out = N.counter_sums(rows, counters).collect()
+        assert len(rows_out) <= N.COUNTER_BLOCKS
+        got = {at: n for r in rows_out for at, n in zip(r.at, r.n, strict=True)}
+        want = {}
+        for t in own:
+            for k, at in enumerate(N.counters_of(t, counters)):
+                for a in at.tolist():
+                    want[k * counters + a] = want.get(k * counters + a, 0) + 1
+        assert got == want
+        often = N.broadcast_counts(rows, counters).value
+        assert all(often[at // counters][at % counters] == n for at, n in want.items()) and sum(map(int, map(sum, often))) == sum(want.values())
