@@ -369,8 +369,25 @@ def inside(members: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, "key").where(F.expr("a < b and la <> lb") & ~apart & ~few).select("a", "b")
 
 
+def joined(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``id, label`` of all ends of links, after ``new`` ones (``a, b``): only those between components are followed."""
+    if labels is None:
+        return components(new)
+    ends = new.select(F.col("a").alias("id")).unionAll(new.select("b")).distinct()
+    known = labels.unionAll(ends.join(labels, "id", "left_anti").select("id", F.col("id").alias("label")))
+    met = with_labels(with_labels(new, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    lower = components(met).toDF("label", "__lower")
+    return scratch(known.join(lower, "label", "left").select("id", F.coalesce("__lower", "label").alias("label")), "labels")
+
+
 def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Verified links ``a, b, similarity`` between the signed documents (ids are longs): all that are needed to tell their groups."""
+    found, _ = linked(signed, docs, similarity)
+    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
+
+
+def linked(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> tuple[list[DataFrame], DataFrame | None]:
+    """The verified links (:func:`links`), a table a step, and ``id, label`` of their ends; none and None where there are none."""
     members = scratch(sized(signed.where("bands is not null").select(F.explode("bands").alias("key"), "doc")), "members")
     shared = scratch(members.groupBy("doc").agg(F.sum("n").alias("shared")), "shared")
     texts = scratch(only(docs, shared.select("doc"), "doc").dropDuplicates(["doc"]), "texts", "zstd")
@@ -390,7 +407,7 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         if new.isEmpty():
             return False
         found.append(new)
-        labels = components(reduce(DataFrame.unionAll, [f.select("a", "b") for f in found]))
+        labels = joined(labels, new.select("a", "b"))
         return True
 
     def apart(stars: DataFrame) -> DataFrame:
@@ -444,9 +461,7 @@ def links(signed: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
         members = scratch(parted(with_labels(touched, labels)).select("key", "doc"), "members", "zstd")
         if members.isEmpty():
             break
-    if not found:
-        return docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
-    return reduce(DataFrame.unionAll, found)
+    return found, labels
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -457,8 +472,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simi
     ids = heads.where("head is not null").select(F.col("head").alias("doc"))
     text = docs.select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
     with small_batches(docs.sparkSession, 1_000):
-        linked = scratch(links(signed.join(ids, "doc", "left_semi"), text, similarity), "links")
-    labels = components(linked)
+        _, labels = linked(signed.join(ids, "doc", "left_semi"), text, similarity)
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], "id long, label long")
     classes = scratch(heads.join(labels.withColumnRenamed("id", "head"), "head", "left").select("same", "n", F.coalesce("label", "head").alias("class_id")), "groups")
     return signed.select("doc", "same").join(classes, "same").select(
         F.col("doc").alias(id_col), "class_id", (F.col("doc").isNull() & F.col("class_id").isNull() | F.coalesce(F.col("doc") == F.col("class_id"), F.lit(False))).alias("kept")

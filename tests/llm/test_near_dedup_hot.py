@@ -85,3 +85,23 @@ def test_tasks_hand_over_blocks_of_counters_however_large_a_group(spark):
         assert got == want
         often = N.broadcast_counts(rows, counters).value
         assert all(often[at // counters][at % counters] == n for at, n in want.items()) and sum(map(int, map(sum, often))) == sum(want.values())
+
+
+def test_links_are_followed_once_and_not_again_in_each_step(make, monkeypatch):
+    followed, found, components, linked = [], [], N.components, N.linked
+
+    def counted(links):
+        followed.append(links.count())
+        return components(links)
+
+    def kept(*args):
+        out = linked(*args)
+        found.extend(f.count() for f in out[0])
+        return out
+
+    monkeypatch.setattr(N, "components", counted)
+    monkeypatch.setattr(N, "linked", kept)
+    texts = template(random.Random(12), 300)
+    got = {r.doc_id: r.class_id for r in N.groups(make(texts)).collect()}
+    assert got == brute(dict(enumerate(texts)))
+    assert len(followed) > 1 and sum(followed) <= sum(found), (followed, found)
