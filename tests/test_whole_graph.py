@@ -29,3 +29,21 @@ def test_gr1_normalises_the_graph_of_all_vectors(spark, world):
     hat = a / np.sqrt(a.sum(1)[:, None] * a.sum(0))
     got = {(r.src, r.dst): r.w for r in registry.QUERIES["gr1_normalised"](spark, sf).collect()}
     assert got == {(ids[i], ids[j]): pytest.approx(hat[i, j], abs=1e-6) for i, j in zip(*np.nonzero(a), strict=True)}
+
+
+def edge_table(spark, ids, a):
+    return spark.createDataFrame([(int(ids[i]), int(ids[j]), 1.0) for i, j in zip(*np.nonzero(a), strict=True)], "src long, dst long, w double")
+
+
+def test_gr2_classifies_all_nodes(spark, world):
+    sf, ids, a = world
+    got = {r.id for r in registry.QUERIES["gr2_classified"](spark, sf).collect()}
+    assert got == set(ids.tolist())
+
+
+def test_features_of_unequal_length_are_propagated_by_place(spark):
+    edges = spark.createDataFrame([(0, a, b, 1.0) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (4, 3))], "member int, src long, dst long, w double")
+    nodes = spark.createDataFrame([(1, [1.0, 2.0, 4.0]), (2, [3.0]), (3, None), (4, [5.0, None])], "id long, x array<double>")
+    got = {r.id: r.x for r in graph.smoothed(edges, nodes, 1).collect()}
+    root = 2**-0.5
+    assert got == {1: [pytest.approx(3 * root)], 2: [pytest.approx(v * root) for v in (1, 2, 4)], 3: [pytest.approx(5 * root + 1.5), None]}
