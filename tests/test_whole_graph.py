@@ -41,6 +41,12 @@ def test_gr2_classifies_all_nodes(spark, world):
     assert got == set(ids.tolist())
 
 
+def test_gr4_ensemble_has_the_nodes_of_all_members(spark, world):
+    sf, ids, a = world
+    want = {r.src for r in graph.member_edges(edge_table(spark, ids, a), 3, 0.7).select("src").distinct().collect()}
+    assert {r.id for r in registry.QUERIES["gr4_ensemble"](spark, sf).collect()} == want and len(want) > 50
+
+
 def test_features_of_unequal_length_are_propagated_by_place(spark):
     edges = spark.createDataFrame([(0, a, b, 1.0) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (4, 3))], "member int, src long, dst long, w double")
     nodes = spark.createDataFrame([(1, [1.0, 2.0, 4.0]), (2, [3.0]), (3, None), (4, [5.0, None])], "id long, x array<double>")
