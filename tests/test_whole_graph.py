@@ -47,6 +47,17 @@ def test_gr4_ensemble_has_the_nodes_of_all_members(spark, world):
     assert {r.id for r in registry.QUERIES["gr4_ensemble"](spark, sf).collect()} == want and len(want) > 50
 
 
+def test_dt21_spreads_labels_over_all_edges(spark, world):
+    sf, ids, a = world
+    hat = a / np.sqrt(a.sum(1)[:, None] * a.sum(0))
+    y = ((ids % 3 + ids % 2 == 3) & (ids < 50)).astype(float)
+    value = y
+    for _ in range(3):
+        value = 0.9 * hat @ value + 0.1 * y
+    got = {r.id: r.value for r in registry.QUERIES["dt21_label_diffusion"](spark, sf).collect()}
+    assert got == {i: pytest.approx(v, abs=1e-12) for i, v in zip(ids.tolist(), value, strict=True)} and value.any()
+
+
 def test_features_of_unequal_length_are_propagated_by_place(spark):
     edges = spark.createDataFrame([(0, a, b, 1.0) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (4, 3))], "member int, src long, dst long, w double")
     nodes = spark.createDataFrame([(1, [1.0, 2.0, 4.0]), (2, [3.0]), (3, None), (4, [5.0, None])], "id long, x array<double>")
