@@ -58,7 +58,7 @@ REGISTERS = ROWS * BANDS
 #: A bucket compares members of different components outright while it has so many such pairs a member; most of them by numbers only.
 OUTRIGHT = 4
 #: The same in buckets of a shingle, where places leave out nearly all of them unread.
-OUTRIGHT_PLACED = 512
+OUTRIGHT_PLACED = 16_384
 #: Up to so many pairs (three integers each) are broadcast.
 BROADCAST_PAIRS = 300_000
 #: Counters of shingles by each of two hashes, whatever the corpus.
@@ -334,10 +334,10 @@ def sized(members: DataFrame) -> DataFrame:
 
 
 def parted(members: DataFrame, outright: int = OUTRIGHT) -> DataFrame:
-    """``members`` (``key, label`` and others) of buckets with several components: ``pairs`` of different ones, and the ``most`` to compare outright."""
+    """``members`` (``key, label`` and others) of buckets with several components: ``pairs`` of different ones, the ``most`` to compare outright, and the largest component, ``main``."""
     labels = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    sizes = labels.groupBy("key").agg(F.sum("c").alias("__n"), F.sum(F.col("c") * F.col("c")).alias("same"))
-    sizes = sizes.select("key", ((F.col("__n") * F.col("__n") - F.col("same")) / 2).alias("pairs"), (outright * F.col("__n")).alias("most")).where("pairs > 0")
+    sizes = labels.groupBy("key").agg(F.sum("c").alias("__n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "label")).alias("main"))
+    sizes = sizes.select("key", ((F.col("__n") * F.col("__n") - F.col("same")) / 2).alias("pairs"), (outright * F.col("__n")).alias("most"), F.col("main.label").alias("main")).where("pairs > 0")
     return members.join(sizes, "key")
 
 
@@ -355,18 +355,21 @@ def starred(members: DataFrame, shared: DataFrame) -> DataFrame:
 
 
 def inside(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of members (``key, doc, label, s, size, at``) of one bucket and different components that may be linked.
+    """Pairs ``a, b`` of members (``key, doc, label, main, s, size, at``) of one bucket and different components that may be linked.
+
+    One of them is not of the bucket's largest component, ``main``: only such members meet all others, which is four
+    times the pairs of different components at most, where all members would meet the largest component's with each other.
 
     1 less weighted Jaccard similarity is a metric: two whose similarities ``s`` with the hub differ by
     more than a link's distance are no link. Nor are two that share too little behind the shingle of their
     bucket (:func:`by_rarest`); if it is not their first, they meet in that one's bucket too. Without these nothing is left out.
     """
-    x, y = (members.select("key", *(F.col(v).alias(f"{n}{c}") for v, n in (("doc", ""), ("label", "l"), ("s", "s"), ("size", "n"), ("at", "k")))) for c in ("a", "b"))
+    x, y = (members.select("key", *(F.col(v).alias(f"{n}{c}") for v, n in (("doc", ""), ("label", "l"), ("main", "m"), ("s", "s"), ("size", "n"), ("at", "k")))) for c in ("a", "b"))
     apart = F.coalesce(F.abs(F.col("sa") - F.col("sb")) > 1 - similarity + 1e-9, F.lit(False))
     # of shingles in one order, the first that both have is at these places
     shared = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
     few = F.coalesce(shared < similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-9, F.lit(False))
-    return x.join(y, "key").where(F.expr("a < b and la <> lb") & ~apart & ~few).select("a", "b")
+    return x.where("la <> ma").join(y, "key").where(F.expr("la <> lb and (lb = mb or a < b)") & ~apart & ~few).select("a", "b")
 
 
 def joined(labels: DataFrame | None, new: DataFrame) -> DataFrame:

@@ -105,3 +105,33 @@ def test_links_are_followed_once_and_not_again_in_each_step(make, monkeypatch):
     got = {r.doc_id: r.class_id for r in N.groups(make(texts)).collect()}
     assert got == brute(dict(enumerate(texts)))
     assert len(followed) > 1 and sum(followed) <= sum(found), (followed, found)
+
+
+def test_hot_group_with_many_members_apart_is_not_dealt_by_differences(make, monkeypatch):
+    """Texts near to a common one, and more that are changed in too many places for a link: the places of shingles tell them apart by numbers."""
+    rng, base = random.Random(4), [f"w{k}" for k in range(200)]
+
+    def changed(own, blocks):
+        words = list(base)
+        for k in rng.sample(range(6), blocks):
+            words[33 * k + 4 + rng.randrange(25)] = f"x{own}y{k}"
+        return " ".join(words)
+
+    texts = [changed(k, 1) for k in range(300)] + [changed(k, 6) for k in range(300, 1600)]
+    monkeypatch.setattr(N, "told_apart", None)
+    monkeypatch.setattr(N, "OUTRIGHT", 0)
+    got = {r.doc_id: r.class_id for r in N.groups(make(texts)).collect()}
+    assert got == {k: 0 if k < 300 else k for k in range(1600)}
+
+
+def test_members_of_a_bucket_meet_without_the_pairs_of_its_largest_component(spark):
+    rng = random.Random(2)
+    rows = [(key, doc, rng.choice([0] * size + list(range(1, 9))), None, 10, rng.choice([0, 1, 2])) for key, size in ((1, 30), (2, 4), (3, 0)) for doc in rng.sample(range(100), 40)]
+    members = spark.createDataFrame(rows, "key long, doc long, label long, s double, size int, at int")
+    found = N.inside(N.parted(members), 0.8)
+    near = lambda x, y: 10 - max(x[5], y[5]) >= 0.8 / 1.8 * 20 - 1e-9
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2] and near(x, y)}
+    pairs = [(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()]
+    assert set(pairs) == want
+    # each once in each bucket, and no pair of the largest component is looked at
+    assert len(pairs) == sum(x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and near(x, y) for x in rows for y in rows)
